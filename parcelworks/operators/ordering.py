@@ -105,3 +105,22 @@ def previous_value(df: DataFrame, key: str, seq: str, value: str, name: str = "p
     )
     joined = local.join(carried, (F.col(key) == F.col("_k")) & (F.col("_cell") == F.col("_kcell")))
     return joined.select(*df.columns, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag")).alias(name))
+
+
+def rank_within(df: DataFrame, key: str, seq: str, width: int = ID_CELL) -> DataFrame:
+    """rank0 inside each ``key`` by a unique integer ``seq``; a hot key is ranked in cells."""
+    celled = df.withColumn("_cell", F.floor(F.col(seq) / F.lit(width)))
+    sizes = celled.groupBy(key, "_cell").agg(F.count("*").alias("_size"))
+    before = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("_k"), F.col("_cell").alias("_kcell"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    local = celled.withColumn("_local", F.row_number().over(W.partitionBy(key, "_cell").orderBy(seq)).cast("bigint") - 1)
+    joined = local.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_cell") == F.col("_kcell")))
+    return joined.withColumn("rank0", F.col("_before") + F.col("_local")).drop("_k", "_kcell", "_cell", "_local", "_before")
+
+
+def rank_within_by(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """rank0 inside each ``key`` by any order (``order`` must be total within a key)."""
+    ranked = rank_by_range(df, [F.col(key), *order])
+    first = ranked.groupBy(F.col(key).alias("_k")).agg(F.min("rank0").alias("_first"))
+    joined = ranked.join(first, F.col(key).eqNullSafe(F.col("_k")))
+    return joined.withColumn("rank0", F.col("rank0") - F.col("_first")).drop("_k", "_first", "total")

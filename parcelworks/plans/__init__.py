@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metadata"]
+MODULES = ["metadata", "geometry"]
 
 
 def load_all() -> None:

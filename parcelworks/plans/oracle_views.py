@@ -78,7 +78,7 @@ SELECT feature_id, layer_id, land_type, image_id, x0 AS px0, y0 AS py0, x0 + w A
     CAST(10 + (c_custkey * 11) % 20 AS DOUBLE) AS w, CAST(9 + (c_custkey * 17) % 16 AS DOUBLE) AS h,
     CAST(c_custkey % 4 AS DOUBLE) AS s FROM customer)"""),
     "feature_edges": (("features",), """
-SELECT feature_id, image_id, 0 AS k, px0 AS ax, py0 AS ay, px1 AS bx, py1 AS by FROM features UNION ALL
+SELECT feature_id, image_id, 0 AS k, px0 AS ax, py0 AS ay, px1 AS bx, py1 AS ey FROM features UNION ALL
 SELECT feature_id, image_id, 1, px1, py1, px2, py2 FROM features UNION ALL
 SELECT feature_id, image_id, 2, px2, py2, px3, py3 FROM features UNION ALL
 SELECT feature_id, image_id, 3, px3, py3, px4, py4 FROM features"""),
