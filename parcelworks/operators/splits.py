@@ -62,3 +62,8 @@ def split_join(rows: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
     own = F.lower(F.trim("split"))
     joined = rows.join(assigned.select(key, F.col("split").alias("_assigned")), key, "left")
     return joined.withColumn("split", F.when(own.isin(*VALID), own).otherwise(F.col("_assigned"))).drop("_assigned")
+
+
+def split_by_unit_of(rows: DataFrame, units: DataFrame, unit: str, **sizes) -> DataFrame:
+    """Like ``split_by_unit`` with the full unit list given (units without rows still count)."""
+    return rows.join(split_assign_round(units, unit, **sizes), unit)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metadata", "geometry"]
+MODULES = ["metadata", "geometry", "raster"]
 
 
 def load_all() -> None:

@@ -321,11 +321,11 @@ def _(t):
     return t.features.select("feature_id", R.dominant_direction(RING).alias("direction"))
 
 
-@query("area_control", f"""SELECT feature_id, CASE WHEN area = 0 THEN TRUE WHEN area > 1000 AND change < 0.25 THEN TRUE WHEN change >= 0.25 OR 1.0 * (feature_id % 3) > 1 THEN FALSE ELSE TRUE END AS accepted
+@query("area_control", f"""SELECT feature_id, CASE WHEN area = 0 THEN TRUE WHEN area > 1000 AND change < 0.25 THEN TRUE WHEN change >= 0.25 OR 0.8 * (feature_id % 3) > 1 THEN FALSE ELSE TRUE END AS accepted
 FROM (SELECT *, abs(area - area * power(1 - (feature_id % 4) / 20.0, 2)) / area AS change FROM {MEASURED})""", "feature_edges")
 def _(t):
     cx, cy = R.centroid(RING)
-    factor, shift = 1 - (F.col("feature_id") % 4) / 20.0, (F.col("feature_id") % 3).cast("double")
+    factor, shift = 1 - (F.col("feature_id") % 4) / 20.0, (F.col("feature_id") % 3) * 0.8
     moved = F.transform(RING, lambda p: F.struct((F.col("cx") + (p["x"] - F.col("cx")) * factor + shift).alias("x"), (F.col("cy") + (p["y"] - F.col("cy")) * factor).alias("y")))
     layer = t.features.withColumn("cx", cx).withColumn("cy", cy).withColumn("after", moved)
     return layer.select("feature_id", R.area_control(RING, F.col("after")).alias("accepted"))

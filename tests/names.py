@@ -1,0 +1,6 @@
+"""Print the query names a plans module registers."""
+
+import re
+import sys
+
+print(" ".join(re.findall(r'@query\(\s*"(\w+)"', open(f"parcelworks/plans/{sys.argv[1]}.py").read())))
