@@ -1,0 +1,293 @@
+"""Masks as runs: areas, overlaps, unions, painting, morphology, run-length form.
+
+A run is one row ``(image_id, y, x_start, x_end, ...)`` with inclusive ends. Row work is
+cut into cells of ``CELL`` columns, so no task ever pairs a whole row or a whole image.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from parcelworks.functions.scanline import run_starts, runs
+from parcelworks.operators.ordering import rank_within
+
+CELL = 64
+LINE = ["image_id", "y"]
+
+
+def length() -> Column:
+    return F.col("x_end") - F.col("x_start") + 1
+
+
+def with_columns_cells(df: DataFrame, low: str = "x_start", high: str = "x_end") -> DataFrame:
+    """One row per column cell that the run touches."""
+    return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL))))
+
+
+# ---- per mask -----------------------------------------------------------------------
+
+def mask_area_bbox(mask_runs: DataFrame, key: list[str], masks: DataFrame | None = None, size: tuple[Column, Column] | None = None) -> DataFrame:
+    """Area and inclusive bounding box per mask; masks without pixels get zeros."""
+    found = mask_runs.groupBy(*key).agg(
+        F.sum(length()).cast("bigint").alias("area"),
+        F.min("x_start").alias("x1"), F.min("y").alias("y1"), F.max("x_end").alias("x2"), F.max("y").alias("y2"),
+    )
+    if masks is None:
+        return found
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    full = masks.join(found, key, "left")
+    return full.select(*masks.columns, *(zero(c) for c in ("area", "x1", "y1", "x2", "y2")))
+
+
+def mask_size_filter(mask_runs: DataFrame, key: list[str], smallest: int = 0, largest: int | None = None) -> DataFrame:
+    """Masks with an area in [smallest, largest]."""
+    sized = mask_area_bbox(mask_runs, key)
+    kept = F.col("area") >= smallest
+    return sized.filter(kept if largest is None else kept & (F.col("area") <= largest))
+
+
+def bbox_per_value(value_runs: DataFrame, value: str) -> DataFrame:
+    """One box per distinct non-zero raster value, numbered in value order."""
+    boxes = mask_area_bbox(value_runs.filter(F.col(value) != 0), ["image_id", value]).drop("area")
+    return rank_within(boxes, "image_id", value).withColumn("id", F.col("rank0") + 1).drop("rank0")
+
+
+# ---- sweeps over one raster row ------------------------------------------------------
+
+def sweep(segments: DataFrame, need: str | int = 1) -> DataFrame:
+    """Maximal runs covered by at least ``need`` segments, per (image_id, y).
+
+    Starts and ends are summed per position first; a row then holds at most one event
+    per column. One shuffle by row serves the sum and both windows.
+    """
+    bar = F.lit(need) if isinstance(need, int) else F.col(need)
+    kept = [] if isinstance(need, int) else [need]
+    ends = F.array(F.struct(F.col("x_start").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x_end") + 1).alias("x"), F.lit(-1).alias("d")))
+    events = segments.select(*LINE, *kept, F.inline(ends)).groupBy(*LINE, *kept, "x").agg(F.sum("d").alias("d"))
+    by_row = W.partitionBy(*LINE).orderBy("x")
+    covered = events.withColumn("_ok", F.sum("d").over(by_row.rowsBetween(W.unboundedPreceding, 0)) >= bar)
+    turns = covered.withColumn("_was", F.lag("_ok", 1, False).over(by_row)).filter(F.col("_ok") != F.col("_was"))
+    closed = turns.withColumn("x_end", (F.lead("x").over(by_row) - 1).cast("int"))
+    return closed.filter("_ok").select(*LINE, F.col("x").cast("int").alias("x_start"), "x_end")
+
+
+def semantic_union(mask_runs: DataFrame) -> DataFrame:
+    """Pixels of any mask, as disjoint maximal runs."""
+    return sweep(mask_runs)
+
+
+def elementary_segments(mask_runs: DataFrame, keep: list[str]) -> DataFrame:
+    """Cut every run at the run ends of its row, so that segments are equal or disjoint.
+
+    Positions are collected per (row, cell): at most ``CELL`` numbers, however many runs meet there.
+    """
+    local = with_columns_cells(mask_runs.select(*LINE, "x_start", "x_end", *keep))
+    low, high = F.greatest("x_start", F.col("_cell") * CELL), F.least("x_end", F.col("_cell") * CELL + CELL - 1)
+    local = local.withColumn("_from", low.cast("int")).withColumn("_to", high.cast("int"))
+    cuts = local.groupBy(*LINE, "_cell").agg(F.array_sort(F.collect_set("_from")).alias("_starts"), F.collect_set(F.col("_to") + 1).alias("_stops"))
+    cuts = cuts.select(*LINE, "_cell", F.array_sort(F.array_union("_starts", "_stops")).alias("_cuts"))
+    joined = local.join(cuts, [*LINE, "_cell"])
+    inside = F.filter("_cuts", lambda c: (c >= F.col("_from")) & (c <= F.col("_to") + 1))
+    pieces = F.zip_with(F.slice("_c", 1, F.size("_c") - 1), F.slice("_c", 2, F.size("_c") - 1), lambda a, b: F.struct(a.alias("x_start"), (b - 1).cast("int").alias("x_end")))
+    return joined.withColumn("_c", inside).select(*LINE, *keep, F.inline(pieces))
+
+
+def paint(mask_runs: DataFrame, value: str, highest: bool = True) -> DataFrame:
+    """Visible value per segment when masks are painted over each other.
+
+    The winner is the largest (or smallest) value: an aggregate over equal segments, in
+    time linear in the painted length and without pairing masks.
+    """
+    pick = F.max(value) if highest else F.min(value)
+    return elementary_segments(mask_runs, [value]).groupBy(*LINE, "x_start", "x_end").agg(pick.alias(value))
+
+
+def paint_order_unique_area(mask_runs: DataFrame, masks: DataFrame, smallest: int = 0, largest: int | None = None) -> DataFrame:
+    """Labels n - rank by descending area; smaller masks are painted later.
+
+    ``masks`` holds (image_id, mask_id, area, n, rank0). Size limits only skip painting.
+    """
+    wanted = F.col("area") >= smallest
+    if largest is not None:
+        wanted = wanted & (F.col("area") <= largest)
+    labels = masks.filter(wanted).select("image_id", "mask_id", (F.col("n") - F.col("rank0")).alias("value"))
+    return paint(mask_runs.join(labels, ["image_id", "mask_id"]), "value", highest=False)
+
+
+def tile_grid_full_only(images: DataFrame, labelled: DataFrame, tile: int) -> DataFrame:
+    """Complete tiles that hold labelled pixels, numbered in row-major order per image."""
+    from parcelworks.functions import grid as G
+
+    grid = G.explode_grid(images, G.starts_full_only(F.col("width"), tile), G.starts_full_only(F.col("height"), tile))
+    hit = labelled.select(
+        "image_id", F.floor(F.col("y") / tile).cast("int").alias("row"),
+        F.explode(F.sequence(F.floor(F.col("x_start") / tile), F.floor(F.col("x_end") / tile))).cast("int").alias("col"),
+    ).distinct()
+    return rank_within(grid.join(hit, ["image_id", "row", "col"], "left_semi"), "image_id", "window_index")
+
+
+# ---- overlaps -----------------------------------------------------------------------
+
+def _shared_length(left: DataFrame, right: DataFrame, a: str, b: str, ordered: bool) -> DataFrame:
+    """Common pixels per (image_id, a, b) over two run tables."""
+    l = with_columns_cells(left).select(*LINE, "_cell", F.col("mask_id").alias(a), F.col("x_start").alias("_as"), F.col("x_end").alias("_ae"))
+    r = with_columns_cells(right).select(*LINE, "_cell", F.col("mask_id").alias(b), F.col("x_start").alias("_bs"), F.col("x_end").alias("_be"))
+    start, end = F.greatest("_as", "_bs"), F.least("_ae", "_be")
+    joined = l.join(r, [*LINE, "_cell"]).filter((start <= end) & (F.floor(start / CELL) == F.col("_cell")))
+    if ordered:
+        joined = joined.filter(F.col(a) < F.col(b))
+    return joined.groupBy("image_id", a, b).agg(F.sum(end - start + 1).cast("bigint").alias("common"))
+
+
+def mask_overlap_join(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """IoU, share of the smaller and share of the second mask for every overlapping pair."""
+    one = second is None
+    other = first if one else second
+    shared = _shared_length(first, other, "id_a", "id_b", one)
+    size = lambda runs, name, alias: runs.groupBy("image_id", F.col("mask_id").alias(name)).agg(F.sum(length()).alias(alias))
+    sized = shared.join(size(first, "id_a", "area_a"), ["image_id", "id_a"]).join(size(other, "id_b", "area_b"), ["image_id", "id_b"])
+    floor1 = lambda c: F.greatest(c, F.lit(1)).cast("double")
+    return sized.select(
+        "image_id", "id_a", "id_b", "common",
+        (F.col("common") / floor1(F.col("area_a") + F.col("area_b") - F.col("common"))).alias("iou"),
+        (F.col("common") / floor1(F.least("area_a", "area_b"))).alias("smaller_coverage"),
+        (F.col("common") / floor1(F.col("area_b"))).alias("second_coverage"),
+    )
+
+
+def cross_pass_anti_join(first: DataFrame, second: DataFrame, iou: float = 0.45, smaller: float = 0.75, covered: float = 0.65) -> DataFrame:
+    """Runs of the second-pass masks that repeat no first-pass mask."""
+    pairs = mask_overlap_join(first, second)
+    repeated = pairs.filter((F.col("iou") >= iou) | (F.col("smaller_coverage") >= smaller) | (F.col("second_coverage") >= covered))
+    return second.join(repeated.select("image_id", F.col("id_b").alias("mask_id")).distinct(), ["image_id", "mask_id"], "left_anti")
+
+
+def boxes_to_runs(boxes: DataFrame, keep: list[str]) -> DataFrame:
+    """Half-open whole-pixel boxes as runs."""
+    whole = {c: F.floor(F.greatest(F.col(c), F.lit(0.0))).cast("int") for c in ("x1", "y1", "x2", "y2")}
+    usable = boxes.select(*keep, *(e.alias(c) for c, e in whole.items())).filter("x2 > x1 AND y2 > y1")
+    lines = usable.withColumn("y", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
+    return lines.select(*keep, "y", F.col("x1").alias("x_start"), (F.col("x2") - 1).alias("x_end"))
+
+
+def proposal_semi_join(mask_runs: DataFrame, proposals: DataFrame, share: float = 0.30) -> DataFrame:
+    """Masks with enough area inside the union of their image's proposal boxes.
+
+    Images without proposals pass through. The union is disjoint, so shared lengths add up.
+    """
+    union = sweep(boxes_to_runs(proposals, ["image_id"])).withColumn("mask_id", F.lit(0).cast("bigint"))
+    areas = mask_runs.groupBy("image_id", "mask_id").agg(F.sum(length()).alias("area"))
+    inside = _shared_length(mask_runs, union, "mask_id", "_u", False).select("image_id", "mask_id", "common")
+    scored = areas.join(inside, ["image_id", "mask_id"], "left").join(
+        proposals.select("image_id").distinct().withColumn("_has", F.lit(True)), "image_id", "left"
+    )
+    ratio = F.coalesce(F.col("common"), F.lit(0)) / F.col("area")
+    return scored.filter(F.col("_has").isNull() | (ratio >= share)).select("image_id", "mask_id", "area")
+
+
+# ---- morphology ---------------------------------------------------------------------
+
+def erode(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
+    """k x k box erosion of maximal runs (with width, height); outside the raster nothing erodes.
+
+    Horizontally a run shrinks. Vertically a pixel stays when all rows of the window cover
+    it: each run is offered to its k rows and a sweep asks for full coverage.
+    """
+    r = kernel // 2
+    start = F.when(F.col("x_start") == 0, 0).otherwise(F.col("x_start") + r)
+    end = F.when(F.col("x_end") == F.col("width") - 1, F.col("x_end")).otherwise(F.col("x_end") - r)
+    shrunk = mask_runs.select("image_id", "y", "width", "height", start.cast("int").alias("x_start"), end.cast("int").alias("x_end")).filter("x_start <= x_end")
+    low, high = F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.col("height") - 1)
+    offered = shrunk.withColumn("_ty", F.explode(F.sequence(low, high))).drop("y").withColumnRenamed("_ty", "y")
+    full = F.least(F.col("y") + r, F.col("height") - 1) - F.greatest(F.col("y") - r, F.lit(0)) + 1
+    return _sized(sweep(offered.withColumn("_need", full), "_need"), mask_runs)
+
+
+def dilate(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
+    r = kernel // 2
+    grown = mask_runs.select(
+        "image_id", "y", "height", F.greatest(F.col("x_start") - r, F.lit(0)).cast("int").alias("x_start"), F.least(F.col("x_end") + r, F.col("width") - 1).cast("int").alias("x_end")
+    )
+    low, high = F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.col("height") - 1)
+    offered = grown.withColumn("_ty", F.explode(F.sequence(low, high))).drop("y").withColumnRenamed("_ty", "y")
+    return _sized(sweep(offered), mask_runs)
+
+
+def _sized(result: DataFrame, source: DataFrame) -> DataFrame:
+    sizes = source.groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"))
+    return result.join(sizes, "image_id")
+
+
+def opened(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
+    return dilate(erode(mask_runs, kernel), kernel)
+
+
+def closed(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
+    return erode(dilate(mask_runs, kernel), kernel)
+
+
+def run_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pixels of ``left`` not in ``right``; both disjoint per row. Left counts 1, right takes 2 away."""
+    ends = lambda w: F.array(F.struct(F.col("x_start").alias("x"), F.lit(w).alias("d")), F.struct((F.col("x_end") + 1).alias("x"), F.lit(-w).alias("d")))
+    events = left.select(*LINE, F.inline(ends(1))).union(right.select(*LINE, F.inline(ends(-2)))).groupBy(*LINE, "x").agg(F.sum("d").alias("d"))
+    by_row = W.partitionBy(*LINE).orderBy("x")
+    state = events.withColumn("_ok", F.sum("d").over(by_row.rowsBetween(W.unboundedPreceding, 0)) == 1)
+    turns = state.withColumn("_was", F.lag("_ok", 1, False).over(by_row)).filter(F.col("_ok") != F.col("_was"))
+    return turns.withColumn("x_end", (F.lead("x").over(by_row) - 1).cast("int")).filter("_ok").select(*LINE, F.col("x").cast("int").alias("x_start"), "x_end")
+
+
+def binary_runs(mask_rows: DataFrame, classes: list[int]) -> DataFrame:
+    """Maximal foreground runs of the given classes, found inside each scanline."""
+    flags = F.transform("cls", lambda v: v.isin(classes).cast("int"))
+    flagged = mask_rows.select("image_id", "y", "width", "height", flags.alias("_f"))
+    flagged = flagged.withColumn("_s", run_starts(F.col("_f")))
+    opened_ = flagged.select("image_id", "y", "width", "height", F.inline(runs(F.col("_f"), F.col("_s"))))
+    return opened_.filter(F.col("cls") == 1).drop("cls")
+
+
+def extract_boundary(field_runs: DataFrame) -> DataFrame:
+    """Field pixels that a 3 x 3 erosion removes."""
+    return run_difference(field_runs, erode(field_runs, 3))
+
+
+def field_area_ratio(mask_rows: DataFrame) -> DataFrame:
+    """Share of field pixels and of their boundary pixels per image."""
+    field = binary_runs(mask_rows, [1, 2])
+    pixels = lambda df, name: df.groupBy("image_id").agg(F.sum(length()).alias(name))
+    total = mask_rows.groupBy("image_id").agg(F.sum(F.size("cls")).alias("_total"))
+    joined = total.join(pixels(field, "_f"), "image_id", "left").join(pixels(extract_boundary(field), "_b"), "image_id", "left")
+    share = lambda c, n: (F.coalesce(F.col(c), F.lit(0)) / F.greatest(F.col("_total"), F.lit(1))).alias(n)
+    return joined.select("image_id", share("_f", "field_area_ratio"), share("_b", "boundary_area_ratio"))
+
+
+# ---- run-length form ----------------------------------------------------------------
+
+def rle_encode(mask_rows: DataFrame) -> DataFrame:
+    """(start, value, length) of the row-major run-length form, one row per run.
+
+    Runs are found inside each scanline. Only the first and last run of a row can join a
+    neighbouring row, so one small record per row decides that, ordered within its image.
+    """
+    start_list = mask_rows.select("image_id", "y", "width", "cls", run_starts(F.col("cls")).alias("_s"))
+    lined = start_list.select("image_id", "y", "width", runs(F.col("cls"), F.col("_s")).alias("_r"))
+    heads = lined.select(
+        "image_id", "y", "width", F.get("_r", F.lit(0)).alias("_head"), F.element_at("_r", -1)["cls"].alias("_tail_cls"), F.size("_r").alias("_n")
+    )
+    rows_up = W.partitionBy("image_id").orderBy("y")
+    joins = F.coalesce(F.lag("_tail_cls").over(rows_up) == F.col("_head.cls"), F.lit(False))
+    heads = heads.withColumn("_joins", joins)
+    line_start = F.col("y").cast("bigint") * F.col("width")
+    fresh = F.when(~F.col("_joins"), line_start).when(F.col("_n") > 1, line_start + F.col("_head.x_end") + 1)
+    rows_down = W.partitionBy("image_id").orderBy(F.col("y").desc()).rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.withColumn("_fresh", fresh)
+    # the next run start below this row: the closest row further down that begins one
+    below = F.last("_fresh", ignorenulls=True).over(rows_down)
+    last_row = F.max("y").over(W.partitionBy("image_id"))
+    heads = heads.select("image_id", "y", "_joins", F.coalesce(below, (last_row + 1).cast("bigint") * F.col("width")).alias("_next"))
+    opened_ = lined.join(heads, ["image_id", "y"]).select("image_id", "y", "width", "_joins", "_next", F.size("_r").alias("_n"), F.posexplode("_r").alias("_i", "_q"))
+    begun = opened_.filter(~((F.col("_i") == 0) & F.col("_joins")))
+    start = F.col("y").cast("bigint") * F.col("width") + F.col("_q.x_start")
+    stop = F.when(F.col("_i") == F.col("_n") - 1, F.col("_next")).otherwise(F.col("y").cast("bigint") * F.col("width") + F.col("_q.x_end") + 1)
+    return begun.select("image_id", start.alias("start"), F.col("_q.cls").alias("value"), (stop - start).alias("length"))

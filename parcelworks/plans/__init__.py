@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metadata", "geometry", "raster"]
+MODULES = ["metadata", "geometry", "raster", "masks"]
 
 
 def load_all() -> None:
