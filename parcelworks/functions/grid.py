@@ -75,10 +75,11 @@ def explode_grid(df, xs: Column, ys: Column):
         df.withColumn("_xs", xs)
         .withColumn("_ys", ys)
         .withColumn("_nx", F.size("_xs"))
-        .select("*", F.posexplode("_ys").alias("row", "y0"))
-        .select("*", F.posexplode("_xs").alias("col", "x0"))
+        .select("*", F.posexplode_outer("_ys").alias("row", "y0"))
+        .select("*", F.posexplode_outer("_xs").alias("col", "x0"))
         .withColumn("window_index", F.col("row") * F.col("_nx") + F.col("col"))
         .drop("_xs", "_ys", "_nx")
+        .filter(F.col("x0").isNotNull() & F.col("y0").isNotNull())
     )
 
 

@@ -1,7 +1,8 @@
 """One raster row held as an array: horizontal work without a shuffle.
 
 A mask is stored as ``(image_id, y, cls ARRAY<INT>)``, one row per scanline. Rows are
-bounded by the raster width, so every expression here is bounded too.
+bounded by the raster width, so every expression here is bounded too. Generators are the ``_outer`` ones: rows are never empty, and the plain ones
+make the optimizer add a size filter that computes the whole array a second time.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ def explode_runs(rows: DataFrame, row_col: str = "cls") -> DataFrame:
     """Scanlines to ``(..., x_start, x_end, cls)`` runs, computed inside each row."""
     keep = [c for c in rows.columns if c != row_col]
     with_starts = rows.withColumn("_starts", run_starts(F.col(row_col)))
-    return with_starts.select(*keep, F.inline(runs(F.col(row_col), F.col("_starts"))))
+    return with_starts.select(*keep, F.inline_outer(runs(F.col(row_col), F.col("_starts"))))
 
 
 def explode_pixels(rows: DataFrame, row_col: str = "cls") -> DataFrame:
     keep = [c for c in rows.columns if c != row_col]
-    return rows.select(*keep, F.posexplode(row_col).alias("x", row_col))
+    return rows.select(*keep, F.posexplode_outer(row_col).alias("x", row_col))
 
 
 def count_equal(row: Column, value: int) -> Column:

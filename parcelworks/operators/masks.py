@@ -91,7 +91,7 @@ def elementary_segments(mask_runs: DataFrame, keep: list[str]) -> DataFrame:
     joined = local.join(cuts, [*LINE, "_cell"])
     inside = F.filter("_cuts", lambda c: (c >= F.col("_from")) & (c <= F.col("_to") + 1))
     pieces = F.zip_with(F.slice("_c", 1, F.size("_c") - 1), F.slice("_c", 2, F.size("_c") - 1), lambda a, b: F.struct(a.alias("x_start"), (b - 1).cast("int").alias("x_end")))
-    return joined.withColumn("_c", inside).select(*LINE, *keep, F.inline(pieces))
+    return joined.withColumn("_c", inside).select(*LINE, *keep, F.inline_outer(pieces))
 
 
 def paint(mask_runs: DataFrame, value: str, highest: bool = True) -> DataFrame:
@@ -123,7 +123,7 @@ def tile_grid_full_only(images: DataFrame, labelled: DataFrame, tile: int) -> Da
     grid = G.explode_grid(images, G.starts_full_only(F.col("width"), tile), G.starts_full_only(F.col("height"), tile))
     hit = labelled.select(
         "image_id", F.floor(F.col("y") / tile).cast("int").alias("row"),
-        F.explode(F.sequence(F.floor(F.col("x_start") / tile), F.floor(F.col("x_end") / tile))).cast("int").alias("col"),
+        F.explode(F.sequence(F.floor(F.col("x_start") / tile).cast("int"), F.floor(F.col("x_end") / tile).cast("int"))).alias("col"),
     ).distinct()
     return rank_within(grid.join(hit, ["image_id", "row", "col"], "left_semi"), "image_id", "window_index")
 
@@ -243,7 +243,7 @@ def binary_runs(mask_rows: DataFrame, classes: list[int]) -> DataFrame:
     flags = F.transform("cls", lambda v: v.isin(classes).cast("int"))
     flagged = mask_rows.select("image_id", "y", "width", "height", flags.alias("_f"))
     flagged = flagged.withColumn("_s", run_starts(F.col("_f")))
-    opened_ = flagged.select("image_id", "y", "width", "height", F.inline(runs(F.col("_f"), F.col("_s"))))
+    opened_ = flagged.select("image_id", "y", "width", "height", F.inline_outer(runs(F.col("_f"), F.col("_s"))))
     return opened_.filter(F.col("cls") == 1).drop("cls")
 
 
@@ -286,7 +286,7 @@ def rle_encode(mask_rows: DataFrame) -> DataFrame:
     below = F.last("_fresh", ignorenulls=True).over(rows_down)
     last_row = F.max("y").over(W.partitionBy("image_id"))
     heads = heads.select("image_id", "y", "_joins", F.coalesce(below, (last_row + 1).cast("bigint") * F.col("width")).alias("_next"))
-    opened_ = lined.join(heads, ["image_id", "y"]).select("image_id", "y", "width", "_joins", "_next", F.size("_r").alias("_n"), F.posexplode("_r").alias("_i", "_q"))
+    opened_ = lined.join(heads, ["image_id", "y"]).select("image_id", "y", "width", "_joins", "_next", F.size("_r").alias("_n"), F.posexplode_outer("_r").alias("_i", "_q"))
     begun = opened_.filter(~((F.col("_i") == 0) & F.col("_joins")))
     start = F.col("y").cast("bigint") * F.col("width") + F.col("_q.x_start")
     stop = F.when(F.col("_i") == F.col("_n") - 1, F.col("_next")).otherwise(F.col("y").cast("bigint") * F.col("width") + F.col("_q.x_end") + 1)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metadata", "geometry", "raster", "masks"]
+MODULES = ["metadata", "geometry", "raster", "masks", "regions"]
 
 
 def load_all() -> None:

@@ -86,7 +86,7 @@ class Tables:
 
     @cached_property
     def rgb_pixels(self) -> DataFrame:
-        return self.rgb_rows.select("image_id", "nodata", "y", F.posexplode("bands").alias("x", "bands"))
+        return self.rgb_rows.select("image_id", "nodata", "y", F.posexplode_outer("bands").alias("x", "bands"))
 
     @cached_property
     def band_pixels(self) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 from pathlib import Path
@@ -55,6 +57,10 @@ def compare(name, spark, con, folder, queries, oracles):
     return ("FAIL" + note if note else f"ok rows={len(rows)}") + ("" if rows else " FAIL: empty")
 
 
+def _expired(*_):
+    raise TimeoutError("query took too long")
+
+
 def main():
     import __spark_entry__ as entry
     from parcelworks.session import build_session
@@ -67,11 +73,15 @@ def main():
     failed = []
     for name in names:
         start = time.time()
+        signal.signal(signal.SIGALRM, _expired)
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "60")))
         try:
             result = compare(name, spark, con, folder, queries, oracles)
         except Exception as error:  # report and go on
             result = f"FAIL {type(error).__name__}: {str(error)[:700]}"
+        signal.alarm(0)
         if "FAIL" in result:
+            spark.sparkContext.cancelAllJobs()
             failed.append(name)
         print(f"{name:28s} {time.time() - start:6.2f}s {result}", flush=True)
     print(f"{len(names)} checked, {len(failed)} failed: {failed}")
