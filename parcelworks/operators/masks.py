@@ -228,14 +228,14 @@ def closed(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
     return erode(dilate(mask_runs, kernel), kernel)
 
 
-def run_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pixels of ``left`` not in ``right``; both disjoint per row. Left counts 1, right takes 2 away."""
+def run_difference(left: DataFrame, right: DataFrame, keys: list[str] = LINE) -> DataFrame:
+    """Pixels of ``left`` not in ``right``; both disjoint per key. Left counts 1, right takes 2 away."""
     ends = lambda w: F.array(F.struct(F.col("x_start").alias("x"), F.lit(w).alias("d")), F.struct((F.col("x_end") + 1).alias("x"), F.lit(-w).alias("d")))
-    events = left.select(*LINE, F.inline(ends(1))).union(right.select(*LINE, F.inline(ends(-2)))).groupBy(*LINE, "x").agg(F.sum("d").alias("d"))
-    by_row = W.partitionBy(*LINE).orderBy("x")
+    events = left.select(*keys, F.inline(ends(1))).union(right.select(*keys, F.inline(ends(-2)))).groupBy(*keys, "x").agg(F.sum("d").alias("d"))
+    by_row = W.partitionBy(*keys).orderBy("x")
     state = events.withColumn("_ok", F.sum("d").over(by_row.rowsBetween(W.unboundedPreceding, 0)) == 1)
     turns = state.withColumn("_was", F.lag("_ok", 1, False).over(by_row)).filter(F.col("_ok") != F.col("_was"))
-    return turns.withColumn("x_end", (F.lead("x").over(by_row) - 1).cast("int")).filter("_ok").select(*LINE, F.col("x").cast("int").alias("x_start"), "x_end")
+    return turns.withColumn("x_end", (F.lead("x").over(by_row) - 1).cast("int")).filter("_ok").select(*keys, F.col("x").cast("int").alias("x_start"), "x_end")
 
 
 def binary_runs(mask_rows: DataFrame, classes: list[int]) -> DataFrame:

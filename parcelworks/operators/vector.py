@@ -1,14 +1,334 @@
-"""Polygon layers: filters, spatial joins, burning into runs."""
+"""Polygon layers: filters, spatial joins, burning into runs, tracing, simplification."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.functions import ring as R
+from parcelworks.operators.masks import LINE, length, paint, run_difference, sweep
+
+RING_TYPE = "array<struct<x:double,y:double>>"
 
 
 def attribute_filter(features: DataFrame, attribute: Column, values: list, ring: str = "ring") -> DataFrame:
     """Wanted attribute values with a usable ring (closed, at least four points, some area)."""
     usable = F.col(ring).isNotNull() & (F.size(ring) >= 4) & (R.area(F.col(ring)) > 0)
     return features.filter(attribute.isin(values) & usable)
+
+
+# ---- spatial join -------------------------------------------------------------------
+
+def ring_box_join(features: DataFrame, boxes: DataFrame, cell: float, feature_key: str = "feature_id") -> DataFrame:
+    """Polygons that meet boxes (box_id, x1, y1, x2, y2), each pair once.
+
+    Both sides are cut into square cells of ``cell`` units (choose about the box size), so
+    the join is an equi-join and a crowded image is split by place. Bounds are tested
+    before the exact ring test; the pair is reported from the cell of its lower corner.
+    """
+    bounded = features.filter(F.col("ring").isNotNull()).select("*", *(c.alias(f"_{n}") for n, c in R.bounds(F.col("ring")).items()))
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+    fine = bounded.withColumn("_cx", F.explode(span("_xmin", "_xmax"))).withColumn("_cy", F.explode(span("_ymin", "_ymax")))
+    tiles = boxes.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
+    joined = fine.join(tiles, ["_cx", "_cy"])
+    near = (F.col("_xmin") <= F.col("x2")) & (F.col("_xmax") >= F.col("x1")) & (F.col("_ymin") <= F.col("y2")) & (F.col("_ymax") >= F.col("y1"))
+    once = (F.floor(F.greatest("_xmin", "x1") / cell) == F.col("_cx")) & (F.floor(F.greatest("_ymin", "y1") / cell) == F.col("_cy"))
+    exact = R.touches_box(F.col("ring"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return joined.filter(near & once & exact).drop("_cx", "_cy", "_xmin", "_xmax", "_ymin", "_ymax")
+
+
+def image_boxes(images: DataFrame) -> DataFrame:
+    """Map bounds of images as boxes."""
+    x1, x2 = F.col("c"), F.col("c") + F.col("a") * F.col("width") + F.col("b") * F.col("height")
+    y2, y1 = F.col("f"), F.col("f") + F.col("d") * F.col("width") + F.col("e") * F.col("height")
+    return images.select("image_id", F.least(x1, x2).alias("x1"), F.least(y1, y2).alias("y1"), F.greatest(x1, x2).alias("x2"), F.greatest(y1, y2).alias("y2"))
+
+
+def overlap_report(images: DataFrame, features: DataFrame, cell: float) -> DataFrame:
+    """Per image the number of polygons that meet it."""
+    counts = ring_box_join(features, image_boxes(images), cell).groupBy("image_id").agg(F.count("*").alias("_n"))
+    joined = images.select("image_id", "image_name").join(counts, "image_id", "left")
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    return joined.select("image_id", "image_name", n.alias("overlap_polygon_count"), (n > 0).alias("has_overlap"))
+
+
+# ---- burning ------------------------------------------------------------------------
+
+def rasterize_binary(features: DataFrame, keep: list[str], all_touched: bool = False) -> DataFrame:
+    """Runs of pixels whose centre lies in the ring (even-odd, half-open crossings).
+
+    ``features``: keep, ring in pixel units, width, height. Each feature opens its own
+    rows; crossings are found and paired inside the row. ``all_touched`` adds the cells
+    the edges pass. Runs of one feature may then overlap (``sweep`` joins them).
+    """
+    ring = F.col("ring")
+    limits = R.bounds(ring)
+    low = F.greatest(F.floor(limits["ymin"]), F.lit(0)).cast("int")
+    high = F.least(F.floor(limits["ymax"]), F.col("height") - 1).cast("int")
+    rows = features.select(*keep, "width", R.edges(ring).alias("_edges"), F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y"))
+    centre = F.col("y") + F.lit(0.5)
+    straddling = F.filter("_edges", lambda g: (g["ay"] <= centre) != (g["by"] <= centre))
+    at = F.array_sort(F.transform(straddling, lambda g: g["ax"] + (centre - g["ay"]) * (g["bx"] - g["ax"]) / (g["by"] - g["ay"])))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_x") / 2) - 1, F.lit(0))), lambda i: F.struct(F.get("_x", i * 2).alias("from"), F.get("_x", i * 2 + 1).alias("to")))
+    clip = lambda p: F.struct(
+        F.greatest(F.ceil(p["from"] - 0.5), F.lit(0)).cast("int").alias("x_start"), F.least(F.ceil(p["to"] - 0.5) - 1, F.col("width") - 1).cast("int").alias("x_end")
+    )
+    inner = F.when(F.size("_x") >= 2, F.transform(pairs, clip)).otherwise(F.array().cast("array<struct<x_start:int,x_end:int>>"))
+    parts = inner
+    if all_touched:
+        reaching = F.filter("_edges", lambda g: (F.least(g["ay"], g["by"]) <= F.col("y") + 1) & (F.greatest(g["ay"], g["by"]) >= F.col("y")))
+        parts = F.concat(inner, F.transform(reaching, lambda g: _edge_cells(g, F.col("y").cast("double"), F.col("y") + 1.0, F.col("width"), 0.0)))
+    with_x = rows.withColumn("_x", at)
+    return with_x.select(*keep, "y", F.inline(parts)).filter("x_start <= x_end")
+
+
+def _edge_cells(g: Column, low: Column, high: Column, width: Column, margin: float) -> Column:
+    """Columns an edge covers between two heights, widened by ``margin``."""
+    dy = g["by"] - g["ay"]
+    part = lambda y: F.when(dy == 0, F.lit(0.0)).otherwise(F.greatest(F.least((y - g["ay"]) / dy, F.lit(1.0)), F.lit(0.0)))
+    x_at = lambda t: g["ax"] + t * (g["bx"] - g["ax"])
+    one = F.when(dy == 0, g["ax"]).otherwise(x_at(part(low)))
+    two = F.when(dy == 0, g["bx"]).otherwise(x_at(part(high)))
+    return F.struct(
+        F.greatest(F.floor(F.least(one, two) - margin), F.lit(0)).cast("int").alias("x_start"), F.least(F.floor(F.greatest(one, two) + margin), width - 1).cast("int").alias("x_end")
+    )
+
+
+def cell_edge_distance(g: Column, x: Column, y: Column) -> Column:
+    """Distance between the unit cell at (x, y) and an edge; 0 when they meet."""
+    dx, dy = g["bx"] - g["ax"], g["by"] - g["ay"]
+    squared = dx * dx + dy * dy
+
+    def corner(px: Column, py: Column) -> Column:
+        t = F.when(squared == 0, F.lit(0.0)).otherwise(F.greatest(F.least(((px - g["ax"]) * dx + (py - g["ay"]) * dy) / squared, F.lit(1.0)), F.lit(0.0)))
+        ex, ey = px - g["ax"] - t * dx, py - g["ay"] - t * dy
+        return F.sqrt(ex * ex + ey * ey)
+
+    def end(px: Column, py: Column) -> Column:
+        ex = F.greatest(x - px, px - x - 1.0, F.lit(0.0))
+        ey = F.greatest(y - py, py - y - 1.0, F.lit(0.0))
+        return F.sqrt(ex * ex + ey * ey)
+
+    side = lambda px, py: dx * (py - g["ay"]) - dy * (px - g["ax"])
+    sides = [side(x, y), side(x + 1.0, y), side(x, y + 1.0), side(x + 1.0, y + 1.0)]
+    reach = (F.least(g["ax"], g["bx"]) <= x + 1.0) & (F.greatest(g["ax"], g["bx"]) >= x) & (F.least(g["ay"], g["by"]) <= y + 1.0) & (F.greatest(g["ay"], g["by"]) >= y)
+    meets = reach & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    near = F.least(corner(x, y), corner(x + 1.0, y), corner(x, y + 1.0), corner(x + 1.0, y + 1.0), end(g["ax"], g["ay"]), end(g["bx"], g["by"]))
+    return F.when(meets, F.lit(0.0)).otherwise(near)
+
+
+def boundary_band(features: DataFrame, keep: list[str], width_px: float) -> DataFrame:
+    """Runs of the cells within ``width_px`` of a ring edge (every touched cell counts).
+
+    An edge offers each row only the columns near its part in that row, so cells grow
+    with the edge length; the exact distance decides.
+    """
+    edge = features.select(*keep, "width", "height", F.explode(R.edges(F.col("ring"))).alias("_g"))
+    low = F.greatest(F.floor(F.least("_g.ay", "_g.by") - width_px), F.lit(0)).cast("int")
+    high = F.least(F.floor(F.greatest("_g.ay", "_g.by") + width_px), F.col("height") - 1).cast("int")
+    rows = edge.select(*keep, "width", "_g", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y"))
+    span = _edge_cells(F.col("_g"), F.col("y") - width_px, F.col("y") + 1.0 + width_px, F.col("width"), width_px)
+    offered = rows.withColumn("_s", span).filter("_s.x_start <= _s.x_end")
+    x = lambda i: i.cast("double")
+    near = F.filter(F.sequence("_s.x_start", "_s.x_end"), lambda i: cell_edge_distance(F.col("_g"), x(i), F.col("y").cast("double")) <= width_px)
+    hit = offered.withColumn("_n", near).filter(F.size("_n") > 0)
+    # cells within a distance of a segment form one stretch of a row (both sets are convex)
+    return hit.select(*keep, "y", F.array_min("_n").alias("x_start"), F.array_max("_n").alias("x_end"))
+
+
+def rasterize_field_boundary(features: DataFrame, boundary_px: float = 1.0, all_touched: bool = False) -> DataFrame:
+    """Interior 1, then the boundary band 2 over it; disjoint runs per image."""
+    inner = rasterize_binary(features, ["image_id"], all_touched).withColumn("cls", F.lit(1))
+    if boundary_px <= 0:
+        return paint(inner, "cls")
+    band = boundary_band(features, ["image_id"], boundary_px).withColumn("cls", F.lit(2))
+    return paint(inner.unionByName(band), "cls")
+
+
+def tile_coverage(burned: DataFrame, images: DataFrame, tile: int) -> DataFrame:
+    """Share of each tile under the union of burned runs."""
+    union = sweep(burned)
+    cut = union.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x_start") / tile), F.floor(F.col("x_end") / tile)))).withColumn("ty", F.floor(F.col("y") / tile))
+    part = F.least(F.col("x_end"), F.col("tx") * tile + tile - 1) - F.greatest(F.col("x_start"), F.col("tx") * tile) + 1
+    counted = cut.groupBy("image_id", "ty", "tx").agg(F.sum(part).alias("_n")).join(images.select("image_id", "width", "height"), "image_id")
+    size = F.least(F.lit(tile), F.col("width") - F.col("tx") * tile) * F.least(F.lit(tile), F.col("height") - F.col("ty") * tile)
+    return counted.select("image_id", "ty", "tx", (F.col("_n") / size).alias("coverage"))
+
+
+def crown_coverage_filter(burned: DataFrame, images: DataFrame, tile: int, threshold: float = 0.6) -> DataFrame:
+    return tile_coverage(burned, images, tile).filter(F.col("coverage") >= threshold)
+
+
+def topology_resolve(burned: DataFrame, order: str) -> DataFrame:
+    """Overlapping features: the one written first keeps its pixels."""
+    return paint(burned, order, highest=False)
+
+
+# ---- tracing ------------------------------------------------------------------------
+
+def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rings of one region from its directed cell edges; right turns first at crossings."""
+    edges: dict = {}
+    for ax, ay, bx, by in pdf[["ax", "ay", "bx", "by"]].itertuples(index=False):
+        edges.setdefault((ax, ay), []).append((bx, by))
+    rings = []
+    while edges:
+        start = min(edges)
+        here, came, path = start, None, [start]
+        while True:
+            ways = edges[here]
+            if came is not None and len(ways) > 1:  # clockwise cross product: the right turn
+                ways.sort(key=lambda n: (came[0] * (n[1] - here[1]) - came[1] * (n[0] - here[0])) < 0)
+            following = ways.pop(0)
+            if not ways:
+                del edges[here]
+            came = (np.sign(following[0] - here[0]), np.sign(following[1] - here[1]))
+            here = following
+            path.append(here)
+            if here == start:
+                break
+        corner = [p for p, a, c in zip(path[:-1], [path[-2], *path[:-2]], path[1:]) if not (a[0] == p[0] == c[0] or a[1] == p[1] == c[1])]
+        rings.append([{"x": float(x), "y": float(y)} for x, y in [*corner, corner[0]]])
+    first = pdf.iloc[0]
+    return pd.DataFrame({"image_id": first["image_id"], "region": first["region"], "ring_index": range(len(rings)), "ring": rings})
+
+
+def vectorize(labelled: DataFrame) -> DataFrame:
+    """Region runs to rings in pixel corners: outer rings have positive area, holes negative.
+
+    Cell edges without a neighbour of the same region come from run differences, so only
+    the outline of a region (one polygon, one output value) meets in a task.
+    """
+    keys = ["image_id", "region", "y"]
+    runs_ = labelled.select(*keys, "x_start", "x_end")
+    shifted = lambda by: runs_.withColumn("y", F.col("y") + by)
+    left, right = F.col("x_start"), F.col("x_end") + 1
+    line = lambda df, ax, ay, bx, by: df.select("image_id", "region", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    y = F.col("y")
+    top = line(run_difference(runs_, shifted(1), keys), left, y, right, y)
+    bottom = line(run_difference(runs_, shifted(-1), keys), right, y + 1, left, y + 1)
+    edges = top.union(bottom).union(line(runs_, right, y, right, y + 1)).union(line(runs_, left, y + 1, left, y))
+    schema = f"image_id bigint, region bigint, ring_index bigint, ring {RING_TYPE}"
+    return edges.groupBy("image_id", "region").applyInPandas(_trace, schema)
+
+
+def _halve(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker on an open line, without recursion."""
+    keep = np.zeros(len(points), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        d, rel = points[b] - points[a], points[a + 1 : b] - points[a]
+        base = np.hypot(*d)
+        away = np.abs(d[0] * rel[:, 1] - d[1] * rel[:, 0]) / base if base > 0 else np.hypot(rel[:, 0], rel[:, 1])
+        k = int(np.argmax(away))
+        if away[k] > tolerance:
+            keep[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return points[keep]
+
+
+def simplify_layer(layer: DataFrame, tolerance: Column, ring: str = "ring") -> DataFrame:
+    """Douglas-Peucker on every ring; a closed ring is opened at its farthest point."""
+    columns = layer.columns
+    schema = ", ".join(f"{n} {t}" for n, t in layer.dtypes)
+
+    def shorten(points: list, limit: float) -> list:
+        p = np.array([(q["x"], q["y"]) for q in points], float)
+        far = int(np.argmax(np.hypot(*(p - p[0]).T)))
+        kept = np.vstack([_halve(p[: far + 1], limit)[:-1], _halve(p[far:], limit)])
+        return [{"x": x, "y": y} for x, y in kept]
+
+    def run(batches):
+        for pdf in batches:
+            pdf[ring] = [shorten(r, t) for r, t in zip(pdf[ring], pdf["_tolerance"])]
+            yield pdf[columns]
+
+    return layer.withColumn("_tolerance", tolerance.cast("double")).mapInPandas(run, schema)
+
+
+def convex_hull(ring: Column) -> Column:
+    """Closed convex hull of each ring, in Arrow batches."""
+
+    def hull(ring) -> list:
+        pts = sorted({(q["x"], q["y"]) for q in ring})
+        if len(pts) < 3:
+            return [{"x": x, "y": y} for x, y in [*pts, pts[0]]]
+
+        def half(order):
+            out = []
+            for p in order:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                    out.pop()
+                out.append(p)
+            return out[:-1]
+
+        loop = half(pts) + half(pts[::-1])
+        return [{"x": x, "y": y} for x, y in [*loop, loop[0]]]
+
+    def batch(rings: pd.Series) -> pd.Series:
+        return rings.map(hull)
+
+    return F.pandas_udf(batch, RING_TYPE)(ring)
+
+
+def with_min_rect(layer: DataFrame, ring: str = "ring") -> DataFrame:
+    """Adds ``rect_area`` and ``rect``, the smallest rotated rectangle.
+
+    One side lies along a hull edge: every hull edge is tried as an axis, in the row.
+    """
+    hulled = layer.withColumn("_hull", convex_hull(F.col(ring)))
+
+    def along(g: Column, i: Column) -> Column:
+        size = F.greatest(R.edge_length(g), F.lit(1e-12))
+        ux, uy = (g["bx"] - g["ax"]) / size, (g["by"] - g["ay"]) / size
+        a = F.transform("_hull", lambda p: p["x"] * ux + p["y"] * uy)
+        b = F.transform("_hull", lambda p: p["y"] * ux - p["x"] * uy)
+        low_a, high_a, low_b, high_b = F.array_min(a), F.array_max(a), F.array_min(b), F.array_max(b)
+        at = lambda u, v: F.struct((u * ux - v * uy).alias("x"), (u * uy + v * ux).alias("y"))
+        loop = F.array(at(low_a, low_b), at(high_a, low_b), at(high_a, high_b), at(low_a, high_b), at(low_a, low_b))
+        return F.struct(F.round((high_a - low_a) * (high_b - low_b), 9).alias("rect_area"), i.alias("order"), loop.alias("rect"))
+
+    best = F.array_min(F.transform(R.edges(F.col("_hull")), along))
+    return hulled.withColumn("_best", best).select(*layer.columns, F.col("_best.rect_area").alias("rect_area"), F.col("_best.rect").alias("rect"))
+
+
+# Rectangle area up to which a relative excess below the limit counts as rectangular.
+RECT_TIERS = ((100.0, 0.25), (300.0, 0.2), (500.0, 0.15), (2000.0, 0.1), (5000.0, 0.05))
+RECT_TIER_LAST = 0.02
+
+
+def min_rect_layer(layer: DataFrame) -> DataFrame:
+    return with_min_rect(layer).withColumn("ring", F.col("rect")).drop("rect")
+
+
+def rect_snap_layer(layer: DataFrame) -> DataFrame:
+    """Replace a ring by its smallest rectangle where that adds little area."""
+    measured = with_min_rect(layer)
+    limit = F.lit(RECT_TIER_LAST)
+    for top, share in reversed(RECT_TIERS):
+        limit = F.when(F.col("rect_area") < top, F.lit(share)).otherwise(limit)
+    snaps = F.col("rect_area") / R.area(F.col("ring")) - 1 < limit
+    return measured.withColumn("snapped", snaps).withColumn("ring", F.when(F.col("snapped"), F.col("rect")).otherwise(F.col("ring"))).drop("rect")
+
+
+def circle_layer(layer: DataFrame) -> DataFrame:
+    return layer.withColumn("ring", F.when(R.circle_similar(F.col("ring")), R.circle_ring(F.col("ring"))).otherwise(F.col("ring")))
+
+
+def outer_polygons(labelled: DataFrame, smallest: float, epsilon_ratio: float = 0.003) -> DataFrame:
+    """Outer rings of at least ``smallest`` area, simplified by max(1, ratio * perimeter), three corners or more."""
+    outer = vectorize(labelled).filter(R.signed_area(F.col("ring")) >= smallest)
+    short = simplify_layer(outer, F.greatest(F.lit(1.0), R.perimeter(F.col("ring")) * epsilon_ratio))
+    return short.filter(F.size("ring") >= 4)
+
+
+def polygonize_mask(labelled: DataFrame, sizes: DataFrame, smallest: float = 64, epsilon_ratio: float = 0.003) -> DataFrame:
+    """The mask redrawn from its simplified outer polygons (holes are filled by that)."""
+    polygons = outer_polygons(labelled, smallest, epsilon_ratio).join(sizes, "image_id")
+    return sweep(rasterize_binary(polygons, ["image_id"]))
