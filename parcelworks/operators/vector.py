@@ -168,15 +168,15 @@ def topology_resolve(burned: DataFrame, order: str) -> DataFrame:
 
 # ---- tracing ------------------------------------------------------------------------
 
-def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
+def _trace(edge_list) -> list[list[dict]]:
     """Rings of one region from its directed cell edges; right turns first at crossings."""
     edges: dict = {}
-    for ax, ay, bx, by in pdf[["ax", "ay", "bx", "by"]].itertuples(index=False):
+    for ax, ay, bx, by in edge_list:
         edges.setdefault((ax, ay), []).append((bx, by))
     rings = []
     while edges:
-        start = min(edges)
-        here, came, path = start, None, [start]
+        start = here = next(iter(edges))
+        came, path = None, [start]
         while True:
             ways = edges[here]
             if came is not None and len(ways) > 1:  # clockwise cross product: the right turn
@@ -184,15 +184,35 @@ def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
             following = ways.pop(0)
             if not ways:
                 del edges[here]
-            came = (np.sign(following[0] - here[0]), np.sign(following[1] - here[1]))
+            came = (following[0] - here[0], following[1] - here[1])
             here = following
             path.append(here)
             if here == start:
                 break
         corner = [p for p, a, c in zip(path[:-1], [path[-2], *path[:-2]], path[1:]) if not (a[0] == p[0] == c[0] or a[1] == p[1] == c[1])]
         rings.append([{"x": float(x), "y": float(y)} for x, y in [*corner, corner[0]]])
-    first = pdf.iloc[0]
-    return pd.DataFrame({"image_id": first["image_id"], "region": first["region"], "ring_index": range(len(rings)), "ring": rings})
+    return rings
+
+
+def _trace_sorted(batches):
+    """Trace region after region from rows sorted by region; a region may span batches."""
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        last = pdf.iloc[-1]
+        open_ = (pdf["image_id"] == last["image_id"]) & (pdf["region"] == last["region"])
+        held = pdf[open_]
+        yield _trace_frame(pdf[~open_])
+    if held is not None:
+        yield _trace_frame(held)
+
+
+def _trace_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for (image, region), part in pdf.groupby(["image_id", "region"], sort=False):
+        for i, ring in enumerate(_trace(part[["ax", "ay", "bx", "by"]].to_numpy().tolist())):
+            out.append((image, region, i, ring))
+    return pd.DataFrame(out, columns=["image_id", "region", "ring_index", "ring"])
 
 
 def vectorize(labelled: DataFrame) -> DataFrame:
@@ -211,7 +231,8 @@ def vectorize(labelled: DataFrame) -> DataFrame:
     bottom = line(run_difference(runs_, shifted(-1), keys), right, y + 1, left, y + 1)
     edges = top.union(bottom).union(line(runs_, right, y, right, y + 1)).union(line(runs_, left, y + 1, left, y))
     schema = f"image_id bigint, region bigint, ring_index bigint, ring {RING_TYPE}"
-    return edges.groupBy("image_id", "region").applyInPandas(_trace, schema)
+    sorted_edges = edges.repartition("image_id", "region").sortWithinPartitions("image_id", "region", "ay", "ax", "by", "bx")
+    return sorted_edges.mapInPandas(_trace_sorted, schema)
 
 
 def _halve(points: np.ndarray, tolerance: float) -> np.ndarray:

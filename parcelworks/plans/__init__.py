@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metadata", "geometry", "raster", "masks", "regions", "vectors"]
+MODULES = ["metadata", "geometry", "raster", "masks", "regions", "vectors", "jobs"]
 
 
 def load_all() -> None:

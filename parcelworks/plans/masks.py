@@ -83,14 +83,14 @@ def _(t):
 
 
 MASKS = "(SELECT image_id, mask_id, CAST(SUM(x_end - x_start + 1) AS BIGINT) AS area, MIN(x_start) AS x1, MIN(y) AS y1, MAX(x_end) AS x2, MAX(y) AS y2, MAX(score) AS score FROM {runs} GROUP BY image_id, mask_id)"
-SOME = "(SELECT * FROM instance_runs WHERE mask_id % 10 <> 0)"
+SOME = "(SELECT * FROM instance_runs WHERE score > 0.1)"
 
 
 @query("mask_area_bbox", f"""SELECT d.image_id, d.det_id AS mask_id, coalesce(area, 0) AS area, coalesce(m.x1, 0) AS x1, coalesce(m.y1, 0) AS y1, coalesce(m.x2, 0) AS x2, coalesce(m.y2, 0) AS y2, round_even(coalesce(area, 0) / 65536.0, 6) + 0.0 AS area_ratio
 FROM detections d LEFT JOIN {MASKS.format(runs=SOME)} m ON d.image_id = m.image_id AND d.det_id = m.mask_id""", "instance_runs")
 def _(t):
     instances = t.detections.select("image_id", F.col("det_id").alias("mask_id"))
-    measured = M.mask_area_bbox(t.instance_runs.filter("mask_id % 10 <> 0"), ["image_id", "mask_id"], instances)
+    measured = M.mask_area_bbox(t.instance_runs.filter("score > 0.1"), ["image_id", "mask_id"], instances)
     return measured.withColumn("area_ratio", r6(F.col("area") / 65536.0))
 
 
@@ -101,7 +101,7 @@ def _(t):
 
 @query("numbering", f"SELECT mask_id, ROW_NUMBER() OVER (ORDER BY mask_id) AS id FROM {MASKS.format(runs=SOME)}", "instance_runs")
 def _(t):
-    filled = M.mask_area_bbox(t.instance_runs.filter("mask_id % 10 <> 0"), ["image_id", "mask_id"])
+    filled = M.mask_area_bbox(t.instance_runs.filter("score > 0.1"), ["image_id", "mask_id"])
     return rank_by_id(filled.select("mask_id"), "mask_id").select("mask_id", (F.col("rank0") + 1).alias("id"))
 
 
@@ -155,19 +155,20 @@ def _(t):
     return pairs.select("image_id", "id_a", "id_b", "common", *(r6(F.col(c)).alias(c) for c in ("iou", "smaller_coverage", "second_coverage")))
 
 
-EVEN, ODD = "(SELECT * FROM instance_runs WHERE mask_id % 2 = 0)", "(SELECT * FROM instance_runs WHERE mask_id % 2 = 1)"
+FIRST, SECOND = "(SELECT * FROM instance_runs WHERE score >= 0.5)", "(SELECT * FROM instance_runs WHERE score < 0.5)"
 
 
 def passes(t):
-    return t.instance_runs.filter("mask_id % 2 = 0"), t.instance_runs.filter("mask_id % 2 = 1")
+    """First and second pass: confident masks and the rest."""
+    return t.instance_runs.filter("score >= 0.5"), t.instance_runs.filter("score < 0.5")
 
 
-@query("cross_pass_anti_join", f"SELECT DISTINCT image_id, mask_id FROM {ODD} WHERE mask_id NOT IN (SELECT id_b FROM {METRICS.format(overlaps=OVERLAPS.format(left=EVEN, right=ODD, extra=''))} WHERE iou >= 0.45 OR smaller_coverage >= 0.75 OR second_coverage >= 0.65)", "instance_runs")
+@query("cross_pass_anti_join", f"SELECT DISTINCT image_id, mask_id FROM {SECOND} WHERE mask_id NOT IN (SELECT id_b FROM {METRICS.format(overlaps=OVERLAPS.format(left=FIRST, right=SECOND, extra=''))} WHERE iou >= 0.45 OR smaller_coverage >= 0.75 OR second_coverage >= 0.65)", "instance_runs")
 def _(t):
     return M.cross_pass_anti_join(*passes(t)).select("image_id", "mask_id").distinct()
 
 
-@query("union_passes", f"""SELECT image_id, mask_id, CASE WHEN mask_id % 2 = 0 THEN 1 ELSE 0 END AS paint_pass FROM (SELECT DISTINCT image_id, mask_id FROM instance_runs)""", "instance_runs")
+@query("union_passes", f"""SELECT image_id, mask_id, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS paint_pass FROM (SELECT DISTINCT image_id, mask_id, score FROM instance_runs)""", "instance_runs")
 def _(t):
     first, second = (p.select("image_id", "mask_id").distinct() for p in passes(t))
     return sets.union_passes(second, first)

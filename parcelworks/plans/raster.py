@@ -65,13 +65,13 @@ def _(t):
 
 
 @query("tile_grid_full_only", """WITH tiles AS (SELECT image_id, CAST(y // 32 AS INT) * 32 AS y0, CAST(x // 32 AS INT) * 32 AS x0, width, height, BOOL_OR(keep) AS labelled FROM (
-    SELECT g.image_id, g.y, g.x, g.width, g.height, m.cls = 2 AND m.image_id % 2 = 0 AS keep FROM grid g JOIN mask_pixels m ON g.image_id = m.image_id AND g.y = m.y AND g.x = m.x) GROUP BY ALL)
+    SELECT g.image_id, g.y, g.x, g.width, g.height, m.cls = 2 AS keep FROM grid g JOIN mask_pixels m ON g.image_id = m.image_id AND g.y = m.y AND g.x = m.x) GROUP BY ALL)
 SELECT image_id, x0, y0, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY y0, x0) - 1 AS tile_number FROM tiles
 WHERE labelled AND x0 + 32 <= width AND y0 + 32 <= height""", "mask_pixels")
 def _(t):
     from parcelworks.operators.masks import tile_grid_full_only
 
-    labelled = t.mask_runs.filter((F.col("cls") == 2) & (F.col("image_id") % 2 == 0))
+    labelled = t.mask_runs.filter(F.col("cls") == 2)
     return tile_grid_full_only(t.images, labelled, 32).select("image_id", "x0", "y0", F.col("rank0").alias("tile_number"))
 
 

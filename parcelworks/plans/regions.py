@@ -54,7 +54,7 @@ def _(t):
 
 
 def cascade(t):
-    first, second = t.instance_runs.filter("mask_id % 2 = 0"), t.instance_runs.filter("mask_id % 2 = 1")
+    first, second = t.instance_runs.filter("score >= 0.5"), t.instance_runs.filter("score < 0.5")
     kept = suppress_masks(t, second, (F.col("iou") >= 0.60) | (F.col("smaller_coverage") >= 0.80))
     additions = M.cross_pass_anti_join(first, second.join(kept, ["image_id", "mask_id"], "left_semi"))
     from parcelworks.operators.sets import union_passes
@@ -101,13 +101,14 @@ def _(t):
 
 @query("object_metrics")
 def _(t):
-    boxes = t.detections.select("image_id", F.col("det_id"), *BOX.columns(), "score")
-    pairs = bbox_iou_join(boxes, ["image_id"], "det_id", 0.5)
-    odd = F.col("id_a") % 2 == 1
-    crossed = pairs.filter((F.col("id_a") + F.col("id_b")) % 2 == 1)
-    crossed = crossed.select(F.when(odd, F.col("id_a")).otherwise(F.col("id_b")).alias("pred"), F.when(odd, F.col("id_b")).otherwise(F.col("id_a")).alias("truth"), "iou")
-    preds = t.detections.filter("det_id % 2 = 1").select(F.col("det_id").alias("pred"), "score")
-    truths = t.detections.filter("det_id % 2 = 0").select(F.col("det_id").alias("truth"))
+    """Class 0 boxes are the predictions, the others the truth."""
+    pairs = bbox_iou_join(t.detections, ["image_id"], "det_id", 0.5)
+    side = lambda name: t.detections.select(F.col("det_id").alias(f"id_{name}"), (F.col("class_id") == 0).alias(f"_{name}"))
+    crossed = pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(F.col("_a") != F.col("_b"))
+    pick = lambda first: F.when(F.col("_a") == first, F.col("id_a")).otherwise(F.col("id_b"))
+    crossed = crossed.select(pick(True).alias("pred"), pick(False).alias("truth"), "iou")
+    preds = t.detections.filter("class_id = 0").select(F.col("det_id").alias("pred"), "score")
+    truths = t.detections.filter("class_id <> 0").select(F.col("det_id").alias("truth"))
     return G.object_metrics(crossed, preds, truths, 0.5).select(
         "threshold", "n_pred", "n_truth", "tp", *(r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "average_precision"))
     )

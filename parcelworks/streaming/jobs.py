@@ -1,12 +1,62 @@
-"""Job event logs: batch twins and Structured Streaming operators."""
+"""Job event logs: batch operators and their Structured Streaming forms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from parcelworks.functions.numbers import clamp, lenient_double
 from parcelworks.operators.ordering import previous_value
+from parcelworks.session import scratch_dir
+
+TERMINAL = ("completed", "failed", "cancelled")
+METRICS = ("epoch", "train_loss", "val_loss", "val_miou", "val_boundary_f1", "val_pixel_accuracy", "lr", "seconds")
+
+
+# ---- shared column logic ------------------------------------------------------------
+
+def log_metrics(events: DataFrame, line: str = "line") -> DataFrame:
+    """Metric rows from log lines: JSON from the first brace on, only with an ``epoch``.
+
+    Unreadable JSON is a plain message and gives no row; unreadable numbers are 0.
+    """
+    start = F.instr(line, "{")
+    payload = F.from_json(F.when(start > 0, F.expr(f"substring({line}, instr({line}, '{{'))")), "map<string,string>")
+    parsed = events.withColumn("_m", payload).filter(F.map_contains_key("_m", "epoch"))
+    return parsed.select(*[c for c in events.columns if c != line], *(lenient_double(F.col("_m")[name]).alias(name) for name in METRICS))
+
+
+def progress_of(current: Column, total: Column) -> Column:
+    return clamp(current / F.greatest(total, F.lit(1.0)), 0.0, 1.0)
+
+
+def latest_state(events: DataFrame) -> DataFrame:
+    """Newest event per job with its progress; works on batches and streams alike.
+
+    ``max_by`` on one struct keeps constant state per job and combines before the shuffle,
+    so a job with very many events costs no more than others.
+    """
+    newest = events.groupBy("job_id").agg(F.max_by(F.struct("seq", "status", "current", "total", "event_time"), "seq").alias("_e"))
+    progress = F.when(F.col("_e.status") == "completed", 1.0).otherwise(progress_of(F.col("_e.current"), F.col("_e.total")))
+    return newest.select("job_id", F.col("_e.seq").alias("seq"), F.col("_e.status").alias("status"), progress.alias("progress"), F.col("_e.event_time").alias("event_time"))
+
+
+def final_state(events: DataFrame) -> DataFrame:
+    """Status per job when the first terminal event absorbs everything after it (batch form)."""
+    ended = F.col("status").isin(*TERMINAL)
+    folded = events.groupBy("job_id").agg(
+        F.min_by(F.struct("seq", "status"), F.when(ended, F.col("seq"))).alias("_end"),
+        F.max_by(F.struct("seq", "status"), F.when(~ended, F.col("seq"))).alias("_open"),
+        F.min(F.when(ended, F.col("seq"))).alias("_first"),
+    )
+    pick = F.when(F.col("_first").isNotNull(), F.col("_end")).otherwise(F.col("_open"))
+    return folded.select("job_id", pick["status"].alias("status"), pick["seq"].alias("seq"))
 
 
 def log_tail(events: DataFrame, keep: int = 120) -> DataFrame:
@@ -18,3 +68,84 @@ def log_tail(events: DataFrame, keep: int = 120) -> DataFrame:
     changed = previous_value(events.select("job_id", "seq", "line"), "job_id", "seq", "line", "prev").filter(~F.col("prev").eqNullSafe(F.col("line")))
     back = F.row_number().over(W.partitionBy("job_id").orderBy(F.col("seq").desc()))
     return changed.withColumn("back", back).filter(F.col("back") <= keep).select("job_id", "seq", "line")
+
+
+def active_job_guard(datasets: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Datasets that may be cleared: no job of theirs is still open."""
+    open_jobs = jobs.filter(~F.col("status").isin(*TERMINAL)).select("dataset_id").distinct()
+    return datasets.join(open_jobs, "dataset_id", "left_anti")
+
+
+def job_history(jobs: DataFrame) -> DataFrame:
+    return jobs.orderBy(F.col("created").desc(), "job_id")
+
+
+# ---- streams ------------------------------------------------------------------------
+
+def read_events(spark: SparkSession, folder: str, schema, per_batch: int = 4) -> DataFrame:
+    """The ``events`` files of a folder as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(folder)
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Process what is there, into a table in the shared folder, and read it back.
+
+    Batches are written with their id under the batch's own path: a retried batch
+    overwrites itself. In update mode the newest row per job is the result.
+    """
+    spark = stream.sparkSession
+    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    written = spark.read.schema(schema).parquet(f"{base}/out")
+    if mode == "append":
+        return written.drop("batch")
+    newest = written.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in stream.columns if c != "job_id"]), "batch").alias("_r"))
+    return newest.select("job_id", "_r.*")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_job_state_machine(events: DataFrame) -> DataFrame:
+    """Job states with absorbing terminal states, one small state per job.
+
+    The fold does not depend on arrival order: it keeps the first terminal event and the
+    last open one by ``seq``.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class JobStates(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("job", "end_seq bigint, end_status string, open_seq bigint, open_status string")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            end_seq, end_status, open_seq, open_status = self.state.get() if self.state.exists() else (None, None, None, None)
+            for pdf in rows:
+                ended = pdf["status"].isin(TERMINAL)
+                if ended.any():
+                    first = pdf[ended].loc[pdf[ended]["seq"].idxmin()]
+                    if end_seq is None or first["seq"] < end_seq:
+                        end_seq, end_status = int(first["seq"]), first["status"]
+                if (~ended).any():
+                    last = pdf[~ended].loc[pdf[~ended]["seq"].idxmax()]
+                    if open_seq is None or last["seq"] > open_seq:
+                        open_seq, open_status = int(last["seq"]), last["status"]
+            self.state.update((end_seq, end_status, open_seq, open_status))
+            seq, status = (end_seq, end_status) if end_seq is not None else (open_seq, open_status)
+            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "seq": [seq]})
+
+        def close(self) -> None:
+            pass
+
+    use_rocksdb(events.sparkSession)
+    return events.select("job_id", "seq", "status").groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobStates(), outputStructType="job_id bigint, status string, seq bigint", outputMode="Update", timeMode="None"
+    )
