@@ -5,25 +5,19 @@ A box is any four columns (x1, y1, x2, y2); ``Box`` only bundles them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelworks.functions.numbers import clamp, half_even, lit_or_col
 
 
-@dataclass(frozen=True)
 class Box:
-    x1: Column
-    y1: Column
-    x2: Column
-    y2: Column
+    def __init__(self, x1: Column, y1: Column, x2: Column, y2: Column):
+        self.x1, self.y1, self.x2, self.y2 = x1, y1, x2, y2
 
     @staticmethod
-    def of(prefix: str = "", alias: str | None = None) -> "Box":
-        dot = f"{alias}." if alias else ""
-        return Box(*(F.col(f"{dot}{prefix}{side}") for side in ("x1", "y1", "x2", "y2")))
+    def of(prefix: str = "") -> "Box":
+        return _NamedBox(prefix)
 
     @property
     def width(self) -> Column:
@@ -53,6 +47,18 @@ class Box:
         return [self.x1.alias("x1"), self.y1.alias("y1"), self.x2.alias("x2"), self.y2.alias("y2")]
 
 
+class _NamedBox(Box):
+    """Box over columns by name; the columns are made on use, so it needs no session."""
+
+    def __init__(self, prefix: str):
+        self._prefix = prefix
+
+    x1 = property(lambda self: F.col(f"{self._prefix}x1"))
+    y1 = property(lambda self: F.col(f"{self._prefix}y1"))
+    x2 = property(lambda self: F.col(f"{self._prefix}x2"))
+    y2 = property(lambda self: F.col(f"{self._prefix}y2"))
+
+
 def union(a: Box, b: Box) -> Box:
     return Box(F.least(a.x1, b.x1), F.least(a.y1, b.y1), F.greatest(a.x2, b.x2), F.greatest(a.y2, b.y2))
 

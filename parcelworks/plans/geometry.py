@@ -247,7 +247,7 @@ def _(t):
 
 # ---- rings --------------------------------------------------------------------------
 
-RING = F.col("ring")
+RING = "ring"
 MEASURED = """(SELECT feature_id, abs(SUM(ax * ey - bx * ay)) / 2 AS area, SUM(sqrt((bx - ax) * (bx - ax) + (ey - ay) * (ey - ay))) AS perimeter,
   SUM((ax + bx) * (ax * ey - bx * ay)) / (3 * SUM(ax * ey - bx * ay)) AS cx, SUM((ay + ey) * (ax * ey - bx * ay)) / (3 * SUM(ax * ey - bx * ay)) AS cy,
   MIN(ax) AS xmin, MIN(ay) AS ymin, MAX(ax) AS xmax, MAX(ay) AS ymax FROM feature_edges GROUP BY feature_id)"""

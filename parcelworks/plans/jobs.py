@@ -18,13 +18,14 @@ from parcelworks.streaming import jobs as J
 
 # ---- streams ------------------------------------------------------------------------
 
-STATUS = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+def status():
+    return F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
 
 
 def event_stream(t: Tables):
     raw = J.read_events(t.spark, t.folder, t.raw("events").schema)
     return raw.select(
-        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time"), STATUS.alias("status"),
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time"), status().alias("status"),
         F.col("value").alias("current"), F.lit(400.0).alias("total"), "event_type", "value", "props",
     )
 
@@ -57,13 +58,13 @@ def _(t):
     return J.run_available(J.stream_job_state_machine(event_stream(t)), "states", "update").select("job_id", "status", "seq")
 
 
-QUIET = "(SELECT * FROM job_events WHERE value > 470 OR status IN ('queued', 'running'))"
+QUIET = "(SELECT * FROM job_events WHERE value > 440 OR status IN ('queued', 'running'))"
 
 
 @query("active_job_guard", f"SELECT DISTINCT job_id // 2 AS dataset_id FROM job_events WHERE job_id // 2 NOT IN (SELECT job_id // 2 FROM {FINAL.format(events=QUIET)} WHERE status NOT IN ('completed', 'failed', 'cancelled'))", "job_events")
 def _(t):
     dataset = F.floor(F.col("job_id") / 2).alias("dataset_id")
-    quiet = t.job_events.filter((F.col("value") > 470) | F.col("status").isin("queued", "running"))
+    quiet = t.job_events.filter((F.col("value") > 440) | F.col("status").isin("queued", "running"))
     states = J.final_state(quiet).select("status", dataset)
     return J.active_job_guard(t.job_events.select(dataset).distinct(), states)
 
