@@ -101,12 +101,17 @@ def circle_similar(ring: Column) -> Column:
 def circle_ring(ring: Column) -> Column:
     """36-point circle of the same perimeter around the centroid, closed."""
     cx, cy = centroid(ring)
-    radius = perimeter(ring) / (2.0 * math.pi)
-    point = lambda deg: F.struct(
-        (cx + radius * F.cos(F.radians(deg.cast("double")))).alias("x"), (cy + radius * F.sin(F.radians(deg.cast("double")))).alias("y")
-    )
-    turned = F.transform(F.sequence(F.lit(0), F.lit(350), F.lit(10)), point)
-    return F.concat(turned, F.slice(turned, 1, 1))
+    measured = F.struct(cx.alias("cx"), cy.alias("cy"), (perimeter(ring) / (2.0 * math.pi)).alias("r"))
+    degrees = F.concat(F.sequence(F.lit(0), F.lit(350), F.lit(10)), F.array(F.lit(0)))
+
+    def around(m: Column) -> Column:
+        angle = lambda deg: F.radians(deg.cast("double"))
+        return F.transform(
+            degrees, lambda d: F.struct((m["cx"] + m["r"] * F.cos(angle(d))).alias("x"), (m["cy"] + m["r"] * F.sin(angle(d))).alias("y"))
+        )
+
+    # a one-element transform binds the measures once for all points
+    return F.get(F.transform(F.array(measured), around), F.lit(0))
 
 
 def dominant_direction(ring: Column) -> Column:

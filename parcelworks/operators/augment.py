@@ -59,37 +59,35 @@ def scale_rows(rows: DataFrame, factor: Column, value: str = "cls", fill: int =
     Nearest pixels for image and mask. A source scanline knows the target rows it feeds;
     padding rows are given out by the first scanline. No join, no shuffle.
     """
-    def axis(size: str):
-        new = F.greatest(F.bround(F.col(size) * factor, 0), F.lit(1.0)).cast("int")
-        crop = F.greatest(F.floor((new - F.col(size)) / 2), F.lit(0)).cast("int")
-        paste = F.floor((F.col(size) - new) / 2).cast("int")
-        grows = factor >= 1.0
-
-        def source(i: Column) -> Column:
-            position = F.when(grows, i + crop).otherwise(i - paste)
-            inside = (position >= 0) & (position < new)
-            return F.when(inside, F.least(F.floor((position + 0.5) * F.col(size) / new), F.col(size) - 1).cast("int"))
-
-        shift = F.when(grows, -crop).otherwise(paste)
-        return source, new, shift
-
-    source_y, new_h, shift_y = axis("height")
-    source_x, _, _ = axis("width")
-    near = F.floor(F.col("y") * new_h / F.col("height")).cast("int") + shift_y
-    reach = F.ceil(new_h / F.col("height")).cast("int") + 1
-    low, high = F.greatest(near - 1, F.lit(0)), F.least(near + reach, F.col("height") - 1)
-    fed = F.when(low <= high, F.filter(F.sequence(low, F.greatest(low, high)), lambda i: source_y(i) == F.col("y"))).otherwise(F.array().cast("array<int>"))
-    top, bottom = F.greatest(shift_y, F.lit(0)), shift_y + new_h
-    pads = F.concat(
-        F.when(top > 0, F.sequence(F.lit(0), F.greatest(top - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")),
-        F.when(bottom < F.col("height"), F.sequence(F.least(bottom, F.col("height") - 1), F.col("height") - 1)).otherwise(F.array().cast("array<int>")),
+    sized = rows.withColumn("_f", factor)
+    for size in ("width", "height"):
+        new = F.greatest(F.bround(F.col(size) * F.col("_f"), 0), F.lit(1.0)).cast("int")
+        sized = sized.withColumn(f"_new_{size}", new)
+        crop = -F.greatest(F.floor((F.col(f"_new_{size}") - F.col(size)) / 2), F.lit(0))
+        paste = F.floor((F.col(size) - F.col(f"_new_{size}")) / 2)
+        sized = sized.withColumn(f"_shift_{size}", F.when(F.col("_f") >= 1.0, crop).otherwise(paste).cast("int"))
+
+    def source(i: Column, size: str) -> Column:
+        position = i - F.col(f"_shift_{size}")
+        inside = (position >= 0) & (position < F.col(f"_new_{size}"))
+        return F.when(inside, F.least(F.floor((position + 0.5) * F.col(size) / F.col(f"_new_{size}")), F.col(size) - 1).cast("int"))
+
+    none = F.array().cast("array<int>")
+    new_h, shift, height = F.col("_new_height"), F.col("_shift_height"), F.col("height")
+    near = F.floor(F.col("y") * new_h / height).cast("int") + shift
+    low, high = F.greatest(near - 1, F.lit(0)), F.least(near + F.ceil(new_h / height).cast("int") + 1, height - 1)
+    fed = F.when(low <= high, F.filter(F.sequence(low, F.greatest(low, high)), lambda i: source(i, "height") == F.col("y"))).otherwise(none)
+    bottom = shift + new_h
+    above = F.when(shift > 0, F.sequence(F.lit(0), F.greatest(shift - 1, F.lit(0)))).otherwise(none)
+    below = F.when(bottom < height, F.sequence(F.least(bottom, height - 1), height - 1)).otherwise(none)
+    given = F.when(F.col("y") == 0, F.concat(above, below)).otherwise(none)
+    targets = F.concat(
+        F.transform(fed, lambda i: F.struct(i.alias("row"), F.lit(False).alias("pad"))), F.transform(given, lambda i: F.struct(i.alias("row"), F.lit(True).alias("pad")))
     )
-    given = F.when(F.col("y") == 0, pads).otherwise(F.array().cast("array<int>"))
-    both = F.concat(F.transform(fed, lambda i: F.struct(i.alias("row"), F.lit(False).alias("pad"))), F.transform(given, lambda i: F.struct(i.alias("row"), F.lit(True).alias("pad"))))
-    opened = rows.withColumn("_t", F.explode(both))
-    picked = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(value, source_x(i)), F.lit(fill)))
-    filled = F.when(F.col("_t.pad"), F.transform(F.col(value), lambda _v: F.lit(fill))).otherwise(picked)
-    return opened.withColumn(value, filled).withColumn("y", F.col("_t.row")).drop("_t")
+    opened = sized.withColumn("_targets", targets).filter(F.size("_targets") > 0).withColumn("_t", F.explode_outer("_targets"))
+    picked = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(value, source(i, "width")), F.lit(fill)))
+    filled = F.when(F.col("_t.pad"), F.array_repeat(F.lit(fill), F.col("width"))).otherwise(picked)
+    return opened.select(*(filled.alias(c) if c == value else F.col("_t.row").alias(c) if c == "y" else F.col(c) for c in rows.columns))
 
 
 def photometric(pixels: DataFrame, brightness: Column, contrast: Column, noise: float, seed: int) -> DataFrame:
@@ -97,15 +95,17 @@ def photometric(pixels: DataFrame, brightness: Column, contrast: Column, noise:
 
     ``pixels``: image_id, y, x, bands (three values). One mean per image is joined back;
     the noise is a Box-Muller value of hashed uniforms, so retries repeat it exactly.
+    Bands are plain columns on the way, which keeps the arithmetic in generated code.
     """
-    lit = pixels.withColumn("bands", F.transform("bands", lambda v: clamp(v * brightness, 0.0, 255.0)))
-    grey = 0.299 * F.element_at("bands", 1) + 0.587 * F.element_at("bands", 2) + 0.114 * F.element_at("bands", 3)
+    byte = lambda v: clamp(v, 0.0, 255.0)
+    names = ("_b1", "_b2", "_b3")
+    lit = pixels.select("image_id", "y", "x", *(byte(F.element_at("bands", i + 1) * brightness).alias(n) for i, n in enumerate(names)))
+    grey = F.lit(0.299) * F.col("_b1") + F.lit(0.587) * F.col("_b2") + F.lit(0.114) * F.col("_b3")
     means = lit.groupBy("image_id").agg(F.bround(F.avg(grey), 6).alias("_mean"))
-    joined = lit.join(means, "image_id")
     place = F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), F.col("y").cast("string"), F.col("x").cast("string"))
-    digest = joined.withColumn("_h", F.md5(place))
+    hashed = lit.join(means, "image_id").withColumn("_h", F.md5(place))
     part = lambda i: (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") + 1.0) / 4294967297.0
     normal = F.sqrt(F.lit(-2.0) * F.log(part(0))) * F.cos(part(1) * 6.283185307179586) * (noise * 255.0)
-    return digest.withColumn("_z", normal).withColumn(
-        "bands", F.transform("bands", lambda v: clamp(clamp((v - F.col("_mean")) * contrast + F.col("_mean"), 0.0, 255.0) + F.col("_z"), 0.0, 255.0))
-    ).drop("_mean", "_h", "_z")
+    noisy = hashed.withColumn("_z", normal)
+    mean = F.col("_mean")
+    return noisy.select("image_id", "y", "x", F.array(*(byte(byte((F.col(n) - mean) * contrast + mean) + F.col("_z")) for n in names)).alias("bands"))

@@ -131,11 +131,9 @@ def boundary_band(features: DataFrame, keep: list[str], width_px: float) -> Data
     rows = edge.select(*keep, "width", "_g", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y"))
     span = _edge_cells(F.col("_g"), F.col("y") - width_px, F.col("y") + 1.0 + width_px, F.col("width"), width_px)
     offered = rows.withColumn("_s", span).filter("_s.x_start <= _s.x_end")
-    x = lambda i: i.cast("double")
-    near = F.filter(F.sequence("_s.x_start", "_s.x_end"), lambda i: cell_edge_distance(F.col("_g"), x(i), F.col("y").cast("double")) <= width_px)
-    hit = offered.withColumn("_n", near).filter(F.size("_n") > 0)
-    # cells within a distance of a segment form one stretch of a row (both sets are convex)
-    return hit.select(*keep, "y", F.array_min("_n").alias("x_start"), F.array_max("_n").alias("x_end"))
+    cells = offered.select(*keep, "y", "_g", F.explode(F.sequence("_s.x_start", "_s.x_end")).alias("x_start"))
+    near = cell_edge_distance(F.col("_g"), F.col("x_start").cast("double"), F.col("y").cast("double")) <= width_px
+    return cells.filter(near).select(*keep, "y", "x_start", F.col("x_start").alias("x_end")).distinct()
 
 
 def rasterize_field_boundary(features: DataFrame, boundary_px: float = 1.0, all_touched: bool = False) -> DataFrame:

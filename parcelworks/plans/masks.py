@@ -130,7 +130,7 @@ def _(t):
     return painted.groupBy("image_id", "value").agg(F.sum(M.length()).alias("pixels"))
 
 
-@query("paint_order_unique_seq", f"""SELECT image_id, value, COUNT(*) AS pixels, round_even(MAX(score), 6) + 0.0 AS score FROM (SELECT p.image_id, p.y, p.x, MAX(m.r) AS value, arg_max(p.score, m.r) AS score FROM {INSTANCE_PIXELS} p JOIN (
+@query("paint_order_unique_seq", f"""SELECT image_id, value, COUNT(*) AS pixels, MAX(score) AS score FROM (SELECT p.image_id, p.y, p.x, MAX(m.r) AS value, arg_max(p.score, m.r) AS score FROM {INSTANCE_PIXELS} p JOIN (
   SELECT image_id, mask_id, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY mask_id) AS r FROM {MASKS.format(runs='instance_runs')} WHERE area >= 1000) m
   ON p.image_id = m.image_id AND p.mask_id = m.mask_id GROUP BY ALL) GROUP BY image_id, value""", "instance_runs")
 def _(t):
@@ -139,7 +139,7 @@ def _(t):
     painted = M.paint(t.instance_runs.join(labels, ["image_id", "mask_id"]), "value")
     scores = labels.join(t.detections.select("image_id", F.col("det_id").alias("mask_id"), "score"), ["image_id", "mask_id"])
     visible = painted.groupBy("image_id", "value").agg(F.sum(M.length()).alias("pixels"))
-    return visible.join(scores, ["image_id", "value"]).select("image_id", "value", "pixels", r6(F.col("score")).alias("score"))
+    return visible.join(scores, ["image_id", "value"]).select("image_id", "value", "pixels", "score")
 
 
 OVERLAPS = """(SELECT a.image_id, a.mask_id AS id_a, b.mask_id AS id_b, CAST(SUM(least(a.x_end, b.x_end) - greatest(a.x_start, b.x_start) + 1) AS BIGINT) AS common

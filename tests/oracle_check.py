@@ -38,6 +38,8 @@ def compare(name, spark, con, folder, queries, oracles):
     rows = sorted(tuple(_cell(r[c]) for c in cols) for r in df.collect())
     if name not in oracles:
         return f"rows={len(rows)} (no SQL)" if rows else "FAIL: empty"
+    global SQL_SECONDS
+    began = time.time()
     rel = con.execute(oracles[name])
     desc = [(d[0], str(d[1])) for d in rel.description]
     order = {d[0]: i for i, d in enumerate(desc)}
@@ -49,6 +51,7 @@ def compare(name, spark, con, folder, queries, oracles):
     for c, t in df.dtypes:
         if TYPES.get(t) != kinds[c]:
             note += f" TYPE {c}: {t} vs {kinds[c]}"
+    SQL_SECONDS = time.time() - began
     if len(rows) != len(want):
         return f"FAIL rows spark={len(rows)} sql={len(want)} only-spark={sorted(set(rows) - set(want))[:2]} only-sql={sorted(set(want) - set(rows))[:2]}" + note
     bad = [(a, b) for a, b in zip(rows, want) if a != b]
@@ -57,6 +60,9 @@ def compare(name, spark, con, folder, queries, oracles):
     return ("FAIL" + note if note else f"ok rows={len(rows)}") + ("" if rows else " FAIL: empty")
 
 
+SQL_SECONDS = 0.0
+
+
 def _expired(*_):
     raise TimeoutError("query took too long")
 
@@ -74,6 +80,7 @@ def main():
     for name in names:
         start = time.time()
         signal.signal(signal.SIGALRM, _expired)
+        globals()["SQL_SECONDS"] = 0.0
         signal.alarm(int(os.environ.get("QUERY_SECONDS", "60")))
         try:
             result = compare(name, spark, con, folder, queries, oracles)
@@ -83,7 +90,7 @@ def main():
         if "FAIL" in result:
             spark.sparkContext.cancelAllJobs()
             failed.append(name)
-        print(f"{name:28s} {time.time() - start:6.2f}s {result}", flush=True)
+        print(f"{name:28s} {time.time() - start:6.2f}s (sql {SQL_SECONDS:5.2f}s) {result}", flush=True)
     print(f"{len(names)} checked, {len(failed)} failed: {failed}")
 
 
