@@ -56,21 +56,23 @@ def bbox_per_value(value_runs: DataFrame, value: str) -> DataFrame:
 
 # ---- sweeps over one raster row ------------------------------------------------------
 
-def sweep(segments: DataFrame, need: str | int = 1) -> DataFrame:
+def sweep(segments: DataFrame, need: str | int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Maximal runs covered by at least ``need`` segments, per (image_id, y).
 
     Starts and ends are summed per position first; a row then holds at most one event
-    per column. One shuffle by row serves the sum and both windows.
+    per column. The rows are placed by (image_id, y) once, which serves the sum and the
+    windows. ``keep`` names columns that are constant per image.
     """
     bar = F.lit(need) if isinstance(need, int) else F.col(need)
-    kept = [] if isinstance(need, int) else [need]
+    group = [*LINE, *keep] + ([] if isinstance(need, int) else [need])
     ends = F.array(F.struct(F.col("x_start").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x_end") + 1).alias("x"), F.lit(-1).alias("d")))
-    events = segments.select(*LINE, *kept, F.inline(ends)).groupBy(*LINE, *kept, "x").agg(F.sum("d").alias("d"))
+    placed = segments.select(*group, "x_start", "x_end").repartition(*LINE)
+    events = placed.select(*group, F.inline_outer(ends)).groupBy(*group, "x").agg(F.sum("d").alias("d"))
     by_row = W.partitionBy(*LINE).orderBy("x")
     covered = events.withColumn("_ok", F.sum("d").over(by_row.rowsBetween(W.unboundedPreceding, 0)) >= bar)
     turns = covered.withColumn("_was", F.lag("_ok", 1, False).over(by_row)).filter(F.col("_ok") != F.col("_was"))
     closed = turns.withColumn("x_end", (F.lead("x").over(by_row) - 1).cast("int"))
-    return closed.filter("_ok").select(*LINE, F.col("x").cast("int").alias("x_start"), "x_end")
+    return closed.filter("_ok").select(*LINE, *keep, F.col("x").cast("int").alias("x_start"), "x_end")
 
 
 def semantic_union(mask_runs: DataFrame) -> DataFrame:
@@ -202,22 +204,17 @@ def erode(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
     low, high = F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.col("height") - 1)
     offered = shrunk.withColumn("_ty", F.explode(F.sequence(low, high))).drop("y").withColumnRenamed("_ty", "y")
     full = F.least(F.col("y") + r, F.col("height") - 1) - F.greatest(F.col("y") - r, F.lit(0)) + 1
-    return _sized(sweep(offered.withColumn("_need", full), "_need"), mask_runs)
+    return sweep(offered.withColumn("_need", full), "_need", ("width", "height"))
 
 
 def dilate(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
     r = kernel // 2
     grown = mask_runs.select(
-        "image_id", "y", "height", F.greatest(F.col("x_start") - r, F.lit(0)).cast("int").alias("x_start"), F.least(F.col("x_end") + r, F.col("width") - 1).cast("int").alias("x_end")
+        "image_id", "y", "width", "height", F.greatest(F.col("x_start") - r, F.lit(0)).cast("int").alias("x_start"), F.least(F.col("x_end") + r, F.col("width") - 1).cast("int").alias("x_end")
     )
     low, high = F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.col("height") - 1)
     offered = grown.withColumn("_ty", F.explode(F.sequence(low, high))).drop("y").withColumnRenamed("_ty", "y")
-    return _sized(sweep(offered), mask_runs)
-
-
-def _sized(result: DataFrame, source: DataFrame) -> DataFrame:
-    sizes = source.groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"))
-    return result.join(sizes, "image_id")
+    return sweep(offered, 1, ("width", "height"))
 
 
 def opened(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
@@ -231,7 +228,8 @@ def closed(mask_runs: DataFrame, kernel: int = 3) -> DataFrame:
 def run_difference(left: DataFrame, right: DataFrame, keys: list[str] = LINE) -> DataFrame:
     """Pixels of ``left`` not in ``right``; both disjoint per key. Left counts 1, right takes 2 away."""
     ends = lambda w: F.array(F.struct(F.col("x_start").alias("x"), F.lit(w).alias("d")), F.struct((F.col("x_end") + 1).alias("x"), F.lit(-w).alias("d")))
-    events = left.select(*keys, F.inline(ends(1))).union(right.select(*keys, F.inline(ends(-2)))).groupBy(*keys, "x").agg(F.sum("d").alias("d"))
+    signed = left.select(*keys, F.inline_outer(ends(1))).union(right.select(*keys, F.inline_outer(ends(-2))))
+    events = signed.repartition(*keys).groupBy(*keys, "x").agg(F.sum("d").alias("d"))
     by_row = W.partitionBy(*keys).orderBy("x")
     state = events.withColumn("_ok", F.sum("d").over(by_row.rowsBetween(W.unboundedPreceding, 0)) == 1)
     turns = state.withColumn("_was", F.lag("_ok", 1, False).over(by_row)).filter(F.col("_ok") != F.col("_was"))

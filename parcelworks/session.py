@@ -40,6 +40,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition the short rows in front of a step that multiplies them.
+
+    A catalogue row opens into thousands of scanlines, so the work would otherwise follow
+    the few input files. The count is given, because adaptive execution would judge the
+    rows by their present size and put them back together.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *columns)
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelworks.functions.scanline import explode_pixels, explode_runs
+from parcelworks.session import spread
 
 
 class Tables:
@@ -43,6 +44,12 @@ class Tables:
             F.when(key % 3 != 0, F.lit(0)).alias("nodata"),
         )
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """One short row per scanline, spread by (image_id, y): row-wise steps then need no shuffle."""
+        rows = self.images.select("image_id", "width", "height", "nodata", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+        return spread(rows, "image_id", "y")
+
     @cached_property
     def mask_rows(self) -> DataFrame:
         """Semantic mask scanlines (0 background, 1 interior, 2 boundary, 255 ignore)."""
@@ -57,8 +64,7 @@ class Tables:
                 .otherwise(F.lit(1))
             )
 
-        rows = self.images.select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-        return rows.withColumn("cls", F.transform(F.sequence(F.lit(0), F.col("width") - 1), cls))
+        return self.lines.drop("nodata").withColumn("cls", F.transform(F.sequence(F.lit(0), F.col("width") - 1), cls))
 
     @cached_property
     def mask_pixels(self) -> DataFrame:
@@ -81,8 +87,7 @@ class Tables:
                 F.when(dark, 0).otherwise((x + y * 2 + image * 3) % 200).cast("int"),
             )
 
-        rows = self.images.select("image_id", "width", "height", "nodata", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-        return rows.withColumn("bands", F.transform(F.sequence(F.lit(0), F.col("width") - 1), pixel))
+        return self.lines.withColumn("bands", F.transform(F.sequence(F.lit(0), F.col("width") - 1), pixel))
 
     @cached_property
     def rgb_pixels(self) -> DataFrame:
@@ -145,7 +150,7 @@ class Tables:
     def instance_runs(self) -> DataFrame:
         """Slanted instance masks as runs, one mask per detection."""
         det, y = F.col("det_id"), F.col("y")
-        rows = self.detections.select(
+        rows = spread(self.detections, "det_id").select(
             "image_id", F.col("det_id").alias("mask_id"), "det_id", "score", "x1", "x2", "y1",
             F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)).alias("y"),
         )
@@ -159,7 +164,7 @@ class Tables:
     def features(self) -> DataFrame:
         """Polygon layer: closed four-sided rings in pixel units."""
         key = F.col("c_custkey")
-        base = self.raw("customer").select(
+        base = spread(self.raw("customer"), "c_custkey").select(
             key.alias("feature_id"),
             F.col("c_nationkey").alias("layer_id"),
             F.col("c_mktsegment").alias("land_type"),
