@@ -96,27 +96,31 @@ def _edge_cells(g: Column, low: Column, high: Column, width: Column, margin: flo
     )
 
 
-def cell_edge_distance(g: Column, x: Column, y: Column) -> Column:
-    """Distance between the unit cell at (x, y) and an edge; 0 when they meet."""
-    dx, dy = g["bx"] - g["ax"], g["by"] - g["ay"]
-    squared = dx * dx + dy * dy
+def with_near_edge(cells: DataFrame, reach: float) -> DataFrame:
+    """Keeps the unit cells (x_start, y) that lie within ``reach`` of their edge (ax, ay, bx, by).
 
-    def corner(px: Column, py: Column) -> Column:
-        t = F.when(squared == 0, F.lit(0.0)).otherwise(F.greatest(F.least(((px - g["ax"]) * dx + (py - g["ay"]) * dy) / squared, F.lit(1.0)), F.lit(0.0)))
-        ex, ey = px - g["ax"] - t * dx, py - g["ay"] - t * dy
-        return F.sqrt(ex * ex + ey * ey)
-
-    def end(px: Column, py: Column) -> Column:
-        ex = F.greatest(x - px, px - x - 1.0, F.lit(0.0))
-        ey = F.greatest(y - py, py - y - 1.0, F.lit(0.0))
-        return F.sqrt(ex * ex + ey * ey)
-
-    side = lambda px, py: dx * (py - g["ay"]) - dy * (px - g["ax"])
-    sides = [side(x, y), side(x + 1.0, y), side(x, y + 1.0), side(x + 1.0, y + 1.0)]
-    reach = (F.least(g["ax"], g["bx"]) <= x + 1.0) & (F.greatest(g["ax"], g["bx"]) >= x) & (F.least(g["ay"], g["by"]) <= y + 1.0) & (F.greatest(g["ay"], g["by"]) >= y)
-    meets = reach & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
-    near = F.least(corner(x, y), corner(x + 1.0, y), corner(x, y + 1.0), corner(x + 1.0, y + 1.0), end(g["ax"], g["ay"]), end(g["bx"], g["by"]))
-    return F.when(meets, F.lit(0.0)).otherwise(near)
+    Cross and dot products of one cell corner give those of the other three by addition.
+    A cell is near when the edge crosses it, an end lies close to it, or one of its
+    corners lies close to the inner part of the edge. No root and no division.
+    """
+    x, y = F.col("x_start").cast("double"), F.col("y").cast("double")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    products = cells.withColumn("_dx", dx).withColumn("_dy", dy)
+    products = products.withColumn("_cross", F.col("_dx") * (y - F.col("ay")) - F.col("_dy") * (x - F.col("ax")))
+    products = products.withColumn("_dot", F.col("_dx") * (x - F.col("ax")) + F.col("_dy") * (y - F.col("ay")))
+    dx, dy, cross, dot = (F.col(c) for c in ("_dx", "_dy", "_cross", "_dot"))
+    length = dx * dx + dy * dy
+    corners = [(cross, dot), (cross - dy, dot + dx), (cross + dx, dot + dy), (cross + dx - dy, dot + dx + dy)]
+    sides = [c for c, _ in corners]
+    box = (F.least("ax", "bx") <= x + 1.0) & (F.greatest("ax", "bx") >= x) & (F.least("ay", "by") <= y + 1.0) & (F.greatest("ay", "by") >= y)
+    near = box & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    for px, py in (("ax", "ay"), ("bx", "by")):
+        ex = F.greatest(x - F.col(px), F.col(px) - x - 1.0, F.lit(0.0))
+        ey = F.greatest(y - F.col(py), F.col(py) - y - 1.0, F.lit(0.0))
+        near = near | (ex * ex + ey * ey <= reach * reach)
+    for c, d in corners:
+        near = near | ((d >= 0) & (d <= length) & (c * c <= length * (reach * reach)))
+    return products.filter(near).drop("_dx", "_dy", "_cross", "_dot")
 
 
 def boundary_band(features: DataFrame, keep: list[str], width_px: float) -> DataFrame:
@@ -125,15 +129,16 @@ def boundary_band(features: DataFrame, keep: list[str], width_px: float) -> Data
     An edge offers each row only the columns near its part in that row, so cells grow
     with the edge length; the exact distance decides.
     """
-    edge = features.select(*keep, "width", "height", F.explode(R.edges(F.col("ring"))).alias("_g"))
-    low = F.greatest(F.floor(F.least("_g.ay", "_g.by") - width_px), F.lit(0)).cast("int")
-    high = F.least(F.floor(F.greatest("_g.ay", "_g.by") + width_px), F.col("height") - 1).cast("int")
-    rows = edge.select(*keep, "width", "_g", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y"))
-    span = _edge_cells(F.col("_g"), F.col("y") - width_px, F.col("y") + 1.0 + width_px, F.col("width"), width_px)
+    edge = features.select(*keep, "width", "height", F.inline(R.edges(F.col("ring"))))
+    low = F.greatest(F.floor(F.least("ay", "by") - width_px), F.lit(0)).cast("int")
+    high = F.least(F.floor(F.greatest("ay", "by") + width_px), F.col("height") - 1).cast("int")
+    sides = ["ax", "ay", "bx", "by"]
+    rows = edge.select(*keep, "width", *sides, F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y"))
+    own = {c: F.col(c) for c in sides}
+    span = _edge_cells(own, F.col("y") - width_px, F.col("y") + 1.0 + width_px, F.col("width"), width_px)
     offered = rows.withColumn("_s", span).filter("_s.x_start <= _s.x_end")
-    cells = offered.select(*keep, "y", "_g", F.explode(F.sequence("_s.x_start", "_s.x_end")).alias("x_start"))
-    near = cell_edge_distance(F.col("_g"), F.col("x_start").cast("double"), F.col("y").cast("double")) <= width_px
-    return cells.filter(near).select(*keep, "y", "x_start", F.col("x_start").alias("x_end")).distinct()
+    cells = offered.select(*keep, "y", *sides, F.explode(F.sequence("_s.x_start", "_s.x_end")).alias("x_start"))
+    return with_near_edge(cells, width_px).select(*keep, "y", "x_start", F.col("x_start").alias("x_end")).distinct()
 
 
 def rasterize_field_boundary(features: DataFrame, boundary_px: float = 1.0, all_touched: bool = False) -> DataFrame:
