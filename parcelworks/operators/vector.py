@@ -124,7 +124,7 @@ def with_near_edge(cells: DataFrame, reach: float) -> DataFrame:
 
 
 def boundary_band(features: DataFrame, keep: list[str], width_px: float) -> DataFrame:
-    """Runs of the cells within ``width_px`` of a ring edge (every touched cell counts).
+    """Cells within ``width_px`` of a ring edge as one-cell runs (every touched cell counts).
 
     An edge offers each row only the columns near its part in that row, so cells grow
     with the edge length; the exact distance decides.
@@ -138,16 +138,17 @@ def boundary_band(features: DataFrame, keep: list[str], width_px: float) -> Data
     span = _edge_cells(own, F.col("y") - width_px, F.col("y") + 1.0 + width_px, F.col("width"), width_px)
     offered = rows.withColumn("_s", span).filter("_s.x_start <= _s.x_end")
     cells = offered.select(*keep, "y", *sides, F.explode(F.sequence("_s.x_start", "_s.x_end")).alias("x_start"))
-    return with_near_edge(cells, width_px).select(*keep, "y", "x_start", F.col("x_start").alias("x_end")).distinct()
+    return with_near_edge(cells, width_px).select(*keep, "y", "x_start", F.col("x_start").alias("x_end"))
 
 
 def rasterize_field_boundary(features: DataFrame, boundary_px: float = 1.0, all_touched: bool = False) -> DataFrame:
     """Interior 1, then the boundary band 2 over it; disjoint runs per image."""
-    inner = rasterize_binary(features, ["image_id"], all_touched).withColumn("cls", F.lit(1))
+    inner = sweep(rasterize_binary(features, ["image_id"], all_touched))
     if boundary_px <= 0:
-        return paint(inner, "cls")
-    band = boundary_band(features, ["image_id"], boundary_px).withColumn("cls", F.lit(2))
-    return paint(inner.unionByName(band), "cls")
+        return inner.withColumn("cls", F.lit(1))
+    band = sweep(boundary_band(features, ["image_id"], boundary_px))
+    covered = run_difference(inner, band).withColumn("cls", F.lit(1))
+    return covered.unionByName(band.withColumn("cls", F.lit(2)))
 
 
 def tile_coverage(burned: DataFrame, images: DataFrame, tile: int) -> DataFrame:
