@@ -23,21 +23,24 @@ def build_session(app: str = "parcelworks", cores: str = "*", shuffle_partitions
     )
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall
-    back to a temporary folder of its own; elsewhere that would not survive the
-    loss of a machine, so it is refused.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, a local session gets a folder of its own;
+    elsewhere a local folder would not survive the loss of a machine, so it is refused. The session's settings stay as they are.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own[context.applicationId]
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
