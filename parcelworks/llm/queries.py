@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import quality
+from parcelworks.llm import licenses, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_license_scan": licenses.query,
     "op9_quality_rules": quality.query,
 }
 ORACLES: dict[str, str] = {}
