@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import licenses, quality
+from parcelworks.llm import licenses, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filter": urls.query,
     "op5_license_scan": licenses.query,
+    "op6_exact_topk": topk.query,
     "op9_quality_rules": quality.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL}
