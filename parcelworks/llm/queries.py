@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import licenses, quality, topk, urls
+from parcelworks.llm import language, licenses, packing, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": urls.query,
     "op5_license_scan": licenses.query,
     "op6_exact_topk": topk.query,
+    "op8_length_packing": packing.query,
     "op9_quality_rules": quality.query,
+    "op10_language_id": language.query,
 }
 ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL}
