@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import language, licenses, neardup, packing, quality, topk, urls
+from parcelworks.llm import language, licenses, lm, neardup, packing, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": lm.query,
     "op3_minhash_neardup": neardup.query,
     "op4_url_filter": urls.query,
     "op5_license_scan": licenses.query,
