@@ -1,9 +1,10 @@
 """License scan: a positional index of rare licence words, intersected by relative position and confirmed by key phrases.
 
-Every template is a run of words. The index posts each of its words with its position. A file is looked up only by its own
-highest-IDF licence words and by each template's rarest word; a hit at file position i for template position p votes for the
-template starting at i - p. A start counts if all words of the template's key phrases stand at their places and the words found
-there carry enough of the template's IDF weight. IDF comes from the files themselves. All of it is DataFrame work.
+Every template is a run of words. The index posts each of its words with its position. A file is looked up by its own highest-IDF
+licence words (none that more than ``common`` of all files have) and by each template's rarest word, so no template can be missed; a hit
+at file position i for template position p proposes the template's start i - p. There, the postings are intersected with the file's words
+by relative position: a start counts if all words of the key phrases stand at their places and the words found carry enough of the
+template's IDF weight. IDF comes from the files themselves. All of it is DataFrame work.
 
 The base phrases are templates that are key phrases throughout. Defined cases: a null or empty text has no words and no labels,
 score 0; repeated rows are scanned each; a text of any length is scanned whole; an empty table gives no rows; other columns are not read.
@@ -67,7 +68,7 @@ def index(base=tuple(BASE_PHRASES), notices=tuple(NOTICES)) -> list[tuple]:
 POSTING = "word string, template int, position int, is_key boolean, base boolean, label string, anchor boolean, weight double, all_keys int, all_weight double"
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", lookups: int = 6, enough: float = 0.6, postings: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, keep: list[str], text: str = "text", lookups: int = 6, common: float = 0.02, enough: float = 0.6, postings: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, finds): struct ``row`` of the kept columns, ``key`` and n_words of every file; every place where a template stands.
 
     The texts are read once; what is written to the shared folder is the licence words with their positions. The postings are
@@ -77,33 +78,45 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", lookups: int = 6,
     postings = postings if postings is not None else index()
     vocabulary = sorted({p[0] for p in postings})
 
-    def found(w: Column) -> Column:
+    def hits_of(w: Column) -> Column:
         hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(vocabulary), F.struct(x.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
         return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
 
     lowered = lower_ascii(F.coalesce(F.col(text), F.lit("")))
-    read = docs.select(F.struct(*keep).alias("row"), let(words(lowered, GAP), found).alias("f"))
-    files = materialize(read.select("row", F.monotonically_increasing_id().alias("key"), "f.n_words", "f.hits"), "licences")
+    read = docs.select(F.struct(*keep).alias("row"), F.monotonically_increasing_id().alias("key"), let(words(lowered, GAP), hits_of).alias("f"))
+    files = materialize(read, "licences").select("row", "key", "f.n_words", "f.hits")
 
     seen = files.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word")).groupBy("word").agg(F.count("*").alias("files"))
     counts = {r["word"]: r["files"] for r in seen.collect()}  # one row for each word of the templates at most
-    lines = _weighed(postings, counts, files.count())
-    order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    place = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
-    own = F.array_distinct(F.transform("hits", lambda h: h["w"]))
-    rare = F.transform(F.slice(F.sort_array(F.transform(own, lambda w: F.named_struct(F.lit("o"), F.element_at(place, w), F.lit("w"), w))), 1, lookups), lambda r: r["w"])
-
-    hits = files.where(F.size("hits") > 0).select(F.col("key").alias("file"), F.explode("hits").alias("h"), rare.alias("rare"))
+    lines = _weighed(postings, counts, total := files.count())
+    order = {w: k for k, w in enumerate(sorted((w for w in vocabulary if counts.get(w, 0) <= common * total), key=lambda w: (counts.get(w, 0), w)))}
+    anchors = sorted({p[0] for p in lines if p[6]})
     posted = F.broadcast(spark.createDataFrame(lines, POSTING))
-    votes = hits.select("file", F.col("h.w").alias("word"), F.col("h.i").alias("i"), F.array_contains("rare", F.col("h.w")).alias("rare")).join(posted, "word")
-    places = votes.groupBy("file", "template", (F.col("i") - F.col("position")).alias("start")).agg(
-        F.max(F.col("rare") | F.col("anchor")).alias("looked_up"), F.sum(F.col("is_key").cast("int")).alias("keys"), F.sum("weight").alias("weight"),
+
+    found = files.where(F.size("hits") > 0).withColumnRenamed("key", "file")
+    looked = found.select("file", F.explode(let(_rarest(F.col("hits"), order, lookups), lambda rare: F.filter("hits", lambda h: F.array_contains(rare, h["w"]) | h["w"].isin(anchors)))).alias("h"))
+    starts = looked.join(posted, F.col("h.w") == F.col("word")).select("file", "template", (F.col("h.i") - F.col("position")).alias("start")).distinct()
+
+    wanted = starts.join(posted, "template").select("file", "template", "start", "word", (F.col("start") + F.col("position")).alias("i"), "is_key", "base", "label", "weight", "all_keys", "all_weight")
+    there = found.join(starts.select("file").distinct(), "file", "left_semi").select("file", F.explode("hits").alias("h")).select("file", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
+    places = wanted.join(there, ["file", "word", "i"]).groupBy("file", "template", "start").agg(
+        F.sum(F.col("is_key").cast("int")).alias("keys"), F.sum("weight").alias("weight"),
         F.max("all_keys").alias("all_keys"), F.max("all_weight").alias("all_weight"), F.max("base").alias("base"), F.max("label").alias("label"),
     )
-    finds = places.where(F.col("looked_up") & (F.col("keys") == F.col("all_keys")) & (F.col("base") | (F.col("weight") >= enough * F.col("all_weight"))))
+    finds = places.where((F.col("keys") == F.col("all_keys")) & (F.col("base") | (F.col("weight") >= enough * F.col("all_weight"))))
     return files, finds.select("file", "label", "base", F.col("start").cast("long").alias("start"), F.least(F.lit(1.0), F.col("weight") / F.col("all_weight")).alias("score"))
 
 
+def _rarest(hits: Column, order: dict[str, int], lookups: int) -> Column:
+    """The file's licence words of highest IDF, at most ``lookups`` of those in ``order``."""
+    if not order:
+        return F.array().cast("array<string>")
+    place = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
+    own = F.filter(F.array_distinct(F.transform(hits, lambda h: h["w"])), lambda w: w.isin(list(order)))
+    ranked = F.sort_array(F.transform(own, lambda w: F.named_struct(F.lit("o"), F.element_at(place, w), F.lit("w"), w)))
+    return F.transform(F.slice(ranked, 1, lookups), lambda r: r["w"])
+
+
 def _weighed(postings: list[tuple], counts: dict[str, int], files: int) -> list[tuple]:
     """Postings with IDF weight, each template's rarest word and its sums."""
     idf = {p[0]: math.log((files + 1) / (counts.get(p[0], 0) + 1)) + 1e-3 for p in postings}
