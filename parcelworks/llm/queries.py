@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import language, licenses, lm, neardup, packing, quality, topk, urls
+from parcelworks.llm import language, licenses, lm, neardup, packing, pieces, pii, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_spans": pii.query,
     "op2_lm_scoring": lm.query,
     "op3_minhash_neardup": neardup.query,
     "op4_url_filter": urls.query,
     "op5_license_scan": licenses.query,
     "op6_exact_topk": topk.query,
+    "op7_sentencepiece": pieces.query,
     "op8_length_packing": packing.query,
     "op9_quality_rules": quality.query,
     "op10_language_id": language.query,
