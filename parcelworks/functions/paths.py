@@ -53,7 +53,10 @@ def is_within(path: Column, root: str) -> Column:
 
 def safe_name(value: Column, limit: int | None = None) -> Column:
     cleaned = F.regexp_replace(value, r"[^\p{L}\p{N}_-]", "_")
-    return cleaned if limit is None else F.substring(cleaned, 1, limit)
+    if limit is None:
+        return cleaned
+    short = F.concat(F.substring(cleaned, 1, limit - 9), F.lit("_"), F.substring(F.md5(value), 1, 8))  # a cut name stays unique
+    return F.when(F.length(cleaned) <= limit, cleaned).otherwise(short)
 
 
 def window_name(stem_col: Column, x: Column, y: Column) -> Column:

@@ -125,12 +125,13 @@ def phrases(words: Column, length: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def caption_features(captions: DataFrame, key: str, text: str, vocabulary: DataFrame, longest: int = 2, exclude: tuple[str, ...] = ()) -> DataFrame:
+def caption_features(captions: DataFrame, key: str, text: str, vocabulary: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Vocabulary names found in each caption; all words when nothing is found.
 
-    Captions are reduced to their distinct words and phrases before the join with the
-    vocabulary ``(phrase, name)``; the join side is chosen from its size.
+    Captions are reduced to their distinct words and phrases, as long as the longest phrase
+    of the vocabulary ``(phrase, name)``, before the join; its side is chosen from its size.
     """
+    longest = vocabulary.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     banned = F.array(*(F.lit(w) for w in LARGE_SCALE_WORDS + tuple(e.lower().replace("_", " ") for e in exclude)))
     words = captions.select(key, tokens(F.col(text)).alias("_w"))
     usable = words.select(key, F.array_except(F.array_distinct("_w"), banned).alias("_single"), *(phrases(F.col("_w"), n).alias(f"_p{n}") for n in range(2, longest + 1)))

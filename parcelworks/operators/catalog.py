@@ -89,12 +89,13 @@ def label_catalog(features: DataFrame, layer: str, kind: Column, columns: str, c
     return folded.select(layer, "feature_count", F.lit(crs).alias("crs"), F.lit(columns).alias("columns"), "geometry_types")
 
 
-def missing_paths(index: DataFrame, listing: DataFrame, key: str, limit: int = 20) -> DataFrame:
-    """Sample ids whose image or mask is not in the listing, the first ``limit``."""
+def missing_paths(index: DataFrame, listing: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Sample ids whose image or mask is not in the listing; only the first ``limit`` if one is given."""
     files = listing.select("path").distinct()
     no_image = index.join(files, index["image_path"] == files["path"], "left_anti").select(key)
     no_mask = index.join(files, index["mask_path"] == files["path"], "left_anti").select(key)
-    return no_image.union(no_mask).distinct().orderBy(key).limit(limit)
+    missing = no_image.union(no_mask).distinct()
+    return missing if limit is None else missing.orderBy(key).limit(limit)
 
 
 def resolve_patch_file(index: DataFrame, listing: DataFrame, stem: str = "patch_name") -> DataFrame:

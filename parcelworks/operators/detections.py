@@ -60,7 +60,7 @@ def group_labels_by_source(lines: DataFrame) -> DataFrame:
 def label_tile_text_join(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     """Tiles to the label rows of the file with the same stem; tiles without one are skipped."""
     named = labels.withColumn("tile_name", F.regexp_replace("label_file", r"\.txt$", ""))
-    return tiles.join(named, "tile_name")
+    return tiles.join(named.hint("merge"), "tile_name")
 
 
 def labels_to_geo(joined: DataFrame) -> DataFrame:

@@ -121,6 +121,8 @@ def _pick_rounds(state: DataFrame, group: str, picks: int, choose, update) -> Da
         if turn + 1 < picks:
             joined = current.join(best.select(group, "_p"), group).filter(F.col("key") != F.col("_p.key"))
             current = materialize(update(joined).drop("_p"), "state")
+    if not chosen:
+        return current.select(group, "key", F.lit(0).alias("turn")).limit(0)
     result = chosen[0]
     for part in chosen[1:]:
         result = result.union(part)
@@ -173,41 +175,56 @@ def spatially_diverse_select(
     return _pick_rounds(state, group, picks, choose, update)
 
 
-MAX_PROPOSALS = 1000  # fixed value: an image never has more prompt proposals
-
-
 def group_proposals(
     proposals: DataFrame, group: str, width: float, height: float, gap_ratio: float = 0.8, area_ratio: float = 0.12, side_ratio: float = 0.35,
     pad_ratio: float = 0.08, pad_min: float = 8.0,
 ) -> DataFrame:
     """Join the closest mergeable proposals of an image until none is left, then pad the groups.
 
-    ``proposals``: group, key, box; at most MAX_PROPOSALS per image by definition of a
-    proposal list (more is an error), so one image is a bounded group.
+    ``proposals``: group, key, box. Each step changes what is closest in its image, so an image is
+    one group; it holds each box and its nearest partner, nothing in the square of their number.
     """
     import numpy as np
     import pandas as pd
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        if len(pdf) > MAX_PROPOSALS:
-            raise ValueError(f"image {pdf[group].iloc[0]} has more than {MAX_PROPOSALS} proposals")
-        box, members = pdf[SIDES].to_numpy(float), [[int(k)] for k in pdf["key"]]
-        while len(box) > 1:
-            low, high = np.minimum(box[:, None, :2], box[None, :, :2]), np.maximum(box[:, None, 2:], box[None, :, 2:])
-            size = high - low
-            inner = np.minimum(box[:, None, 2:], box[None, :, 2:]) - np.maximum(box[:, None, :2], box[None, :, :2])
-            gap = np.maximum(-inner, 0).max(axis=2)
+        box, members, alive = pdf[SIDES].to_numpy(float), [[int(k)] for k in pdf["key"]], np.ones(len(pdf), bool)
+
+        def gaps(i: int) -> np.ndarray:
+            """Gap from box i to every other box, infinite where the two may not be joined."""
+            size = np.maximum(box[i, 2:], box[:, 2:]) - np.minimum(box[i, :2], box[:, :2])
+            inner = np.minimum(box[i, 2:], box[:, 2:]) - np.maximum(box[i, :2], box[:, :2])
+            gap = np.maximum(-inner, 0).max(axis=1)
             reach = np.maximum(np.hypot(*(box[:, 2:] - box[:, :2]).T), 1.0)
-            near = (inner > 0).all(axis=2) | (gap <= gap_ratio * (reach[:, None] + reach[None, :]) / 2)
-            fits = (size[..., 0] / width <= side_ratio) & (size[..., 1] / height <= side_ratio) & (size.prod(axis=2) / (width * height) <= area_ratio)
-            cost = np.where(np.triu(near & fits, 1), gap, np.inf)
-            i, j = np.unravel_index(np.argmin(cost), cost.shape)
-            if not np.isfinite(cost[i, j]):
-                break
-            box[i] = [*low[i, j], *high[i, j]]
-            members[i] += members.pop(j)
-            box = np.delete(box, j, axis=0)
+            near = (inner > 0).all(axis=1) | (gap <= gap_ratio * (reach[i] + reach) / 2)
+            fits = (size[:, 0] / width <= side_ratio) & (size[:, 1] / height <= side_ratio) & (size.prod(axis=1) / (width * height) <= area_ratio)
+            return np.where(near & fits & alive & (np.arange(len(box)) != i), gap, np.inf)
+
+        cost, partner = np.full(len(box), np.inf), np.zeros(len(box), int)
+
+        def nearest(i: int) -> None:
+            later = gaps(i)[i + 1 :]
+            if len(later):
+                partner[i] = i + 1 + int(later.argmin())
+                cost[i] = later[partner[i] - i - 1]
+
+        for i in range(len(box)):
+            nearest(i)
+        while len(box) and np.isfinite(cost.min()):
+            i = int(cost.argmin())
+            j = int(partner[i])
+            box[i] = [*np.minimum(box[i, :2], box[j, :2]), *np.maximum(box[i, 2:], box[j, 2:])]
+            members[i] += members[j]
+            alive[j], cost[j] = False, np.inf
+            for k in np.flatnonzero(alive & ((partner == j) | (partner == i)) & np.isfinite(cost)):
+                nearest(int(k))
+            nearest(i)
+            to = gaps(i)
+            for k in np.flatnonzero(to[:i] < np.inf):
+                if (to[k], i) < (cost[k], partner[k]):
+                    cost[k], partner[k] = to[k], i
+        box, members = box[alive], [m for m, a in zip(members, alive, strict=True) if a]
         return pd.DataFrame({group: pdf[group].iloc[0], "first_key": [min(m) for m in members], "members": [len(m) for m in members],
                              "ids": [",".join(map(str, sorted(m))) for m in members], **{s: box[:, n] for n, s in enumerate(SIDES)}})
 

@@ -137,7 +137,7 @@ def _shared_length(left: DataFrame, right: DataFrame, a: str, b: str, ordered: b
     l = with_columns_cells(left).select(*LINE, "_cell", F.col("mask_id").alias(a), F.col("x_start").alias("_as"), F.col("x_end").alias("_ae"))
     r = with_columns_cells(right).select(*LINE, "_cell", F.col("mask_id").alias(b), F.col("x_start").alias("_bs"), F.col("x_end").alias("_be"))
     start, end = F.greatest("_as", "_bs"), F.least("_ae", "_be")
-    joined = l.join(r, [*LINE, "_cell"]).filter((start <= end) & (F.floor(start / CELL) == F.col("_cell")))
+    joined = l.join(r.hint("merge"), [*LINE, "_cell"]).filter((start <= end) & (F.floor(start / CELL) == F.col("_cell")))
     if ordered:
         joined = joined.filter(F.col(a) < F.col(b))
     return joined.groupBy("image_id", a, b).agg(F.sum(end - start + 1).cast("bigint").alias("common"))

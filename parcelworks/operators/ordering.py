@@ -2,7 +2,8 @@
 
 A plain window over everything (or over one hot key) runs in a single task. Here the
 order is cut into cells first, each cell is ranked on its own, and the small table of
-cell sizes carries the offsets.
+cell sizes carries the offsets. NULL keys and NULL order values keep their rows: they
+form a cell of their own that comes first.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ def _with_offsets(celled: DataFrame, order: list[Column], weight: Column | None
     inside = W.partitionBy("_cell").orderBy(*order)
     if weight is None:
         local = celled.withColumn("_local", F.row_number().over(inside).cast("bigint") - 1)
-        joined = local.join(offsets, F.col("_cell") == F.col("_ocell"))
+        joined = local.join(offsets, F.col("_cell").eqNullSafe(F.col("_ocell")))
         return joined.withColumn("rank0", F.col("_before") + F.col("_local")).drop("_cell", "_ocell", "_local", "_before")
     local = celled.withColumn("_local", F.sum(amount).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("_own", amount)
-    joined = local.join(offsets, F.col("_cell") == F.col("_ocell"))
+    joined = local.join(offsets, F.col("_cell").eqNullSafe(F.col("_ocell")))
     return (
         joined.withColumn("cum", F.col("_before") + F.col("_local"))
         .withColumn("cum_before", F.col("cum") - F.col("_own"))
@@ -90,7 +91,7 @@ def running_before(df: DataFrame, key: str, seq: str, extremes: dict[str, tuple[
         *(pick[k][0](f"_c_{n}").over(before).alias(f"_b_{n}") for n, (k, _) in extremes.items()),
     )
     local = celled.select("*", *(pick[k][0](v).over(inside).alias(f"_l_{n}") for n, (k, v) in extremes.items()))
-    joined = local.join(carried, (F.col(key) == F.col("_k")) & (F.col("_cell") == F.col("_kcell")))
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_kcell")))
     return joined.select(*df.columns, *(pick[k][1](f"_l_{n}", f"_b_{n}").alias(n) for n, (k, _) in extremes.items()))
 
 
@@ -103,7 +104,7 @@ def previous_value(df: DataFrame, key: str, seq: str, value: str, name: str = "p
     carried = ends.select(
         F.col(key).alias("_k"), F.col("_cell").alias("_kcell"), F.lag("_end").over(W.partitionBy(key).orderBy("_cell")).alias("_carry")
     )
-    joined = local.join(carried, (F.col(key) == F.col("_k")) & (F.col("_cell") == F.col("_kcell")))
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_kcell")))
     return joined.select(*df.columns, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag")).alias(name))
 
 
@@ -114,7 +115,7 @@ def rank_within(df: DataFrame, key: str, seq: str, width: int = ID_CELL) -> Data
     before = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(F.col(key).alias("_k"), F.col("_cell").alias("_kcell"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     local = celled.withColumn("_local", F.row_number().over(W.partitionBy(key, "_cell").orderBy(seq)).cast("bigint") - 1)
-    joined = local.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_cell") == F.col("_kcell")))
+    joined = local.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_kcell")))
     return joined.withColumn("rank0", F.col("_before") + F.col("_local")).drop("_k", "_kcell", "_cell", "_local", "_before")
 
 

@@ -27,10 +27,11 @@ def sanitize(cls: Column, classes: int, ignore: int = IGNORE) -> Column:
     return F.when(cls.between(0, classes - 1) | (cls == ignore), cls).otherwise(F.lit(ignore))
 
 
-def invalid_labels(masks: DataFrame, classes: int, ignore: int = IGNORE, limit: int = 20) -> DataFrame:
-    """Distinct labels outside the training range, the first ``limit``."""
+def invalid_labels(masks: DataFrame, classes: int, ignore: int = IGNORE, limit: int | None = None) -> DataFrame:
+    """Distinct labels outside the training range; only the first ``limit`` if one is given."""
     bad = masks.filter(~F.col("cls").between(0, classes - 1) & (F.col("cls") != ignore))
-    return bad.select("cls").distinct().orderBy("cls").limit(limit)
+    labels = bad.select("cls").distinct()
+    return labels if limit is None else labels.orderBy("cls").limit(limit)
 
 
 def choose_bands(bands: Column, wanted: list[int] | None, count: int) -> Column:
@@ -111,11 +112,11 @@ def image_scale(values: DataFrame, key: str) -> DataFrame:
 
 
 def stretch_2_98(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Percentile stretch to 0..255; the small table of limits is joined back by size."""
+    """Percentile stretch to 0..255; the pixel side is generated, so it is never broadcast."""
     limits = exact_quantiles(values, keys, F.col("v"), {"low": 0.02, "high": 0.98})
     high = F.when(F.col("high") <= F.col("low"), F.col("low") + 1.0).otherwise(F.col("high"))
     level = clamp((F.col("v") - F.col("low")) / (high - F.col("low")) * 255.0, 0.0, 255.0)
-    return values.join(limits, keys).withColumn("level", F.floor(level).cast("int")).drop("low", "high")
+    return values.join(limits.hint("merge"), keys).withColumn("level", F.floor(level).cast("int")).drop("low", "high")
 
 
 def minmax_uint8(values: DataFrame, keys: list[str]) -> DataFrame:

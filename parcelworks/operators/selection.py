@@ -95,17 +95,18 @@ def countries_normalize(lists: DataFrame, column: str) -> DataFrame:
 
 
 def clamp_limit(limit: int) -> int:
+    """Bounds of a preview page (fixed values); for the edge that takes a limit from a user."""
     return max(1, min(int(limit), 50))
 
 
 def select_random(rows: DataFrame, key: str, limit: int = 8, seed: int = 42) -> DataFrame:
     """First ``limit`` rows of the seeded order (a distributed top-k, no full sort)."""
-    return rows.orderBy(draw_key(seed, F.col(key)), key).limit(clamp_limit(limit))
+    return rows.orderBy(draw_key(seed, F.col(key)), key).limit(limit)
 
 
 def select_top(rows: DataFrame, measure: str, key: str, limit: int = 8, descending: bool = True) -> DataFrame:
     measured = F.col(measure).desc() if descending else F.col(measure).asc()
-    return rows.orderBy(measured, key).limit(clamp_limit(limit))
+    return rows.orderBy(measured, key).limit(limit)
 
 
 def select_low_foreground(rows: DataFrame, key: str, limit: int = 8, ceiling: float = 0.15) -> DataFrame:

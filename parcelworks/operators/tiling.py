@@ -174,7 +174,7 @@ def ignore_overlay(mask_rows: DataFrame, band_rows: DataFrame, black: Column | f
     from parcelworks.operators.raster import invalid_pixel
 
     bands = band_rows.select("image_id", "y", "bands", "nodata")
-    joined = mask_rows.join(bands, ["image_id", "y"])
+    joined = mask_rows.join(bands.hint("merge"), ["image_id", "y"])
     masked = F.zip_with("cls", "bands", lambda v, p: F.when(invalid_pixel(p, F.col("nodata"), black), F.lit(255)).otherwise(v))
     return joined.withColumn("cls", masked).drop("bands", "nodata")
 

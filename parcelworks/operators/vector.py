@@ -32,7 +32,7 @@ def ring_box_join(features: DataFrame, boxes: DataFrame, cell: float, feature_ke
     span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
     fine = bounded.withColumn("_cx", F.explode(span("_xmin", "_xmax"))).withColumn("_cy", F.explode(span("_ymin", "_ymax")))
     tiles = boxes.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
-    joined = fine.join(tiles, ["_cx", "_cy"])
+    joined = fine.join(tiles.hint("merge"), ["_cx", "_cy"])  # both sides are generated: their size is unknown to the planner
     near = (F.col("_xmin") <= F.col("x2")) & (F.col("_xmax") >= F.col("x1")) & (F.col("_ymin") <= F.col("y2")) & (F.col("_ymax") >= F.col("y1"))
     once = (F.floor(F.greatest("_xmin", "x1") / cell) == F.col("_cx")) & (F.floor(F.greatest("_ymin", "y1") / cell) == F.col("_cy"))
     exact = R.touches_box(F.col("ring"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
@@ -172,8 +172,11 @@ def topology_resolve(burned: DataFrame, order: str) -> DataFrame:
 
 # ---- tracing ------------------------------------------------------------------------
 
-def _trace(edge_list) -> list[list[dict]]:
-    """Rings of one region from its directed cell edges; right turns first at crossings."""
+def _trace(edge_list, connectivity: int) -> list[list[dict]]:
+    """Rings of one region from its directed cell edges.
+
+    Where two cells touch at a corner, a 4-connected region parts (right turn), an 8-connected one goes on (left turn).
+    """
     edges: dict = {}
     for ax, ay, bx, by in edge_list:
         edges.setdefault((ax, ay), []).append((bx, by))
@@ -183,8 +186,8 @@ def _trace(edge_list) -> list[list[dict]]:
         came, path = None, [start]
         while True:
             ways = edges[here]
-            if came is not None and len(ways) > 1:  # clockwise cross product: the right turn
-                ways.sort(key=lambda n: (came[0] * (n[1] - here[1]) - came[1] * (n[0] - here[0])) < 0)
+            if came is not None and len(ways) > 1:  # clockwise cross product: positive is the right turn
+                ways.sort(key=lambda n: (came[0] * (n[1] - here[1]) - came[1] * (n[0] - here[0])), reverse=connectivity == 4)
             following = ways.pop(0)
             if not ways:
                 del edges[here]
@@ -198,7 +201,7 @@ def _trace(edge_list) -> list[list[dict]]:
     return rings
 
 
-def _trace_sorted(batches):
+def _trace_sorted(batches, connectivity: int):
     """Trace region after region from rows sorted by region; a region may span batches."""
     held: pd.DataFrame | None = None
     for pdf in batches:
@@ -206,20 +209,20 @@ def _trace_sorted(batches):
         last = pdf.iloc[-1]
         open_ = (pdf["image_id"] == last["image_id"]) & (pdf["region"] == last["region"])
         held = pdf[open_]
-        yield _trace_frame(pdf[~open_])
+        yield _trace_frame(pdf[~open_], connectivity)
     if held is not None:
-        yield _trace_frame(held)
+        yield _trace_frame(held, connectivity)
 
 
-def _trace_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+def _trace_frame(pdf: pd.DataFrame, connectivity: int) -> pd.DataFrame:
     out = []
     for (image, region), part in pdf.groupby(["image_id", "region"], sort=False):
-        for i, ring in enumerate(_trace(part[["ax", "ay", "bx", "by"]].to_numpy().tolist())):
+        for i, ring in enumerate(_trace(part[["ax", "ay", "bx", "by"]].to_numpy().tolist(), connectivity)):
             out.append((image, region, i, ring))
     return pd.DataFrame(out, columns=["image_id", "region", "ring_index", "ring"])
 
 
-def vectorize(labelled: DataFrame) -> DataFrame:
+def vectorize(labelled: DataFrame, connectivity: int = 4) -> DataFrame:
     """Region runs to rings in pixel corners: outer rings have positive area, holes negative.
 
     Cell edges without a neighbour of the same region come from run differences, so only
@@ -236,7 +239,7 @@ def vectorize(labelled: DataFrame) -> DataFrame:
     edges = top.union(bottom).union(line(runs_, right, y, right, y + 1)).union(line(runs_, left, y + 1, left, y))
     schema = f"image_id bigint, region bigint, ring_index bigint, ring {RING_TYPE}"
     sorted_edges = edges.repartition("image_id", "region").sortWithinPartitions("image_id", "region", "ay", "ax", "by", "bx")
-    return sorted_edges.mapInPandas(_trace_sorted, schema)
+    return sorted_edges.mapInPandas(lambda batches: _trace_sorted(batches, connectivity), schema)
 
 
 def _halve(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -346,14 +349,17 @@ def circle_layer(layer: DataFrame) -> DataFrame:
     return layer.withColumn("ring", F.when(R.circle_similar(F.col("ring")), R.circle_ring(F.col("ring"))).otherwise(F.col("ring")))
 
 
-def outer_polygons(labelled: DataFrame, smallest: float, epsilon_ratio: float = 0.003) -> DataFrame:
-    """Outer rings of at least ``smallest`` area, simplified by max(1, ratio * perimeter), three corners or more."""
-    outer = vectorize(labelled).filter(R.signed_area(F.col("ring")) >= smallest)
+def outer_polygons(labelled: DataFrame, smallest: float, epsilon_ratio: float = 0.003, connectivity: int = 4) -> DataFrame:
+    """Outer rings of at least ``smallest`` area, simplified by max(1, ratio * perimeter), three corners or more.
+
+    ``connectivity`` is that of the labelled regions: an 8-connected region keeps one outer ring through its corners.
+    """
+    outer = vectorize(labelled, connectivity).filter(R.signed_area(F.col("ring")) >= smallest)
     short = simplify_layer(outer, F.greatest(F.lit(1.0), R.perimeter(F.col("ring")) * epsilon_ratio))
     return short.filter(F.size("ring") >= 4)
 
 
-def polygonize_mask(labelled: DataFrame, sizes: DataFrame, smallest: float = 64, epsilon_ratio: float = 0.003) -> DataFrame:
+def polygonize_mask(labelled: DataFrame, sizes: DataFrame, smallest: float = 64, epsilon_ratio: float = 0.003, connectivity: int = 8) -> DataFrame:
     """The mask redrawn from its simplified outer polygons (holes are filled by that)."""
-    polygons = outer_polygons(labelled, smallest, epsilon_ratio).join(sizes, "image_id")
+    polygons = outer_polygons(labelled, smallest, epsilon_ratio, connectivity).join(sizes, "image_id")
     return sweep(rasterize_binary(polygons, ["image_id"]))

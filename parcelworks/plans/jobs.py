@@ -58,14 +58,10 @@ def _(t):
     return J.run_available(J.stream_job_state_machine(event_stream(t)), "states", "update").select("job_id", "status", "seq")
 
 
-QUIET = "(SELECT * FROM job_events WHERE value > 150 OR status IN ('queued', 'running'))"
-
-
-@query("active_job_guard", f"SELECT DISTINCT job_id // 2 AS dataset_id FROM job_events WHERE job_id // 2 NOT IN (SELECT job_id // 2 FROM {FINAL.format(events=QUIET)} WHERE status NOT IN ('completed', 'failed', 'cancelled'))", "job_events")
+@query("active_job_guard", f"SELECT DISTINCT job_id // 2 AS dataset_id FROM job_events WHERE job_id // 2 NOT IN (SELECT job_id // 2 FROM {FINAL.format(events='job_events')} WHERE status NOT IN ('completed', 'failed', 'cancelled'))", "job_events")
 def _(t):
     dataset = F.floor(F.col("job_id") / 2).alias("dataset_id")
-    quiet = t.job_events.filter((F.col("value") > 150) | F.col("status").isin("queued", "running"))
-    states = J.final_state(quiet).select("status", dataset)
+    states = J.final_state(t.job_events).select("status", dataset)
     return J.active_job_guard(t.job_events.select(dataset).distinct(), states)
 
 

@@ -308,7 +308,7 @@ def _(t):
 @query("missing_paths", f"""WITH files AS (SELECT path FROM {PATHS_SQL} WHERE suffix <> '.txt'),
 idx AS (SELECT page_id AS sample_id, path AS image_path, concat('masks/', path) AS mask_path FROM {PATHS_SQL})
 SELECT DISTINCT sample_id FROM idx WHERE image_path NOT IN (SELECT path FROM files)
-  OR mask_path NOT IN (SELECT concat('masks/', path) FROM files) ORDER BY sample_id LIMIT 20""", "paths")
+  OR mask_path NOT IN (SELECT concat('masks/', path) FROM files)""", "paths")
 def _(t):
     present = listing(t).filter(F.col("suffix") != ".txt").select("path")
     files = present.union(present.select(F.concat(F.lit("masks/"), "path").alias("path")))
@@ -351,7 +351,7 @@ def _(t):
 
 @query("patch_names", """SELECT image_id, format('{}_x{:06d}_y{:06d}', stem, width, height) AS window_name, format('{}_{:04d}_{:04d}', stem, width, height) AS tile_name,
   concat(regexp_replace(concat('c. ', stem), '[^A-Za-z0-9_-]', '_', 'g'), '_t1') AS patch_id,
-  substr(regexp_replace(concat(repeat('long.', 20), stem), '[^A-Za-z0-9_-]', '_', 'g'), 1, 80) AS short_name
+  concat(substr(regexp_replace(concat(repeat('long.', 20), stem), '[^A-Za-z0-9_-]', '_', 'g'), 1, 71), '_', substr(md5(concat(repeat('long.', 20), stem)), 1, 8)) AS short_name
 FROM (SELECT *, regexp_replace(image_name, '\\.[A-Za-z0-9]+$', '') AS stem FROM images)""", "images")
 def _(t):
     stem = P.stem(F.col("image_name"))
@@ -378,10 +378,8 @@ def _(t):
     return seen.select("run_id", "epoch", better_loss.alias("best_loss"), better_f1.alias("best_f1")).filter("best_loss OR best_f1")
 
 
-@query("log_tail", """SELECT job_id, seq, line FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY seq DESC) AS back FROM (
-    SELECT *, LAG(line) OVER (PARTITION BY job_id ORDER BY seq) AS prev FROM job_events) WHERE prev IS DISTINCT FROM line)
-WHERE back <= 120""", "job_events")
+@query("log_tail", """SELECT job_id, seq, line FROM (SELECT *, LAG(line) OVER (PARTITION BY job_id ORDER BY seq) AS prev FROM job_events)
+WHERE prev IS DISTINCT FROM line""", "job_events")
 def _(t):
     from parcelworks.streaming.jobs import log_tail
 

@@ -59,13 +59,15 @@ def final_state(events: DataFrame) -> DataFrame:
     return folded.select("job_id", pick["status"].alias("status"), pick["seq"].alias("seq"))
 
 
-def log_tail(events: DataFrame, keep: int = 120) -> DataFrame:
-    """Last ``keep`` messages per job after dropping repeats of the previous message.
+def log_tail(events: DataFrame, keep: int | None = None) -> DataFrame:
+    """Messages per job after dropping repeats of the previous message; only the last ``keep`` of a job if that is given.
 
     The rank filter is a per-key limit, which Spark applies before the shuffle, so a
     job with very many events sends at most ``keep`` rows per input partition.
     """
     changed = previous_value(events.select("job_id", "seq", "line"), "job_id", "seq", "line", "prev").filter(~F.col("prev").eqNullSafe(F.col("line")))
+    if keep is None:
+        return changed.select("job_id", "seq", "line")
     back = F.row_number().over(W.partitionBy("job_id").orderBy(F.col("seq").desc()))
     return changed.withColumn("back", back).filter(F.col("back") <= keep).select("job_id", "seq", "line")
 
