@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from parcelworks.llm.kernel import distinct_sets, mix, shingle_prints, slices, t
 from parcelworks.session import materialize
 
 COORDINATES = 64
-BLOCK = 256
+BLOCK = 1024
 #: Standard deviations that a pair at the threshold may fall below its expected number of agreeing coordinates.
 SLACK = 4.3
 
@@ -108,38 +107,69 @@ def _similar(shared: Column, one: Column, other: Column, percent: int) -> Column
     return shared * 100 >= percent * (one + other - shared)
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted batches as tables of whole (cv, i, j) groups, with the row at which each group begins."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        changes = np.zeros(max(0, len(table) - 1), bool)
+        for name in ("cv", "i", "j"):
+            changes |= np.diff(table.column(name).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        if cuts[-1]:
+            yield table.slice(0, cuts[-1]), cuts[:-1]
+        held = table.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held, [0]
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy().reshape(len(table), COORDINATES)
+
+
 def _candidates(matches: int, percent: int):
-    """For one pair of blocks of a list: the classes that have a partner of another component with enough agreeing coordinates."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cv, i, j = key
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        a, b = np.stack(left["signature"]) if len(left) else None, np.stack(right["signature"]) if len(right) else None
-        needed: set = set()
-        if a is not None and b is not None:
-            for p in range(len(left)):
-                agree = b == a[p]
-                often = (agree.sum(1) >= matches) & (right["label"].to_numpy() != left["label"].iloc[p])
-                for q in np.flatnonzero(often):
-                    x, y = left.iloc[p], right.iloc[q]
-                    if (i == j and x["key"] >= y["key"]) or min(x["n"], y["n"]) * 100 < percent * max(x["n"], y["n"]):
-                        continue
-                    where = np.flatnonzero(agree[q])
-                    values = (where.astype(np.int64) << 32) + (a[p][where].astype(np.int64) & 0xFFFFFFFF)
-                    shares = np.asarray(x["shares"])[where]
-                    if min(zip(shares.tolist(), values.tolist(), strict=True))[1] == cv:
-                        needed |= {x["key"], y["key"]}
-        out = pdf[pdf["key"].isin(needed)].drop_duplicates("key")
-        return pd.DataFrame({"cv": cv, "i": i, "j": j, "key": out["key"], "block": out["block"], "label": out["label"], "signature": out["signature"]})
+    """For one pair of blocks of a list: each class with its partners of other components that agree often enough, the closest first.
+
+    A pair counts in the first list that it shares, by the order of the prefix, so no other list gives it again. Classes that are
+    partners only come without partners of their own.
+    """
+    schema = pa.schema([("cv", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.int64()), ("label", pa.int64()), ("partners", pa.list_(pa.int64()))])
+
+    def pairs(cv: int, same: bool, keys, labels, sizes, signs, shares, left, right) -> Iterator[tuple[int, np.ndarray]]:
+        for p in left:
+            q = right[(labels[right] != labels[p]) & (np.minimum(sizes[right], sizes[p]) * 100 >= percent * np.maximum(sizes[right], sizes[p]))]
+            q = q[keys[q] > keys[p]] if same else q
+            agree = signs[q] == signs[p]
+            often = agree.sum(1)
+            q, agree, often = q[often >= matches], agree[often >= matches], often[often >= matches]
+            if not len(q):
+                continue
+            values = (np.arange(COORDINATES, dtype=np.int64) << 32) + (signs[p].astype(np.int64) & 0xFFFFFFFF)
+            order = np.lexsort((values, shares[p]))
+            first = values[order[agree[:, order].argmax(1)]] == cv
+            if first.any():
+                yield p, q[first][np.argsort(-often[first], kind="stable")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _blocks_of(batches):
+            cv, i, j, block, keys, labels, sizes = (table.column(c).to_numpy() for c in ("cv", "i", "j", "block", "key", "label", "n"))
+            signs, shares, rows = _matrix(table, "signature"), _matrix(table, "shares"), []
+            for begin, end in zip(cuts, [*cuts[1:], len(table)], strict=True):
+                here = np.arange(begin, end)
+                left, right = here[block[begin:end] == i[begin]], here[block[begin:end] == j[begin]]
+                found = dict(pairs(cv[begin], i[begin] == j[begin], keys, labels, sizes, signs, shares, left, right))
+                needed = np.unique(np.concatenate([[*found], *found.values()]).astype(np.int64)) if found else []
+                rows += [(cv[k], i[k], j[k], keys[k], labels[k], keys[found[k]].tolist() if k in found else []) for k in needed]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _confirm(matches: int, percent: int):
-    """The links between components in one pair of blocks; pairs whose components are already joined here are passed over."""
+def _confirm(percent: int):
+    """The links between components in one pair of blocks, on the full sets; one link for each two components joined here."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+    def links(keys: list, labels: list, members: list, partners: list) -> Iterator[tuple[int, int]]:
         parent: dict = {}
 
         def root(x):
@@ -147,21 +177,33 @@ def _confirm(matches: int, percent: int):
                 x = parent[x]
             return x
 
-        rows = list(pdf[["key", "block", "label", "signature", "members"]].itertuples(index=False))
-        left, right = [r for r in rows if r.block == i], [r for r in rows if r.block == j]
-        links = []
-        signs = np.stack([r.signature for r in right]) if right else None
-        for x in left if right else []:
-            agree = (signs == x.signature).sum(1)
-            for q in sorted(np.flatnonzero(agree >= matches), key=lambda q: -agree[q]):
-                y = right[q]
-                if root(x.label) == root(y.label):
-                    continue
-                shared = len(np.intersect1d(x.members, y.members, assume_unique=True))
-                if shared * 100 >= percent * (len(x.members) + len(y.members) - shared):
-                    links.append((x.key, y.key))
-                    parent[root(x.label)] = root(y.label)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        at = {k: n for n, k in enumerate(keys)}
+        sizes = np.array([len(m) for m in members])
+        flat, owner = np.concatenate(members), np.repeat(np.arange(len(sizes)), sizes)
+        by_value = np.argsort(flat, kind="stable")
+        flat, owner = flat[by_value], owner[by_value]
+        for x, mine in enumerate(members):
+            others = [at[k] for k in partners[x] if root(labels[at[k]]) != root(labels[x])]
+            if not others:
+                continue
+            low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            counts = high - low
+            hits = owner[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+            shared = np.bincount(hits, minlength=len(sizes))
+            for y in others:
+                if shared[y] * 100 >= percent * (sizes[x] + sizes[y] - shared[y]) and root(labels[y]) != root(labels[x]):
+                    parent[root(labels[x])] = root(labels[y])
+                    yield keys[x], keys[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _blocks_of(batches):
+            found: list = []
+            for begin, end in zip(cuts, [*cuts[1:], len(table)], strict=True):
+                part = table.slice(begin, end - begin)
+                members = [m.values.to_numpy() for m in part.column("members").combine_chunks()]
+                found += links(part.column("key").to_pylist(), part.column("label").to_pylist(), members, part.column("partners").to_pylist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -198,8 +240,10 @@ def link(docs: DataFrame, classes: DataFrame, percent: int, width: int, doc_id:
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = lists.select("key", "cv").join(mixed.select("cv", parts.alias("parts")), "cv").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "cv", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    asked = pairs.join(labelled, "key").groupBy("cv", "i", "j").applyInPandas(_candidates(matches, percent), "cv long, i int, j int, key long, block int, label long, signature array<int>")
-    found = materialize(asked, "pairs").join(sets, "key").groupBy("cv", "i", "j").applyInPandas(_confirm(matches, percent), "a long, b long")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda rows: rows.repartition(tasks, "cv", "i", "j").sortWithinPartitions("cv", "i", "j")
+    asked = blocks(pairs.join(labelled, "key")).mapInArrow(_candidates(matches, percent), "cv long, i int, j int, key long, label long, partners array<long>")
+    found = blocks(materialize(asked, "pairs").join(sets, "key")).mapInArrow(_confirm(percent), "a long, b long")
     return components(stars.union(materialize(found, "more")))
 
 
