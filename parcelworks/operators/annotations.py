@@ -28,11 +28,6 @@ def polygon_feature(ring: Column, properties: list[Column]) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")))
 
 
-def point_feature(x: Column, y: Column, properties: list[Column]) -> Column:
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")))
-
-
 def collect_features(features: DataFrame, group: str, key: str, text: str = "feature", chunk: int = 50_000, crs: str | None = None) -> DataFrame:
     """Valid FeatureCollections per group, cut by ranges of the unique key.
 

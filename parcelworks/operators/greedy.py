@@ -73,6 +73,15 @@ def suppress_boxes(boxes: DataFrame, group: list[str], key: str, priority: Colum
     return result
 
 
+def first_kept(kept: DataFrame, boxes: DataFrame, group: list[str], key: str, priority: Column, most: int) -> DataFrame:
+    """The ``most`` best kept boxes of each group, where a caller wants no more: later ones never change earlier ones.
+
+    The rank filter is a limit per group, which Spark applies before the shuffle.
+    """
+    place = F.row_number().over(W.partitionBy(*group).orderBy(priority.desc(), key))
+    return boxes.join(kept, key, "left_semi").withColumn("_place", place).filter(F.col("_place") <= most).select(key)
+
+
 def suppress_edges(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """``nodes`` kept by greedy suppression along ``edges`` (winner, loser).
 
@@ -87,10 +96,12 @@ def suppress_edges(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
         dropped.append(beaten)
         without = open_.join(beaten, "loser", "left_anti").join(beaten.select(F.col("loser").alias("winner")), "winner", "left_anti")
         open_ = materialize(without, "edges")
-    kept = nodes
-    for part in dropped:
-        kept = kept.join(part.select(F.col("loser").alias(key)), key, "left_anti")
-    return kept
+    if not dropped:
+        return nodes
+    gone = dropped[0]
+    for part in dropped[1:]:
+        gone = gone.union(part)
+    return nodes.join(gone.select(F.col("loser").alias(key)), key, "left_anti")
 
 
 def mask_conflicts(pairs: DataFrame, priority: DataFrame, condition: Column) -> DataFrame:

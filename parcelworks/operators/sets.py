@@ -42,8 +42,3 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
 
 def vocab_except(candidates: DataFrame, excluded: DataFrame, name: str) -> DataFrame:
     return candidates.join(excluded.select(name).distinct(), name, "left_anti")
-
-
-def pixel_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels of ``left`` that are not in ``right``."""
-    return left.join(right.select(*keys), keys, "left_anti")

@@ -51,11 +51,6 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return annotations.read_geojson(texts, "collection")
 
 
-def write_geojson(features: DataFrame, path: str, text: str = "feature") -> None:
-    """One feature per line, written in parallel; no collection is gathered anywhere."""
-    features.select(text).write.mode("overwrite").text(path)
-
-
 def write_index(rows: DataFrame, path: str, columns=PATCH_INDEX_COLUMNS, fmt: str = "parquet", files_per_split: int = 0) -> None:
     """Index partitioned by split in fixed column order.
 
@@ -71,10 +66,6 @@ def write_index(rows: DataFrame, path: str, columns=PATCH_INDEX_COLUMNS, fmt: st
     writer.format(fmt).save(path)
 
 
-def write_metrics(scores: DataFrame, path: str) -> None:
-    scores.write.mode("overwrite").option("header", "true").csv(path)
-
-
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation summary documents back to one row per sample."""
     schema = "count bigint, samples array<struct<id:bigint, sample_id:string, metrics:map<string,double>>>"

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,42 +110,10 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     return newest.select("job_id", "_r.*")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 def stream_job_state_machine(events: DataFrame) -> DataFrame:
-    """Job states with absorbing terminal states, one small state per job.
+    """Job states with absorbing terminal states: the batch fold as a stream in update mode.
 
-    The fold does not depend on arrival order: it keeps the first terminal event and the
-    last open one by ``seq``.
+    ``min_by`` and ``max_by`` do not depend on arrival order: the first terminal event wins, else the last open one by
+    ``seq``. The state of a job is the two events; no Python runs per job.
     """
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    class JobStates(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("job", "end_seq bigint, end_status string, open_seq bigint, open_status string")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            end_seq, end_status, open_seq, open_status = self.state.get() if self.state.exists() else (None, None, None, None)
-            for pdf in rows:
-                ended = pdf["status"].isin(TERMINAL)
-                if ended.any():
-                    first = pdf[ended].loc[pdf[ended]["seq"].idxmin()]
-                    if end_seq is None or first["seq"] < end_seq:
-                        end_seq, end_status = int(first["seq"]), first["status"]
-                if (~ended).any():
-                    last = pdf[~ended].loc[pdf[~ended]["seq"].idxmax()]
-                    if open_seq is None or last["seq"] > open_seq:
-                        open_seq, open_status = int(last["seq"]), last["status"]
-            self.state.update((end_seq, end_status, open_seq, open_status))
-            seq, status = (end_seq, end_status) if end_seq is not None else (open_seq, open_status)
-            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "seq": [seq]})
-
-        def close(self) -> None:
-            pass
-
-    use_rocksdb(events.sparkSession)
-    return events.select("job_id", "seq", "status").groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobStates(), outputStructType="job_id bigint, status string, seq bigint", outputMode="Update", timeMode="None"
-    )
+    return final_state(events.select("job_id", "seq", "status"))

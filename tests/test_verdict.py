@@ -82,3 +82,23 @@ def test_proposal_groups_of_any_number(spark):
         assert sorted(r.ids for r in greedy.group_proposals(df, "image_id", 1000.0, 1000.0).collect()) == loop(boxes, 1000.0, 1000.0), seed
     many = spark.createDataFrame([(1, k, *box()) for k in range(1500)], "image_id long, key long, x1 double, y1 double, x2 double, y2 double")
     assert sum(r.members for r in greedy.group_proposals(many, "image_id", 1000.0, 1000.0).collect()) == 1500
+
+
+def test_kept_boxes_up_to_a_number(spark):
+    rng = random.Random(5)
+    rows = [(i % 3, i, x := rng.uniform(0, 50), y := rng.uniform(0, 50), x + 10, y + 10, rng.random()) for i in range(90)]
+    df = spark.createDataFrame(rows, "image_id long, det_id long, x1 double, y1 double, x2 double, y2 double, score double")
+
+    def iou(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        return w * h / (200 - w * h) if w > 0 and h > 0 else 0.0
+
+    want = set()
+    for image in range(3):
+        chosen = []
+        for r in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[6], r[1])):
+            if len(chosen) < 4 and all(iou(r, c) < 0.35 for c in chosen):
+                chosen.append(r)
+        want |= {r[1] for r in chosen}
+    kept = greedy.suppress_boxes(df, ["image_id"], "det_id", F.col("score"), 0.35)
+    assert {r.det_id for r in greedy.first_kept(kept, df, ["image_id"], "det_id", F.col("score"), 4).collect()} == want
