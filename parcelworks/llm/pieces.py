@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,7 @@ class Pieces:
 
     def __init__(self, names: list[str], scores: list[float], normal: list[bool], byte: list[bool]):
         self.names, self.byte = names, byte
+        self.spelled = [bytes([int(n[3:5], 16)]) if byte[i] else n.encode() for i, n in enumerate(names)]
         self.byte_ids = {int(n[3:5], 16): i for i, n in enumerate(names) if byte[i]}
         self.table = {n: (i, s) for i, (n, s, ok) in enumerate(zip(names, scores, normal, strict=True)) if ok}
         self.unknown = min((s for _, s in self.table.values()), default=0.0) - UNKNOWN_PENALTY
@@ -58,6 +60,8 @@ class Pieces:
         keys = np.array([sum((ord(c) + 1) * int(self.up[k]) for k, c in enumerate(n)) % (1 << 64) for n in self.table], np.uint64)
         self.keys = np.zeros(len(names) + 1, np.uint64)
         self.keys[ids] = keys
+        self.likely = np.zeros(1 << 22, bool)
+        self.likely[(keys * _SPREAD) >> np.uint64(42)] = True
         self.slots = []
         while len(ids):  # pieces that share a slot go to the next table
             slots = np.full(1 << 18, len(names), np.int32)
@@ -79,13 +83,14 @@ class Pieces:
     def _slot(keys: np.ndarray, table: int) -> np.ndarray:
         return ((keys * _SPREAD) >> np.uint64(46 - 7 * table)) & np.uint64((1 << 18) - 1)
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Piece of each key, -1 if there is none."""
-        out = np.full(len(keys), -1, np.int32)
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are pieces, and their ids. One table of bits sends most others away."""
+        at = np.flatnonzero(self.likely[(keys * _SPREAD) >> np.uint64(42)])
+        keys, out = keys[at], np.full(len(at), -1, np.int32)
         for k, slots in enumerate(self.slots):
             found = slots[self._slot(keys, k)]
             out = np.where((self.keys[found] == keys) & (found < len(self.names)), found, out)
-        return out
+        return at[out >= 0], out[out >= 0]
 
     def unknown_ids(self, character: str) -> list[int]:
         return [self.byte_ids.get(b, 0) for b in character.encode("utf-8", "replace")]
@@ -161,46 +166,61 @@ class Pieces:
         best[0] = 0.0
         for j in range(1, longest + 1):
             live = int(np.searchsorted(-size, -j, "right"))
-            top, length, which = np.full(live, _NONE), np.ones(live, np.int16), np.full(live, -1, np.int32)
+            top, length, which = best[j - 1, :live] + self.unknown, np.ones(live, np.int16), np.full(live, -1, np.int32)
             for w in range(1, min(self.longest, j) + 1):
-                found = self.lookup((sums[j, :live] - sums[j - w, :live]) * self.down[j - w])
-                value = np.where(found >= 0, best[j - w, :live] + self.scores[found], best[j - 1, :live] + self.unknown if w == 1 else _NONE)
-                better = value > top
-                top[better], length[better], which[better] = value[better], w, found[better]
+                at, found = self.lookup((sums[j, :live] - sums[j - w, :live]) * self.down[j - w])
+                value = best[j - w, at] + self.scores[found]
+                better = (value > top[at]) | (w == 1)  # a character that is a piece is never unknown
+                at, found, value = at[better], found[better], value[better]
+                top[at], length[at], which[at] = value, w, found
             best[j, :live], back[j, :live], piece[j, :live] = top, length, which
         at, rows, steps = size.copy(), np.arange(n), []
         scores[chosen] = best[size, rows]
         while at.any():
             steps.append(np.where(at > 0, np.where(piece[at, rows] >= 0, piece[at, rows], -2 - characters[rows, np.maximum(at - 1, 0)].astype(np.int64)), -1))
             at = at - np.where(at > 0, back[at, rows], 0)
-        for row, k in zip(np.stack(steps[::-1], 1), chosen, strict=True):
-            kept = row[row != -1]
-            ids[k] = kept if (kept >= 0).all() else [x for p in kept for x in ([p] if p >= 0 else self.unknown_ids(chr(-2 - p)))]
+        path = np.stack(steps[::-1], 1)
+        kept = path != -1
+        for row, k in zip(np.split(path[kept], np.cumsum(kept.sum(1))[:-1]), chosen, strict=True):
+            ids[k] = row
+        for r in np.flatnonzero((path < -1).any(1)):
+            ids[chosen[r]] = np.array([x for p in path[r][kept[r]] for x in ([p] if p >= 0 else self.unknown_ids(chr(-2 - p)))], np.int64)
 
     def decode(self, ids: list[int]) -> str:
-        out = []
-        for i in ids:
-            out.append(bytes([int(self.names[i][3:5], 16)]) if self.byte[i] else self.names[i].encode())
-        return b"".join(out).decode("utf-8", "replace").replace(BLANK, " ")[1:]
+        return b"".join([self.spelled[i] for i in ids]).decode("utf-8", "replace").replace(BLANK, " ")[1:]
 
 
 def normalise(text: str | None) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
+class WordCache:
+    """Segmented words of a task, kept from batch to batch; emptied when it holds ``most`` words."""
+
+    def __init__(self, pieces: Pieces, most: int = 1_000_000):
+        self.pieces, self.most, self.known = pieces, most, {}
+        self.flat, self.begins, self.scores = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[float]]:
+        """Ids and scores of normalised texts."""
+        if len(self.known) > self.most:
+            self.__init__(self.pieces, self.most)
+        known, before = self.known, len(self.known)
+        of = [[known.setdefault(w, len(known)) for w in _WORD.findall(t)] for t in texts]
+        if len(known) > before:
+            flat, begins, scores = self.pieces.words(list(islice(known, before, None)))
+            self.flat, self.begins, self.scores = np.concatenate([self.flat, flat]), np.concatenate([self.begins, begins[1:] + len(self.flat)]), np.concatenate([self.scores, scores])
+        ids, sums = [], []
+        for words in of:
+            w = np.array(words, np.int64)
+            counts = self.begins[w + 1] - self.begins[w]
+            ids.append(self.flat[np.repeat(self.begins[w] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())])
+            sums.append(float(self.scores[w].sum()))
+        return ids, sums
+
+
 def _encode_whole(pieces: Pieces, texts: list[str]) -> tuple[list[np.ndarray], list[float]]:
-    """Normalised texts by their words; equal words of the batch are segmented once."""
-    known: dict[str, int] = {}
-    of = [[known.setdefault(w, len(known)) for w in _WORD.findall(t)] for t in texts]
-    flat, begins, scores = pieces.words(list(known))
-    ids, sums = [], []
-    for words in of:
-        w = np.array(words, np.int64)
-        counts = begins[w + 1] - begins[w]
-        at = np.repeat(begins[w] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        ids.append(flat[at])
-        sums.append(float(scores[w].sum()))
-    return ids, sums
+    return WordCache(pieces).encode(texts)
 
 
 def _word_begins(text: str, begin: int, end: int) -> tuple[int, int]:
@@ -259,9 +279,10 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, text: str = "tex
     kind = rows.schema["row"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordCache(shared.value)
         for batch in batches:
             for part in slices(batch, "t"):
-                ids, scores = _encode_whole(shared.value, [normalise(t) for t in part.column(1).to_pylist()])
+                ids, scores = cache.encode([normalise(t) for t in part.column(1).to_pylist()])
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(scores, pa.float64())], ["row", "ids", "score"])
