@@ -189,6 +189,22 @@ def test_quality_fences(spark):
     assert [i for i, kept in out.items() if not kept] == [999]
 
 
+def test_quality_fences_follow_the_group(spark):
+    """The same text passes where its group is like it and fails where its group is far from it; ordinary documents of both groups stay."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short = [(i, " ".join(word(rng.choice([4, 5, 6])) for _ in range(80)), "en", "short") for i in range(300)]
+    loose = [(1000 + i, " ".join(word(4 + i % 5) for _ in range(80)), "en", "loose") for i in range(300)]
+    signs = [(2000 + i, " ".join(word(5) + ("$" if i % 10 == 0 and k % 10 == 0 else "") for k in range(80)), "en", "signs") for i in range(300)]
+    odd = [(k, " ".join(word(6) + "x" for _ in range(80)), "en", so) for k, so in ((901, "short"), (902, "loose"))]
+    odd += [(k, " ".join(word(5) + ("$" if j % 12 == 0 else "") for j in range(80)), "en", so) for k, so in ((903, "short"), (904, "signs"))]
+    docs = spark.createDataFrame(short + loose + signs + odd, "doc_id long, text string, lang string, source string")
+    out = {r.row.doc_id: r.kept for r in quality.judge(docs, ["doc_id"]).collect()}
+    assert {i: out[i] for i in (902, 904)} == {902: True, 904: True}
+    assert not out[901]
+    assert [i for i, kept in out.items() if not kept and i not in (901, 903)] == []
+
+
 def test_language(spark, docs_folder):
     rows = language.query(spark, docs_folder).collect()
     same([(r.doc_id, r.held_out) for r in rows], [(i, held_out(i, 5)) for i, _ in texts_of(spark, docs_folder)])
