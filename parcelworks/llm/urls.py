@@ -1,9 +1,10 @@
 """URL filter: per host a tree of path templates, learned from the urls themselves, judged by smoothed labelled purity.
 
 The tree grows one path segment at a time. Below each node a segment is variable where its form says so (digits, long or hex-like)
-or where its share of the node's urls is small; variable segments become ``*``. A literal branch is merged into ``*`` too unless its
-share of bad labels differs from its siblings' by ``Z`` standard errors. Depth is bounded by ``DEPTH``: what lies deeper is ``**``,
-no url is left out. A template's purity is its bad share, smoothed towards its host's, which is smoothed towards the global one.
+or where fewer than ``SUPPORT`` urls have it; variable segments become ``*``. A literal branch is merged into ``*`` too unless its
+share of bad labels differs from its siblings' by ``Z`` standard errors. ``DEPTH`` levels are always spelled out. Below them the tree grows
+on in every node that can still split, however deep; what follows the last branch that stays is ``**``, no url is left out. A template's
+purity is its bad share, smoothed towards its host's, which is smoothed towards the global one.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and the template of the empty path; repeated rows are
 judged each; urls without any label get the prior; an empty table gives no rows; other columns are not read.
@@ -19,7 +20,6 @@ from parcelworks.session import materialize
 
 DEPTH = 4
 SUPPORT = 20
-SHARE = 0.02
 Z = 2.58
 PRIOR = 10.0
 REJECT = 0.5
@@ -56,27 +56,50 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(host, path, template) for the distinct (host, path, n, labelled, bad) of ``urls``.
 
-    Each level sums (node, segment) map-side first, so a host with a third of all urls is no task of its own. Literal branches are
-    at most 1 / SHARE for a node; the join that brings the decision back is split by Spark where it is skewed.
+    Each level sums (node, segment) map-side first, so a host with a third of all urls is no task of its own; the join that brings the
+    decision back is split by Spark where it is skewed. Below ``depth`` only the urls of open nodes go on. A node with fewer than
+    ``SUPPORT`` urls, or whose labels all agree, is closed: none of its branches can differ by more than one standard error.
     """
     pieces = F.filter(F.split("path", "/"), lambda s: s != "")
+    sums = [F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")]
     table = materialize(urls.select("*", pieces.alias("pieces"), F.lit("").alias("template")), "urls")
     for level in range(depth):
-        piece = F.when(F.get("pieces", F.lit(level)).rlike(_VARIABLE), "*").otherwise(F.get("pieces", F.lit(level)))
-        here = table.select("host", "template", piece.alias("piece"), "n", "labelled", "bad").where(F.col("piece").isNotNull())
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        branches = here.groupBy("host", "template", "piece").agg(*sums)
-        nodes = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
-        literal = branches.where((F.col("piece") != "*") & (F.col("n") >= SUPPORT)).join(nodes, ["host", "template"]).where(F.col("n") >= SHARE * F.col("all_n"))
-        rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        gap = F.abs((F.col("bad") + pooled) / (F.col("labelled") + 1) - (rest_bad + pooled) / (rest + 1))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 1) + 1 / (rest + 1)))
-        kept = literal.where(gap >= Z * error).select("host", "template", F.col("piece").alias("own"), F.lit(True).alias("stays"))
-        stepped = table.withColumn("own", piece).join(kept, ["host", "template", "own"], "left")
-        step = F.when(F.col("own").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), "own")).otherwise("/*")
-        table = materialize(stepped.select(*urls.columns, "pieces", F.concat("template", step).alias("template")), f"level{level}")
-    return table.select(*urls.columns, F.when(F.size("pieces") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
+        table = materialize(_grow(table, level).drop("stays"), f"level{level}")
+    open_node = (F.col("all_n") >= SUPPORT) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled"))
+    table = table.withColumns({"settled": F.col("template"), "cut": F.lit(depth)})
+    done, level = [], depth
+    while True:
+        deeper = F.size("pieces") > level
+        nodes = table.where(deeper).groupBy("host", "template").agg(*sums).where(open_node).select("host", "template", F.lit(True).alias("opens"))
+        nodes = materialize(nodes, f"open{level}")
+        if nodes.isEmpty():
+            break
+        marked = materialize(table.join(nodes, ["host", "template"], "left").withColumn("opens", deeper & F.coalesce("opens", F.lit(False))), f"marked{level}")
+        done.append(marked.where(~F.col("opens")).drop("opens"))
+        grown = _grow(marked.where("opens").drop("opens"), level)
+        settled = {"settled": F.when(F.col("stays"), F.col("template")).otherwise(F.col("settled")), "cut": F.when(F.col("stays"), level + 1).otherwise(F.col("cut"))}
+        table = materialize(grown.withColumns(settled).drop("stays"), f"level{level}")
+        level += 1
+    for part in done:
+        table = table.unionByName(part)
+    return table.select(*urls.columns, F.when(F.size("pieces") > F.col("cut"), F.concat("settled", F.lit("/**"))).otherwise(F.col("settled")).alias("template"))
+
+
+def _grow(table: DataFrame, level: int) -> DataFrame:
+    """``table`` with its templates one segment longer, and ``stays`` where that segment is a branch of its own."""
+    piece = F.when(F.get("pieces", F.lit(level)).rlike(_VARIABLE), "*").otherwise(F.get("pieces", F.lit(level)))
+    here = table.select("host", "template", piece.alias("piece"), "n", "labelled", "bad").where(F.col("piece").isNotNull())
+    branches = here.groupBy("host", "template", "piece").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    nodes = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
+    literal = branches.where((F.col("piece") != "*") & (F.col("n") >= SUPPORT)).join(nodes, ["host", "template"])
+    rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+    pooled = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
+    gap = F.abs((F.col("bad") + pooled) / (F.col("labelled") + 1) - (rest_bad + pooled) / (rest + 1))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 1) + 1 / (rest + 1)))
+    kept = literal.where(gap >= Z * error).select("host", "template", F.col("piece").alias("own"), F.lit(True).alias("stays"))
+    stepped = table.withColumn("own", piece).join(kept, ["host", "template", "own"], "left")
+    step = F.when(F.col("own").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), "own")).otherwise("/*")
+    return stepped.select(*[c for c in table.columns if c != "template"], F.concat("template", step).alias("template"), F.coalesce("stays", F.lit(False)).alias("stays"))
 
 
 def learn(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR) -> DataFrame:

@@ -80,3 +80,26 @@ def test_url_templates(spark, tmp_path):
     labels = [(k, int(k % 2 == 0), 0) for k in range(0, 400, 3)] + [(k, int(k % 2 == 0), 0) for k in range(1, 400, 3)] + [(None, 0, 1)]
     rows = urls.query(spark, folder_with(spark, tmp_path, pages, labels)).collect()
     assert {(r.template, r.verdict) for r in rows} == {("/spam/*", "block"), ("/news/*", "allow")} or {(r.path.split("/")[1], r.verdict) for r in rows} == {("spam", "block"), ("news", "allow")}
+
+
+def labelled_paths(spark, paths):
+    return spark.createDataFrame([("h.org", p, bad) for p, bad in paths], "host string, path string, bad boolean")
+
+
+def test_small_bad_branch_of_a_large_host(spark):
+    """A branch with 1 % of its host's urls, all bad, is kept apart from its good siblings."""
+    paths = [(f"/s{k % 60}/{k}", False) for k in range(6000)] + [(f"/spam/{k}", True) for k in range(60)]
+    found = {r.path.split("/")[1]: r for r in urls.learn(labelled_paths(spark, paths)).collect()}
+    assert found["spam"].template == "/spam/*" and found["spam"].purity > urls.REJECT
+    assert all(r.purity < urls.REJECT for k, r in found.items() if k != "spam")
+
+
+def test_bad_section_below_the_fourth_segment(spark):
+    """Siblings at segments five and seven are told apart; what never splits ends in ``**`` as before."""
+    paths = [(f"/a/b/c/d/{'spam' if k % 2 else 'news'}/{k}", k % 2 == 1) for k in range(200)]
+    paths += [(f"/a/b/c/e/f/g/{'bad' if k % 2 else 'ok'}/{k}/x", k % 2 == 1) for k in range(200)] + [(f"/q/b/c/d/{k}/z/{k}", False) for k in range(50)]
+    rows = urls.learn(labelled_paths(spark, paths)).collect()
+    assert len(rows) == len(paths)
+    for r in rows:
+        assert (r.purity >= urls.REJECT) == ("spam" in r.path or "bad" in r.path), r
+    assert all(r.template.endswith("/**") and r.template.count("/") == 5 for r in rows if r.path.startswith("/q/"))
