@@ -1,8 +1,10 @@
 """License scan: a positional index of rare licence words, intersected by relative position and confirmed by key phrases.
 
 Every template is a run of words. The index posts each of its words with its position. A file is looked up by its own highest-IDF
-licence words (none that more than ``common`` of all files have) and by each template's rarest word, so no template can be missed; a hit
-at file position i for template position p proposes the template's start i - p. There, the postings are intersected with the file's words
+licence words (none that more than ``common`` of all files have) and by each template's anchor, the rarest word of its key phrases. A find
+needs all key words, so it holds the anchor however common that is, and no template can be missed; a hit at file position i for template
+position p proposes the template's start i - p. A template without key phrases has as anchors the rarest words that together weigh
+more than a find may lack. There, the postings are intersected with the file's words
 by relative position: a start counts if all words of the key phrases stand at their places and the words found carry enough of the
 template's IDF weight. IDF comes from the files themselves. All of it is DataFrame work.
 
@@ -88,7 +90,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", lookups: int = 6,
 
     seen = files.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word")).groupBy("word").agg(F.count("*").alias("files"))
     counts = {r["word"]: r["files"] for r in seen.collect()}  # one row for each word of the templates at most
-    lines = _weighed(postings, counts, total := files.count())
+    lines = _weighed(postings, counts, total := files.count(), enough)
     order = {w: k for k, w in enumerate(sorted((w for w in vocabulary if counts.get(w, 0) <= common * total), key=lambda w: (counts.get(w, 0), w)))}
     anchors = sorted({p[0] for p in lines if p[6]})
     posted = F.broadcast(spark.createDataFrame(lines, POSTING))
@@ -117,17 +119,28 @@ def _rarest(hits: Column, order: dict[str, int], lookups: int) -> Column:
     return F.transform(F.slice(ranked, 1, lookups), lambda r: r["w"])
 
 
-def _weighed(postings: list[tuple], counts: dict[str, int], files: int) -> list[tuple]:
-    """Postings with IDF weight, each template's rarest word and its sums."""
+def _weighed(postings: list[tuple], counts: dict[str, int], files: int, enough: float) -> list[tuple]:
+    """Postings with IDF weight, each template's anchors and its sums; every find holds an anchor."""
     idf = {p[0]: math.log((files + 1) / (counts.get(p[0], 0) + 1)) + 1e-3 for p in postings}
-    rarest: dict[int, str] = {}
+    needed: dict[int, set[str]] = defaultdict(set)
     keys: dict[int, int] = defaultdict(int)
     weights: dict[int, float] = defaultdict(float)
+    own: dict[int, dict[str, float]] = defaultdict(lambda: defaultdict(float))
     for word, template, _, is_key, _, _ in postings:
-        rarest[template] = min(rarest.get(template, word), word, key=lambda w: (counts.get(w, 0), w))
         keys[template] += is_key
         weights[template] += idf[word]
-    return [(*p, rarest[p[1]] == p[0], idf[p[0]], keys[p[1]], weights[p[1]]) for p in postings]
+        own[template][word] += idf[word]
+        if is_key:
+            needed[template].add(word)
+    rarity = lambda w: (counts.get(w, 0), w)
+    anchors = {template: {min(found, key=rarity)} for template, found in needed.items()}
+    for template in own.keys() - needed.keys():
+        anchors[template], held = set(), 0.0
+        for word in sorted(own[template], key=rarity):
+            if held <= (1 - enough) * weights[template]:
+                anchors[template].add(word)
+                held += own[template][word]
+    return [(*p, p[0] in anchors[p[1]], idf[p[0]], keys[p[1]], weights[p[1]]) for p in postings]
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -164,6 +164,25 @@ def test_license_templates(spark):
     assert ("MIT", 2) in {(r.label, r.start) for r in found if r.row.doc_id == 1}
 
 
+def test_license_with_altered_rare_word(spark):
+    """A notice whose rarest word was reworded is found by its key phrase, in a file full of rarer licence words and though all files carry it."""
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted if the following conditions are met"
+    others = "mozilla affero universal unencumbered isc cc0 nc sa domain"
+    docs = [(k, f"{others} x{k} {notice}") for k in range(60)] + [(100 + k, "provided that" if k < 30 else "x") for k in range(400)]
+    _, finds = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"])
+    assert finds.where("label = 'BSD'").count() == 60
+
+
+def test_license_anchor_is_mandatory():
+    """Every template's anchor is one of its key words; without key words the anchors weigh more than a find may lack."""
+    counts = {p[0]: 1 + k % 7 for k, p in enumerate(licenses.index())}
+    for _, template, _, is_key, *_, anchor, _, _, _ in (lines := licenses._weighed(licenses.index(), counts, 100, 0.6)):
+        assert is_key or not anchor or any(x[6] and x[3] and x[1] == template for x in lines)
+    assert {x[1] for x in lines if x[6] and x[3]} == {x[1] for x in lines}
+    plain = licenses._weighed([(w, 0, k, False, False, "x") for k, w in enumerate("a b c d e".split())], {w: 5 for w in "abcde"}, 100, 0.6)
+    assert sum(x[7] for x in plain if x[6]) > 0.4 * plain[0][9]
+
+
 @pytest.mark.parametrize("folder", ["edges", SF])
 def test_quality(spark, docs_folder, folder):
     folder = docs_folder if folder == "edges" else folder
