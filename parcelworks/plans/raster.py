@@ -148,6 +148,13 @@ def _(t):
     return counted.select("image_id", "x0", "y0", F.col("n_boundary").alias("members"))
 
 
+@query("pixel_grid_classes", f"SELECT w.image_id, w.x0, w.y0, m.cls, COUNT(*) AS members FROM {WINDOWS} w JOIN mask_pixels m ON {IN_WINDOW} GROUP BY ALL", "mask_pixels")
+def _(t):
+    """``pixel_grid_join`` for every class, whatever values the masks hold."""
+    pieces = tiling.window_rows(t.mask_rows, 48, 8).select("image_id", "x0", "y0", F.explode("part").alias("cls"))
+    return pieces.groupBy("image_id", "x0", "y0", "cls").agg(F.count("*").alias("members"))
+
+
 INVALID = "(coalesce(nodata = b1 OR nodata = b2 OR nodata = b3, FALSE) OR (b1 <= 0 AND b2 <= 0 AND b3 <= 0))"
 OVERLAID = f"(SELECT m.image_id, m.y, m.x, CASE WHEN {INVALID} THEN 255 ELSE m.cls END AS cls FROM mask_pixels m JOIN rgb_pixels r ON m.image_id = r.image_id AND m.y = r.y AND m.x = r.x)"
 
@@ -309,6 +316,17 @@ def _(t):
     return raster.stretch_2_98(values, ["image_id"]).groupBy("image_id", "level").agg(F.count("*").alias("n"))
 
 
+RGB_VALUES = "(" + " UNION ALL ".join(f"SELECT image_id, y, x, {b} AS band, b{b} AS v FROM rgb_pixels" for b in (1, 2, 3)) + ")"
+
+
+@query("stretch_2_98_bands", f"""SELECT image_id, band, level, COUNT(*) AS n FROM (SELECT image_id, band, CAST(floor(least(greatest((v - lo) / (CASE WHEN hi <= lo THEN 1.0 ELSE hi - lo END) * 255, 0), 255)) AS INT) AS level
+  FROM {RGB_VALUES} JOIN (SELECT image_id, band, quantile_cont(CAST(v AS DOUBLE), 0.02) AS lo, quantile_cont(CAST(v AS DOUBLE), 0.98) AS hi FROM {RGB_VALUES} GROUP BY ALL) USING (image_id, band)) GROUP BY ALL""", "rgb_pixels")
+def _(t):
+    """``stretch_2_98`` for every band by its own limits."""
+    values = raster.explode_bands(t.rgb_pixels, ["image_id"])
+    return raster.stretch_2_98(values, ["image_id", "band"]).groupBy("image_id", "band", "level").agg(F.count("*").alias("n"))
+
+
 @query("minmax_uint8", """SELECT pixel_id, band, CASE WHEN hi > lo THEN CAST(floor((v - lo) / (hi - lo) * 255) AS INT) ELSE 0 END AS level FROM band_values
   JOIN (SELECT image_id, MIN(v) AS lo, MAX(v) AS hi FROM band_values GROUP BY image_id) USING (image_id)""", "band_values")
 def _(t):
@@ -363,6 +381,15 @@ def _(t):
     return raster.mosaic(shifted, ["gy", "gx"], "v", "image_id", F.lit(0))
 
 
+@query("mosaic_bands", f"""SELECT gy, gx, band, max_by(v, image_id) AS v FROM (SELECT image_id, y + (image_id % 5) * 20 AS gy, x + (image_id % 7) * 30 AS gx, band, v FROM {RGB_VALUES})
+WHERE v <> 0 GROUP BY gy, gx, band""", "rgb_pixels")
+def _(t):
+    """``mosaic`` for every band."""
+    image = F.col("image_id")
+    shifted = t.rgb_pixels.select("image_id", (F.col("y") + (image % 5) * 20).alias("gy"), (F.col("x") + (image % 7) * 30).alias("gx"), F.posexplode("bands").alias("at", "v"))
+    return raster.mosaic(shifted.withColumn("band", F.col("at") + 1), ["gy", "gx", "band"], "v", "image_id", F.lit(0))
+
+
 @query("gaussian_stitch", f"""SELECT image_id, cls, COUNT(*) AS pixels, round_even(SUM(p), 3) + 0.0 AS total FROM (
   SELECT image_id, y, x, CAST(arg_max(c, p * 1000 - c / 1e9) AS INT) AS cls, MAX(p) AS p FROM (
     SELECT image_id, y, x, c, round(SUM(wt * p) / SUM(wt), 9) AS p FROM (
