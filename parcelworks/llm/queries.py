@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import language, licenses, lm, neardup, packing, pieces, pii, quality, topk, urls
+from parcelworks.llm import language, licenses, lm, merkle, neardup, packing, pieces, pii, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_length_packing": packing.query,
     "op9_quality_rules": quality.query,
     "op10_language_id": language.query,
+    "op11_merkle_manifest": merkle.query,
 }
-ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL, "op11_merkle_manifest": merkle.SQL}
