@@ -1,8 +1,8 @@
 """Phrase collocation mining by HAT-trie counting.
 
 Every task reads its texts into a shallow trie of word ids with hash containers at its ends: under a language and a prefix partition,
-a first word leads to a container that counts (second word, third word); a container that holds ``BURST`` entries bursts into one container
-for each second word. An entry is a window of three words, its end filled up at the end of a piece, so each place in a text is counted once:
+hash containers count (first, second, third word); a container that holds ``BURST`` entries bursts into ``SPREAD`` ones, each for a part of the
+first words, and these in turn by the second words. A container is a pair of arrays, into which a whole batch is probed at once. An entry is a window of three words, its end filled up at the end of a piece, so each place in a text is counted once:
 the counts of one and two words are sums below a node.
 
 If a trie holds more than ``ENTRIES`` entries, whole subtrees, those of the largest prefix partitions first, are spilled as sorted runs: the run's
@@ -20,7 +20,6 @@ rows; other columns are never read, so their names cannot clash.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
@@ -37,12 +36,14 @@ from parcelworks.session import materialize
 
 LEAST = 10
 TOP = 2000
-BURST = 1 << 14
-ENTRIES = 1 << 20
+BURST = 1 << 16
+#: Children of a container that has burst.
+SPREAD = 16
+ENTRIES = 1 << 22
 VOCABULARY = 1 << 20
 CHUNK = 1 << 20
 #: Prefix partitions for each shuffle partition.
-FACTOR = 4
+FACTOR = 1
 _MARK = b"."
 #: A-Z to a-z, tab to blank, and every mark to the one mark, which is no word.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
@@ -63,47 +64,70 @@ def chunks(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
         begin = end
 
 
+class Container:
+    """A hash table of packed windows with open addressing; a whole array of them is added in a few rounds of probes."""
+
+    __slots__ = ("keys", "counts", "size")
+
+    def __init__(self, slots: int = 64):
+        self.keys, self.counts, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int64), 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add distinct windows; no window is packed as 0."""
+        while 2 * (self.size + len(keys)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            known, n = self.keys[old], self.counts[old]
+            self.__init__(4 * len(self.keys))
+            self._probe(known, n)
+        self._probe(keys, counts)
+
+    def _probe(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (mix(keys.view(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # of several for one slot one stays
+            mine = self.keys[at] == keys
+            self.size += int((free & mine).sum())
+            self.counts[at[mine]] += counts[mine]
+            keys, counts, at = keys[~mine], counts[~mine], (at[~mine] + 1) & mask
+
+
 class Node:
-    """A hash container of packed windows, or, once it has burst, its children by the next word."""
+    """A container, or, once that has burst, ``SPREAD`` nodes for parts of the first words, and below these for parts of the second words."""
 
-    __slots__ = ("children", "table", "depth")
+    __slots__ = ("children", "container", "depth")
 
-    def __init__(self, depth: int, table: dict[int, int] | None = None):
-        self.depth, self.table, self.children = depth, table or {}, None
+    def __init__(self, depth: int = 0):
+        self.depth, self.container, self.children = depth, Container(), None
 
-    def put(self, keys: list[int], counts: list[int], burst: int) -> int:
-        """Add sorted windows; how many entries are new."""
+    def put(self, keys: np.ndarray, counts: np.ndarray, burst: int) -> None:
         if self.children is None:
-            table, before = self.table, len(self.table)
-            get = table.get
-            for key, n in zip(keys, counts, strict=True):
-                table[key] = get(key, 0) + n
-            new = len(table) - before
-            if len(table) > burst and self.depth < 2:
-                self._burst()
-            return new
-        shift, new, begin = _SHIFT * (2 - self.depth), 0, 0
-        while begin < len(keys):
-            word = keys[begin] >> shift
-            end = bisect_left(keys, (word + 1) << shift, begin)
-            if word not in self.children:
-                self.children[word] = Node(self.depth + 1)
-            new += self.children[word].put(keys[begin:end], counts[begin:end], burst)
-            begin = end
-        return new
-
-    def _burst(self) -> None:
-        shift, parts = _SHIFT * (2 - self.depth), defaultdict(dict)
-        for key, n in self.table.items():
-            parts[key >> shift][key] = n
-        self.children, self.table = {w: Node(self.depth + 1, t) for w, t in parts.items()}, {}
-
-    def tables(self) -> Iterator[dict[int, int]]:
-        if self.children is None:
-            yield self.table
+            self.container.add(keys, counts)
+            if self.container.size > burst and self.depth < 2:
+                held, n = self.entries()
+                self.children, self.container = [Node(self.depth + 1) for _ in range(SPREAD)], None
+                self._deal(held, n, burst)
         else:
-            for child in self.children.values():
-                yield from child.tables()
+            self._deal(keys, counts, burst)
+
+    def _deal(self, keys: np.ndarray, counts: np.ndarray, burst: int) -> None:
+        part = (keys >> _SHIFT * (2 - self.depth)) % SPREAD
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(SPREAD + 1))
+        for child, begin, end in zip(self.children, cuts, cuts[1:]):
+            if end > begin:
+                child.put(keys[order[begin:end]], counts[order[begin:end]], burst)
+
+    def __len__(self) -> int:
+        return self.container.size if self.children is None else sum(map(len, self.children))
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """All windows below, and their counts."""
+        if self.children is None:
+            at = np.flatnonzero(self.container.keys)
+            return self.container.keys[at], self.container.counts[at]
+        return tuple(np.concatenate(x) for x in zip(*(c.entries() for c in self.children), strict=True))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -184,41 +208,44 @@ class HatTrie:
         begins = _changes(prefix)
         for begin, end in zip(begins, [*begins[1:], len(keys)], strict=True):
             root = (lang, int(prefix[begin]))
-            node = self.roots.get(root) or self.roots.setdefault(root, Node(0))
-            new = node.put(keys[begin:end].tolist(), counts[begin:end].tolist(), self.burst)
-            self.sizes[root] = self.sizes.get(root, 0) + new
-            self.held += new
+            if root not in self.roots:
+                self.roots[root] = Node()
+            before = self.sizes.get(root, 0)
+            self.roots[root].put(keys[begin:end], counts[begin:end], self.burst)
+            self.sizes[root] = len(self.roots[root])
+            self.held += self.sizes[root] - before
         if self.held > self.entries:
             yield from self.spill(self.entries // 2)
 
     def spill(self, leave: int) -> Iterator[tuple]:
         """Runs of whole subtrees, the largest first, until at most ``leave`` entries are left; with 0 the words are forgotten too."""
         words = list(self.ids)
+        by_word = sorted(range(len(words)), key=words.__getitem__)
+        rank = np.empty(len(words), np.int64)
+        rank[by_word] = np.arange(len(words))
+        ordered = [words[i] for i in by_word]
         for root in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.held <= leave:
                 break
             self.held -= self.sizes.pop(root)
-            yield (*root, *self._run(self.roots.pop(root), words))
+            yield (*root, *self._run(self.roots.pop(root), rank, ordered))
         if not leave:
             self._reset()
 
-    def _run(self, node: Node, words: list[bytes]) -> tuple:
+    def _run(self, node: Node, rank: np.ndarray, ordered: list[bytes]) -> tuple:
         """A subtree as a sorted run: its words, and for each level the nodes with the number of their children."""
-        size = sum(map(len, node.tables()))
-        keys = np.fromiter((k for t in node.tables() for k in t), np.int64, size)
-        counts = np.fromiter((n for t in node.tables() for n in t.values()), np.int64, size)
-        columns = np.stack([keys >> 2 * _SHIFT, (keys >> _SHIFT) & _LOW, keys & _LOW])
-        used, local = np.unique(columns, return_inverse=True)
-        spelled = [words[i] for i in used]
-        by_word = sorted(range(len(spelled)), key=spelled.__getitem__)
-        rank = np.empty(len(used), np.int64)
-        rank[by_word] = np.arange(len(used))
-        first, second, third = rank[local.reshape(3, -1)]
-        order = np.lexsort((third, second, first))
+        keys, counts = node.entries()
+        first, second, third = rank[keys >> 2 * _SHIFT], rank[(keys >> _SHIFT) & _LOW], rank[keys & _LOW]
+        order = np.argsort((first << 2 * _SHIFT) | (second << _SHIFT) | third)
         first, second, third, counts = first[order], second[order], third[order], counts[order]
+        present = np.zeros(len(ordered), bool)
+        for column in (first, second, third):
+            present[column] = True
+        used = np.flatnonzero(present)
+        local = np.cumsum(present) - 1
         ones, twos = _changes(first), _changes(first, second)
-        seconds, thirds = np.diff(np.append(np.searchsorted(twos, ones), len(twos))), np.diff(np.append(twos, size))
-        return (b" ".join(spelled[i] for i in by_word), *map(_pack, (first[ones], second[twos], third, seconds, thirds, counts)))
+        seconds, thirds = np.diff(np.append(np.searchsorted(twos, ones), len(twos))), np.diff(np.append(twos, len(keys)))
+        return (b" ".join([ordered[i] for i in used.tolist()]), *map(_pack, (local[first[ones]], local[second[twos]], local[third], seconds, thirds, counts)))
 
 
 class Merge:
