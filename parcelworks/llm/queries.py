@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import language, licenses, lm, merkle, neardup, packing, phrases, pieces, pii, quality, topk, urls
+from parcelworks.llm import flatgraph, language, licenses, lm, merkle, neardup, packing, phrases, pieces, pii, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.query,
@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": language.query,
     "op11_merkle_manifest": merkle.query,
     "op12_phrase_mining": phrases.query,
+    "op13_embedding_neardup": flatgraph.query,
 }
-ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL, "op11_merkle_manifest": merkle.SQL, "op12_phrase_mining": phrases.SQL}
+ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL, "op11_merkle_manifest": merkle.SQL, "op12_phrase_mining": phrases.SQL, "op13_embedding_neardup": flatgraph.SQL}
