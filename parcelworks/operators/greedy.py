@@ -248,20 +248,22 @@ def group_proposals(
 
 # ---- matching for object scores ------------------------------------------------------
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
-    """Predictions in score order take their best free truth: ``candidates`` (image, pred, truth, iou, rank).
+def greedy_match(candidates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Predictions in score order take their best free truth: ``candidates`` (keys, pred, truth, iou, rank).
 
-    A prediction is settled when it is the highest open one for the truth it prefers.
+    A prediction is settled when it is the highest open one for the truth it prefers. All ``keys`` (such as IoU thresholds) go
+    through the same rounds.
     """
+    pred, truth = [*keys, "pred"], [*keys, "truth"]
     open_, matched = materialize(candidates, "match"), []
     while not _is_empty(open_):
-        wish = open_.groupBy("pred").agg(F.max_by("truth", F.struct("iou", -F.col("truth"))).alias("truth"))
-        owner = open_.groupBy("truth").agg(F.max_by("pred", "rank").alias("pred"))
-        settled = materialize(wish.join(owner, ["pred", "truth"]), "settled")
-        matched.append(settled)
-        left = open_.join(settled.select("pred"), "pred", "left_anti").join(settled.select("truth"), "truth", "left_anti")
+        wish = open_.groupBy(*pred).agg(F.max_by("truth", F.struct("iou", -F.col("truth"))).alias("truth"))
+        owner = open_.groupBy(*truth).agg(F.max_by("pred", "rank").alias("pred"))
+        settled = materialize(wish.join(owner, [*keys, "pred", "truth"]), "settled")
+        matched.append(settled.select(*keys, "pred", "truth"))
+        left = open_.join(settled.select(*pred), pred, "left_anti").join(settled.select(*truth), truth, "left_anti")
         open_ = materialize(left, "match")
-    result = matched[0] if matched else candidates.select("pred", "truth").limit(0)
+    result = matched[0] if matched else candidates.select(*keys, "pred", "truth").limit(0)
     for part in matched[1:]:
         result = result.unionByName(part)
     return result
@@ -291,3 +293,31 @@ def object_metrics(pairs: DataFrame, preds: DataFrame, truths: DataFrame, thresh
         F.lit(threshold).alias("threshold"), "n_pred", "n_truth", "tp", precision.alias("precision"), recall.alias("recall"),
         (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-8))).alias("f1"), (F.col("area") / one("n_truth")).alias("average_precision"),
     )
+
+
+def object_metrics_range(pairs: DataFrame, preds: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Precision, recall, F1 and average precision at each IoU threshold, and the mean of the average precisions.
+
+    Precision counts with its envelope: at every hit the best precision of this or a lower score. Hits are ranked by threshold in
+    cells of the score order, and the envelope runs over the same cells from the other end.
+    """
+    from parcelworks.operators.ordering import rank_by_range, rank_within, running_before
+
+    rank = F.struct("score", (-F.col("pred")).alias("k"))
+    levels = F.filter(F.array(*map(F.lit, thresholds)), lambda v: v <= F.col("iou"))
+    scored = pairs.join(preds, "pred").select("pred", "truth", "iou", rank.alias("rank"), F.explode(levels).alias("threshold"))
+    hits = greedy_match(scored, ("threshold",)).select("threshold", "pred")
+    ranked = rank_by_range(preds, [F.col("score").desc(), F.col("pred")]).select("pred", (F.col("rank0") + 1).alias("position"))
+    nth = materialize(rank_within(hits.join(ranked, "pred"), "threshold", "position").select("threshold", "position", (-F.col("position")).alias("back"), ((F.col("rank0") + 1) / F.col("position")).alias("precision_at")), "hits")
+    enveloped = running_before(nth, "threshold", "back", {"later": ("max", F.col("precision_at"))})
+    best = F.greatest("precision_at", F.coalesce("later", F.lit(0.0)))
+    sums = enveloped.groupBy("threshold").agg(F.count("*").alias("tp"), F.sum(best).alias("area")).withColumnRenamed("threshold", "_t")
+    every = preds.agg(F.count("*").alias("n_pred")).join(truths.agg(F.count("*").alias("n_truth"))).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))  # two one-row tables
+    full = every.join(sums, F.col("threshold") == F.col("_t"), "left").withColumns({"tp": F.coalesce("tp", F.lit(0)), "area": F.coalesce("area", F.lit(0.0))})
+    one = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
+    precision, recall = F.col("tp") / one("n_pred"), F.col("tp") / one("n_truth")
+    ap = F.col("area") / one("n_truth")
+    return full.select(
+        "threshold", "n_pred", "n_truth", "tp", precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-8))).alias("f1"),
+        ap.alias("average_precision"), F.avg(ap).over(W.partitionBy()).alias("mean_average_precision"),
+    )

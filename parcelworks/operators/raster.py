@@ -227,3 +227,43 @@ def tile_map(tiles: DataFrame, func, schema: str) -> DataFrame:
             yield func(batch)
 
     return tiles.mapInPandas(run, schema)
+
+
+def halo_map(lines: DataFrame, func, values: str = "cls", sample: int = 512, bound: int = 128, nodata: float | None = None, nodata_share: float = 1.0, out: str = "int") -> DataFrame:
+    """Apply ``func(block)`` to every block of ``sample`` pixels with ``bound`` more on each side; its centre is written back as scanlines.
+
+    ``lines``: image_id, y, width, height and the row's values (numbers, or arrays of bands). A scanline sends each block the piece that the
+    block or its border needs, so a group is one padded block whatever the raster's size. Beyond the raster a block holds ``nodata`` or 0; a
+    block of at least ``nodata_share`` nodata (border included) is not computed and written as 0. ``func`` gets (rows, columns[, bands])
+    and returns one value per pixel.
+    """
+    import numpy as np
+    import pandas as pd
+
+    side = sample + 2 * bound
+    fill = 0 if nodata is None else nodata
+    last = lambda size: F.floor((F.col(size) - 1) / sample)
+    rows = F.sequence(F.greatest(F.floor((F.col("y") - bound) / sample), F.lit(0)), F.least(F.floor((F.col("y") + bound) / sample), last("height")))
+    sent = lines.select("image_id", "y", "width", "height", values, F.explode(rows).alias("by"))
+    begin = lambda b: F.greatest(b * sample - bound, F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last("width")), lambda b: F.struct(b.alias("bx"), begin(b).cast("int").alias("x0"), F.slice(values, (begin(b) + 1).cast("int"), (b * sample + sample + bound - begin(b)).cast("int")).alias("piece")))
+    dealt = sent.select("image_id", "y", "width", "height", "by", F.inline(pieces))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image, width, height, by, bx = (pdf[c].iloc[0] for c in ("image_id", "width", "height", "by", "bx"))
+        first = np.array(pdf["piece"].iloc[0].tolist())
+        block = np.full((side, side, *first.shape[1:]), fill, first.dtype)
+        left = int(pdf["x0"].iloc[0]) - (bx * sample - bound)
+        for y, piece in zip(pdf["y"], pdf["piece"], strict=True):
+            block[y - (by * sample - bound), left : left + len(piece)] = np.array(piece.tolist())
+        core_h, core_w = min(sample, height - by * sample), min(sample, width - bx * sample)
+        if nodata is not None and (block == nodata).mean() >= nodata_share:
+            centre = np.zeros((core_h, core_w))
+        else:
+            centre = np.asarray(func(block))[bound : bound + core_h, bound : bound + core_w]
+        return pd.DataFrame({"image_id": image, "y": by * sample + np.arange(core_h), "bx": bx, "part": list(centre)})
+
+    kind = dict(lines.dtypes)["image_id"]
+    done = dealt.groupBy("image_id", "by", "bx").applyInPandas(run, f"image_id {kind}, y int, bx bigint, part array<{out}>")
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("bx", "part"))), lambda s: s["part"]))
+    return done.groupBy("image_id", "y").agg(whole.alias(values))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelworks.functions import bbox as B
+from parcelworks.functions import bbox as B, ring as R
 from parcelworks.functions.bbox import Box
 from parcelworks.functions.numbers import r6
-from parcelworks.operators import components as C, greedy as G, masks as M
+from parcelworks.operators import components as C, crowns as CR, greedy as G, masks as M, shape as S
 from parcelworks.operators.detections import bbox_iou_join, prompt_sized
 from parcelworks.plans.registry import query
+from parcelworks.session import materialize
 
 BOX = Box.of()
 
@@ -48,11 +49,40 @@ def _(t):
     return suppress_masks(t, t.instance_runs, (F.col("iou") >= 0.60) | (F.col("smaller_coverage") >= 0.80))
 
 
+TILE = 64
+#: The pieces of the masks cut at tile borders, their contacts on both sides of each seam, and the crowns that chains of contacts make.
+STITCHED = """cut AS (SELECT image_id, mask_id * 64 + (y // 64) * 8 + tx AS piece, y // 64 AS ty, tx, score, y, greatest(x_start, tx * 64) AS xs, least(x_end, tx * 64 + 63) AS xe FROM (SELECT *, unnest(range(x_start // 64, x_end // 64 + 1)) AS tx FROM instance_runs)),
+contacts AS (SELECT image_id, 'x' AS kind, tx + 1 AS sx, ty AS sy, 0 AS side, piece, y AS lo, y AS hi FROM cut WHERE xe = tx * 64 + 63 UNION ALL SELECT image_id, 'x', tx, ty, 1, piece, y, y FROM cut WHERE xs = tx * 64
+  UNION ALL SELECT image_id, 'y', tx, ty + 1, 0, piece, xs, xe FROM cut WHERE y % 64 = 63 UNION ALL SELECT image_id, 'y', tx, ty, 1, piece, xs, xe FROM cut WHERE y % 64 = 0),
+lengths AS (SELECT image_id, kind, sx, sy, side, piece, SUM(hi - lo + 1) AS n FROM contacts GROUP BY ALL),
+shared AS (SELECT a.image_id, a.kind, a.sx, a.sy, a.piece AS u, b.piece AS v, SUM(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1) AS common FROM contacts a JOIN contacts b
+  ON a.image_id = b.image_id AND a.kind = b.kind AND a.sx = b.sx AND a.sy = b.sy AND a.side = 0 AND b.side = 1 AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL),
+links AS (SELECT DISTINCT s.u, s.v FROM shared s JOIN lengths a ON a.image_id = s.image_id AND a.kind = s.kind AND a.sx = s.sx AND a.sy = s.sy AND a.side = 0 AND a.piece = s.u
+  JOIN lengths b ON b.image_id = s.image_id AND b.kind = s.kind AND b.sx = s.sx AND b.sy = s.sy AND b.side = 1 AND b.piece = s.v WHERE s.common / CAST(a.n + b.n - s.common AS DOUBLE) >= 0.5),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links), reached AS (SELECT DISTINCT piece AS a, piece AS b FROM cut UNION SELECT r.a, w.v FROM reached r JOIN ways w ON r.b = w.u),
+crowns AS (SELECT a AS piece, MIN(b) AS crown FROM reached GROUP BY a)"""
+
+
+def crowns(t):
+    """Crowns stitched from the masks of tiles of 64 pixels, numbered by their first piece in tile order."""
+    pieces = CR.cut_at_tiles(t.instance_runs, TILE).withColumn("mask_id", F.col("mask_id") * 64 + F.col("tile_y") * 8 + F.col("tile_x"))
+    whole = materialize(CR.stitch(pieces, TILE), "crowns")
+    return whole.withColumn("mask_id", F.col("crown.mask_id"))
+
+
+@query("crown_stitch", f"""WITH RECURSIVE {STITCHED}
+SELECT image_id, min({{'tx': piece % 8, 'ty': (piece // 8) % 8, 'piece': piece}}).piece AS least_piece, COUNT(DISTINCT piece) AS pieces, MAX(score) AS score, CAST(COUNT(DISTINCT (y, x)) AS BIGINT) AS area FROM (SELECT image_id, c.piece, k.crown, score, y, unnest(range(xs, xe + 1)) AS x FROM cut c JOIN crowns k ON k.piece = c.piece) GROUP BY image_id, crown""", "instance_runs")
+def _(t):
+    """Area, pieces and score of every crown after stitching."""
+    named = crowns(t).groupBy("image_id", "crown").agg(F.first("mask_id").alias("least_piece"), F.first("pieces").alias("pieces"), F.first("score").alias("score"), F.sum(M.length()).cast("bigint").alias("area"))
+    return named.drop("crown")
+
+
 @query("crown_clean")
 def _(t):
-    """Stitched crowns: enough confidence, overlaps at IoU >= 0.6 keep the surer one."""
-    sure = t.instance_runs.filter(F.col("score") >= 0.5)
-    return suppress_masks(t, sure, F.col("iou") >= 0.6)
+    """From tile-local masks to a crown map: stitched at the seams, enough confidence, overlaps at IoU >= 0.6 keep the surer one, outlines simplified by 0.3."""
+    rings = CR.outlines(CR.clean(crowns(t)))
+    return rings.groupBy("image_id", "mask_id").agg(F.count("*").alias("rings"), F.sum(F.size("ring")).alias("points"), r6(F.sum(R.area(F.col("ring")))).alias("area"))
 
 
 def cascade(t):
@@ -101,19 +131,47 @@ def _(t):
     return grouped.select("image_id", "first_key", "members", BOX.area.alias("area")).orderBy(F.col("area").desc(), F.col("members").desc(), "image_id", "first_key")
 
 
-@query("object_metrics")
-def _(t):
-    """Class 0 boxes are the predictions, the others the truth."""
+def predictions(t):
+    """Class 0 boxes are the predictions, the others the truth: (pairs, preds, truths)."""
     pairs = bbox_iou_join(t.detections, ["image_id"], "det_id", 0.5)
     side = lambda name: t.detections.select(F.col("det_id").alias(f"id_{name}"), (F.col("class_id") == 0).alias(f"_{name}"))
     crossed = pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(F.col("_a") != F.col("_b"))
     pick = lambda first: F.when(F.col("_a") == first, F.col("id_a")).otherwise(F.col("id_b"))
     crossed = crossed.select(pick(True).alias("pred"), pick(False).alias("truth"), "iou")
     preds = t.detections.filter("class_id = 0").select(F.col("det_id").alias("pred"), "score")
-    truths = t.detections.filter("class_id <> 0").select(F.col("det_id").alias("truth"))
-    return G.object_metrics(crossed, preds, truths, 0.5).select(
-        "threshold", "n_pred", "n_truth", "tp", *(r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "average_precision"))
-    )
+    return crossed, preds, t.detections.filter("class_id <> 0").select(F.col("det_id").alias("truth"))
+
+
+#: Greedy matching one prediction after the other in each image, for every threshold; ``taken`` are the truths already matched.
+MATCHED = """levels AS (SELECT unnest(range(10, 20)) / 20.0::DOUBLE AS threshold), sized AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM detections),
+pairs AS (SELECT p.image_id, p.det_id AS pred, p.score, q.det_id AS truth, (least(p.x2, q.x2) - greatest(p.x1, q.x1)) * (least(p.y2, q.y2) - greatest(p.y1, q.y1)) AS common, p.area AS pa, q.area AS qa
+  FROM sized p JOIN sized q ON p.image_id = q.image_id AND p.class_id = 0 AND q.class_id <> 0 AND p.x1 < q.x2 AND q.x1 < p.x2 AND p.y1 < q.y2 AND q.y1 < p.y2),
+options AS (SELECT threshold, image_id, pred, any_value(score) AS score, list(truth ORDER BY common / (pa + qa - common) DESC, truth) AS truths FROM pairs JOIN levels ON common / (pa + qa - common) >= threshold GROUP BY threshold, image_id, pred),
+turns AS (SELECT *, row_number() OVER (PARTITION BY threshold, image_id ORDER BY score DESC, pred) AS turn FROM options),
+walk AS (SELECT threshold, image_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS pred, CAST(NULL AS BIGINT) AS truth, CAST([] AS BIGINT[]) AS taken FROM turns WHERE turn = 1
+  UNION ALL SELECT o.threshold, o.image_id, o.turn, o.pred, list_filter(o.truths, lambda x: NOT list_contains(w.taken, x))[1], list_append(w.taken, coalesce(list_filter(o.truths, lambda x: NOT list_contains(w.taken, x))[1], -1))
+  FROM walk w JOIN turns o ON o.threshold = w.threshold AND o.image_id = w.image_id AND o.turn = w.turn + 1),
+matched AS (SELECT threshold, pred FROM walk WHERE truth IS NOT NULL),
+places AS (SELECT det_id AS pred, row_number() OVER (ORDER BY score DESC, det_id) AS position FROM detections WHERE class_id = 0),
+hits AS (SELECT threshold, position, row_number() OVER (PARTITION BY threshold ORDER BY position) / CAST(position AS DOUBLE) AS precision_at FROM matched JOIN places USING (pred)),
+enveloped AS (SELECT threshold, precision_at, MAX(precision_at) OVER (PARTITION BY threshold ORDER BY position DESC) AS best FROM hits),
+counts AS (SELECT COUNT(*) FILTER (WHERE class_id = 0) AS n_pred, COUNT(*) FILTER (WHERE class_id <> 0) AS n_truth FROM detections)"""
+SCORES = """round_even(CAST(tp AS DOUBLE) / greatest(n_pred, 1), 6) + 0.0 AS precision, round_even(CAST(tp AS DOUBLE) / greatest(n_truth, 1), 6) + 0.0 AS recall,
+  round_even(2.0 * (CAST(tp AS DOUBLE) / greatest(n_pred, 1)) * (CAST(tp AS DOUBLE) / greatest(n_truth, 1)) / greatest(CAST(tp AS DOUBLE) / greatest(n_pred, 1) + CAST(tp AS DOUBLE) / greatest(n_truth, 1), 1e-8), 6) + 0.0 AS f1, round_even(area / greatest(n_truth, 1), 6) + 0.0 AS average_precision"""
+
+
+@query("object_metrics", f"""WITH RECURSIVE {MATCHED}, sums AS (SELECT COUNT(*) AS tp, coalesce(SUM(precision_at), 0.0) AS area FROM enveloped WHERE threshold = 0.5)
+SELECT CAST(0.5 AS DOUBLE) AS threshold, n_pred, n_truth, tp, {SCORES} FROM counts, sums""", "detections")
+def _(t):
+    return G.object_metrics(*predictions(t), 0.5).select("threshold", "n_pred", "n_truth", "tp", *(r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "average_precision")))
+
+
+@query("object_metrics_range", f"""WITH RECURSIVE {MATCHED}, sums AS (SELECT l.threshold, COUNT(e.best) AS tp, coalesce(SUM(e.best), 0.0) AS area FROM levels l LEFT JOIN enveloped e ON e.threshold = l.threshold GROUP BY l.threshold)
+SELECT threshold, n_pred, n_truth, tp, {SCORES}, round_even(AVG(area / greatest(n_truth, 1)) OVER (), 6) + 0.0 AS mean_average_precision FROM counts, sums""", "detections")
+def _(t):
+    """Ten IoU thresholds from 0.5 to 0.95, and the mean of their average precisions."""
+    found = G.object_metrics_range(*predictions(t), [k / 20 for k in range(10, 20)])
+    return found.select("threshold", "n_pred", "n_truth", "tp", *(r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "average_precision", "mean_average_precision")))
 
 
 # ---- connected regions --------------------------------------------------------------
@@ -162,11 +220,69 @@ def _(t):
     return props.select("image_id", "region", "area", *((F.bround(F.col(c), 5) + 0.0).alias(c) for c in measured))
 
 
+def field_cells(t):
+    """Field interiors by the cell that holds them; the boundary lines part the cells."""
+    runs = t.mask_runs.filter("cls = 1")
+    return runs.select("image_id", (F.floor(F.col("y") / 10) * 1000 + F.floor(F.col("x_start") / 12)).alias("region"), "y", "x_start", "x_end")
+
+
+#: Pixels of the cells, their row extremes, and the ends of their convex hull in each row: hull lines run between two of the pixels' side midpoints.
+CELL_PIXELS = "cells AS (SELECT image_id, (y // 10) * 1000 + x // 12 AS region, y, x FROM mask_pixels WHERE cls = 1)"
+
+
+@query("region_shape", f"""WITH RECURSIVE {CELL_PIXELS},
+area AS (SELECT image_id, region, COUNT(*) AS area, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2 FROM cells GROUP BY ALL),
+border AS (SELECT c.* FROM cells c WHERE (SELECT COUNT(*) FROM cells n WHERE n.image_id = c.image_id AND n.region = c.region AND abs(n.y - c.y) + abs(n.x - c.x) = 1) < 4),
+sums AS (SELECT a.image_id, a.region, a.y, a.x, SUM(CASE abs(b.y - a.y) + abs(b.x - a.x) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END) AS v FROM border a JOIN border b
+  ON a.image_id = b.image_id AND a.region = b.region AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+outline AS (SELECT image_id, region, SUM(CASE WHEN v IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN v IN (21, 33) THEN sqrt(2) WHEN v IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS perimeter FROM sums GROUP BY ALL),
+box AS (SELECT image_id, region, x1, x2, y1, y2, unnest(range(y1, y2 + 1)) AS y FROM area), grid_cells AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM box),
+ground AS (SELECT g.* FROM grid_cells g ANTI JOIN cells c USING (image_id, region, y, x)),
+out AS (SELECT image_id, region, y, x FROM ground WHERE x IN (x1, x2) OR y IN (y1, y2) UNION
+  SELECT g.image_id, g.region, g.y, g.x FROM out o JOIN ground g ON g.image_id = o.image_id AND g.region = o.region AND abs(g.y - o.y) <= 1 AND abs(g.x - o.x) <= 1),
+inner_ground AS (SELECT image_id, region, COUNT(*) AS n FROM (SELECT image_id, region, y, x FROM ground EXCEPT SELECT * FROM out) GROUP BY ALL),
+ends AS (SELECT image_id, region, y, MIN(x) AS lo, MAX(x) AS hi FROM cells GROUP BY ALL),
+points AS (SELECT image_id, region, CAST(y AS DOUBLE) AS y, lo - 0.5 AS lo, hi + 0.5 AS hi FROM ends UNION ALL SELECT image_id, region, y - 0.5, lo, hi FROM ends UNION ALL SELECT image_id, region, y + 0.5, lo, hi FROM ends),
+lines AS (SELECT b.image_id, b.region, b.y, MIN(CASE WHEN p.y = q.y THEN least(p.lo, q.lo) ELSE p.lo + (q.lo - p.lo) * (b.y - p.y) / (q.y - p.y) END) AS lo, MAX(CASE WHEN p.y = q.y THEN greatest(p.hi, q.hi) ELSE p.hi + (q.hi - p.hi) * (b.y - p.y) / (q.y - p.y) END) AS hi
+  FROM box b JOIN points p ON p.image_id = b.image_id AND p.region = b.region AND p.y <= b.y JOIN points q ON q.image_id = b.image_id AND q.region = b.region AND q.y >= b.y GROUP BY ALL),
+hull AS (SELECT image_id, region, CAST(SUM(floor(hi + 1e-9) - ceil(lo - 1e-9) + 1) AS BIGINT) AS convex_area FROM lines GROUP BY ALL)
+SELECT a.image_id, a.region, a.area, round_even(o.perimeter, 5) + 0.0 AS perimeter, a.area + coalesce(i.n, 0) AS filled_area, h.convex_area, round_even(CAST(a.area AS DOUBLE) / h.convex_area, 5) + 0.0 AS solidity
+FROM area a JOIN outline o USING (image_id, region) JOIN hull h USING (image_id, region) LEFT JOIN inner_ground i ON i.image_id = a.image_id AND i.region = a.region""", "mask_pixels")
+def _(t):
+    """Perimeter, filled area, convex area and solidity of the field interiors."""
+    found = S.region_shape(field_cells(t))
+    return found.select("image_id", "region", "area", (F.bround("perimeter", 5) + 0.0).alias("perimeter"), "filled_area", "convex_area", (F.bround("solidity", 5) + 0.0).alias("solidity"))
+
+
+@query("proposal_candidates", f"""WITH {CELL_PIXELS},
+area AS (SELECT image_id, region, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2, arg_min(y * 16777216 + x, y * 16777216 + x) AS label FROM cells GROUP BY ALL),
+ends AS (SELECT image_id, region, y, MIN(x) AS lo, MAX(x) AS hi FROM cells GROUP BY ALL),
+outline AS (SELECT a.image_id, a.region, SUM((a.hi - a.lo + b.hi - b.lo) / 2.0) AS outline_area FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.region = b.region AND b.y = a.y + 1 GROUP BY ALL),
+points AS (SELECT DISTINCT * FROM (SELECT image_id, region, y, lo AS x FROM ends UNION ALL SELECT image_id, region, y, hi FROM ends)),
+sides AS (SELECT p.image_id, p.region, q.x - p.x AS dx, q.y - p.y AS dy, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS len, MIN((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) AS least,
+  MAX((q.x - p.x) * (r.x) + (q.y - p.y) * r.y) - MIN((q.x - p.x) * (r.x) + (q.y - p.y) * r.y) AS along, MAX((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) AS across
+  FROM points p JOIN points q ON p.image_id = q.image_id AND p.region = q.region AND (p.x <> q.x OR p.y <> q.y) JOIN points r ON p.image_id = r.image_id AND p.region = r.region GROUP BY p.image_id, p.region, p.x, p.y, q.x, q.y),
+rect AS (SELECT image_id, region, MIN(along / len * (across / len)) AS rect_area FROM sides WHERE least >= 0 GROUP BY ALL),
+frame AS (SELECT a.image_id, a.region, COUNT(*) AS frame, SUM(CASE WHEN g.cls = 1 THEN 1 ELSE 0 END) AS hits FROM area a JOIN mask_pixels g ON a.image_id = g.image_id AND g.x BETWEEN a.x1 - 1 AND a.x2 + 1 AND g.y BETWEEN a.y1 - 1 AND a.y2 + 1
+  WHERE NOT (g.x BETWEEN a.x1 + 1 AND a.x2 - 1 AND g.y BETWEEN a.y1 + 1 AND a.y2 - 1) GROUP BY ALL),
+scored AS (SELECT a.image_id, a.label AS region, a.x1, a.y1, a.x2 + 1 AS x2, a.y2 + 1 AS y2, coalesce(o.outline_area, 0.0) AS outline_area, coalesce(r.rect_area, 0.0) AS rect_area,
+  CASE WHEN r.rect_area > 0 THEN coalesce(o.outline_area, 0.0) / r.rect_area ELSE 0.0 END AS rectangularity, CAST(f.hits AS DOUBLE) / f.frame AS edge_density, least(1.0, coalesce(o.outline_area, 0.0) / greatest(1.0, i.width * i.height * 0.01)) AS size
+  FROM area a JOIN frame f USING (image_id, region) JOIN images i ON i.image_id = a.image_id LEFT JOIN outline o ON o.image_id = a.image_id AND o.region = a.region LEFT JOIN rect r ON r.image_id = a.image_id AND r.region = a.region)
+SELECT image_id, CAST(region AS BIGINT) AS region, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2, CAST(outline_area AS DOUBLE) AS outline_area, round_even(rect_area, 5) + 0.0 AS rect_area,
+  round_even(rectangularity, 5) + 0.0 AS rectangularity, round_even(edge_density, 5) + 0.0 AS edge_density, round_even(0.55 * rectangularity + 0.35 * edge_density + 0.10 * size, 8) + 0.0 AS score FROM scored""", "mask_pixels images")
+def _(t):
+    """Boxes of the components of an edge table, here the field interiors, with their scores."""
+    found = S.proposal_candidates(t.mask_runs.filter("cls = 1").select("image_id", "y", "x_start", "x_end"), sizes(t))
+    rounded = [(F.bround(F.col(c), 5) + 0.0).alias(c) for c in ("rect_area", "rectangularity", "edge_density")]
+    return found.select("image_id", "region", "x1", "y1", "x2", "y2", "outline_area", *rounded, (F.bround("score", 8) + 0.0).alias("score"))
+
+
 @query("region_props_join")
 def _(t):
     labelled = C.connected_components(interior(t), 8)
     regions = C.number_regions(C.region_table(labelled))
     intensity = t.rgb_pixels.select("image_id", "y", "x", F.element_at("bands", 1).alias("v"))
     measured = C.region_intensity(labelled, intensity).join(regions.select("image_id", "region", "label"), ["image_id", "region"]).drop("region")
-    props = C.region_props(labelled).join(regions.select("image_id", "region", "label"), ["image_id", "region"]).drop("region", "area", "x1", "y1", "x2", "y2")
+    shape = S.region_shape(labelled).drop("area")
+    props = C.region_props(labelled).join(shape, ["image_id", "region"]).join(regions.select("image_id", "region", "label"), ["image_id", "region"]).drop("region", "area", "x1", "y1", "x2", "y2")
     return C.region_props_join(C.region_props_join(regions, props), measured)
