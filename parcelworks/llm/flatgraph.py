@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelworks.llm.columns import let
 from parcelworks.llm.graph import components
 from parcelworks.llm.topk import usable
 from parcelworks.session import materialize
@@ -42,14 +43,19 @@ BEAM = 16
 AUDIT = 512
 RECALL = 0.95
 PIECE = 1 << 16
+#: Edges that a step of a search looks at together, at most; bounds its memory in a group of many mutual links.
+STEP = 1 << 19
 
 
 def unit(vector: Column) -> Column:
     """The vector with length 1; null if it has no direction."""
-    size = lambda v: F.array_max(F.transform(v, F.abs))
-    scaled = F.when(size(vector) > 0, F.transform(vector, lambda x: x / size(vector)))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(scaled, lambda x: x / norm + F.lit(0.0))
+    largest = F.array_max(F.transform(vector, F.abs))
+
+    def divided(scaled: Column) -> Column:
+        norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.transform(scaled, lambda x: x / n + F.lit(0.0)))
+
+    return let(largest, lambda m: F.when(m > 0, let(F.transform(vector, lambda x: x / m), divided)))
 
 
 def _matrix(vectors: pd.Series, kind: type = np.float64) -> np.ndarray:
@@ -187,6 +193,8 @@ def range_search(v: np.ndarray, begins: np.ndarray, to: np.ndarray, limit: float
         pick |= live & (s >= limit)
         if not pick.any():
             break
+        chosen = np.flatnonzero(pick)
+        pick[chosen[max(1, int(np.searchsorted(np.cumsum(begins[x[chosen] + 1] - begins[x[chosen]]), STEP))) :]] = False  # the others stay open
         live &= ~pick
         hit = pick & (s >= limit)
         found.append((q[hit], x[hit], s[hit]))
@@ -215,12 +223,16 @@ def _search(limit: float, beam: int):
         q, x, s = range_search(v, begins, place[inside], limit, beam)
         out_of, leads = owner[~inside], flat[~inside]
         starts = np.searchsorted(out_of, np.arange(len(ids) + 1))
-        degree = starts[x + 1] - starts[x]
-        at = np.repeat(starts[x] - (np.cumsum(degree) - degree), degree) + np.arange(degree.sum())
-        near = np.arccos(np.clip(leads["cosine"][at], -1, 1)) - np.arccos(np.clip(np.repeat(s, degree), -1, 1)) <= angle + 1e-3
-        a, b = ids[np.repeat(q, degree)[near]], leads["to"][at[near]]
         linked = ids[q] != ids[x]
-        a, b = np.concatenate([ids[q][linked], a]), np.concatenate([ids[x][linked], b])
+        pairs = [(ids[q][linked], ids[x][linked])]
+        degrees = starts[x + 1] - starts[x]
+        cuts = np.flatnonzero(np.diff(np.cumsum(degrees) // STEP)) + 1
+        for mine in np.split(np.arange(len(x)), cuts):
+            degree = degrees[mine]
+            at = np.repeat(starts[x[mine]] - (np.cumsum(degree) - degree), degree) + np.arange(degree.sum())
+            near = np.arccos(np.clip(leads["cosine"][at], -1, 1)) - np.arccos(np.clip(np.repeat(s[mine], degree), -1, 1)) <= angle + 1e-3
+            pairs.append(np.unique(np.stack([np.repeat(ids[q[mine]], degree)[near], leads["to"][at[near]]]), axis=1))
+        a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "found": np.arange(len(a)) < linked.sum()}).drop_duplicates()
 
     return run

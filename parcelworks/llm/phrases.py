@@ -39,7 +39,7 @@ TOP = 2000
 BURST = 1 << 16
 #: Children of a container that has burst.
 SPREAD = 16
-ENTRIES = 1 << 22
+ENTRIES = 1 << 21
 VOCABULARY = 1 << 20
 CHUNK = 1 << 20
 #: Prefix partitions for each shuffle partition.
@@ -70,14 +70,17 @@ class Container:
     __slots__ = ("keys", "counts", "size")
 
     def __init__(self, slots: int = 64):
-        self.keys, self.counts, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int64), 0
+        self.keys, self.counts, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int32), 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add distinct windows; no window is packed as 0."""
-        while 2 * (self.size + len(keys)) > len(self.keys):
+        slots = len(self.keys)
+        while 3 * (self.size + len(keys)) > 2 * slots:
+            slots *= 2
+        if slots > len(self.keys):
             old = np.flatnonzero(self.keys)
             known, n = self.keys[old], self.counts[old]
-            self.__init__(4 * len(self.keys))
+            self.__init__(slots)
             self._probe(known, n)
         self._probe(keys, counts)
 
@@ -89,7 +92,7 @@ class Container:
             self.keys[at[free]] = keys[free]  # of several for one slot one stays
             mine = self.keys[at] == keys
             self.size += int((free & mine).sum())
-            self.counts[at[mine]] += counts[mine]
+            self.counts[at[mine]] += counts[mine].astype(np.int32)
             keys, counts, at = keys[~mine], counts[~mine], (at[~mine] + 1) & mask
 
 
@@ -251,7 +254,7 @@ class HatTrie:
 class Merge:
     """Runs of one prefix partition of a language, summed in steps."""
 
-    def __init__(self, step: int = 1 << 21):
+    def __init__(self, step: int = 1 << 19):
         self.step, self.ids, self.pending, self.many = step, {_MARK: 0}, [], 0
         self.merged = np.zeros((4, 0), np.int64)
 
