@@ -119,6 +119,20 @@ def stretch_2_98(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.join(limits.hint("merge"), keys).withColumn("level", F.floor(level).cast("int")).drop("low", "high")
 
 
+def stretch_rows(rows: DataFrame, key: str = "image_id", bands: str = "bands") -> DataFrame:
+    """Percentile stretch of every band of whole scanlines: the limits meet a scanline once and are applied inside it.
+
+    ``rows``: key, y and an array of pixels, each an array of bands; the result has ``levels`` (0..255) in their place.
+    """
+    pixels = rows.select(key, F.explode(bands).alias("_p")).select(key, F.posexplode("_p").alias("band", "v"))
+    limits = exact_quantiles(pixels, [key, "band"], F.col("v"), {"low": 0.02, "high": 0.98})
+    span = F.when(F.col("high") <= F.col("low"), F.lit(1.0)).otherwise(F.col("high") - F.col("low"))
+    folded = limits.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("band", "low", span.alias("span")))).alias("_l"))
+    level = lambda v, s: F.floor(clamp((v.cast("double") - s["low"]) / s["span"] * 255.0, 0.0, 255.0)).cast("int")
+    levels = F.transform(bands, lambda p: F.zip_with(p, "_l", level))
+    return rows.join(folded, F.col(key) == F.col("_k")).withColumn("levels", levels).drop("_k", "_l", bands)
+
+
 def minmax_uint8(values: DataFrame, keys: list[str]) -> DataFrame:
     """Min-max to 0..255 per array; not-a-number and infinite values count as 0, constants become 0."""
     usable = F.when(F.isnan("v") | (F.abs("v") == F.lit(float("inf"))), 0.0).otherwise(F.col("v"))

@@ -21,22 +21,54 @@ def attribute_filter(features: DataFrame, attribute: Column, values: list, ring:
 
 # ---- spatial join -------------------------------------------------------------------
 
-def ring_box_join(features: DataFrame, boxes: DataFrame, cell: float, feature_key: str = "feature_id") -> DataFrame:
+def _at_levels(df: DataFrame, sides: tuple[str, str, str, str], cell: float, top: int, prefix: str) -> DataFrame:
+    """One row per level from the box's own one up to ``top`` and per cell that the box meets there: four at most.
+
+    At its own level a cell is at least as large as the box.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in sides)
+    own = _level(sides, cell)
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    leveled = df.withColumn(f"{prefix}_own", own).withColumn("_level", F.explode(F.sequence(own, F.lit(top))))
+    span = lambda low, high: F.sequence(F.floor(low / side), F.floor(high / side))
+    return leveled.withColumn("_cx", F.explode(span(x1, x2))).withColumn("_cy", F.explode(span(y1, y2)))
+
+
+def _level(sides: tuple[str, str, str, str], cell: float) -> Column:
+    x1, y1, x2, y2 = (F.col(c) for c in sides)
+    size = F.greatest(x2 - x1, y2 - y1, F.lit(float(cell)))
+    return F.least(F.ceil(F.log2(size / cell)), F.lit(62)).cast("int")
+
+
+def ring_box_join(features: DataFrame, boxes: DataFrame, cell: float, feature_key: str = "feature_id", spread: int = 8) -> DataFrame:
     """Polygons that meet boxes (box_id, x1, y1, x2, y2), each pair once.
 
-    Both sides are cut into square cells of ``cell`` units (choose about the box size), so
-    the join is an equi-join and a crowded image is split by place. Bounds are tested
-    before the exact ring test; the pair is reported from the cell of its lower corner.
+    Cells come in levels, each twice as large as the one below, from ``cell`` units up. A ring and a box meet at the level of the larger of
+    the two, so either has at most four cells in a level, whatever its size; the pair is reported from the cell of its lower corner. Only keys
+    and bounds go through that join; a pair whose ring lies inside the box needs no exact test, the others fetch the ring for it by ``feature_key``, which is unique. The rings of
+    a cell are dealt to ``spread`` parts, so a crowded cell is not one group.
     """
-    bounded = features.filter(F.col("ring").isNotNull()).select("*", *(c.alias(f"_{n}") for n, c in R.bounds(F.col("ring")).items()))
-    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    fine = bounded.withColumn("_cx", F.explode(span("_xmin", "_xmax"))).withColumn("_cy", F.explode(span("_ymin", "_ymax")))
-    tiles = boxes.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
-    joined = fine.join(tiles.hint("merge"), ["_cx", "_cy"])  # both sides are generated: their size is unknown to the planner
+    usable = features.filter(F.col("ring").isNotNull())
+    bounds = ("_xmin", "_ymin", "_xmax", "_ymax")
+    numbered = usable.withColumn("_row", F.col(feature_key))
+    bounded = numbered.select("_row", *(c for c in usable.columns if c != "ring"), *(c.alias(f"_{n}") for n, c in R.bounds(F.col("ring")).items()))
+    box_sides = ("x1", "y1", "x2", "y2")
+    tops = bounded.agg(F.max(_level(bounds, cell)).alias("a")).join(boxes.agg(F.max(_level(box_sides, cell)).alias("b"))).select(F.greatest("a", "b")).first()[0]  # two one-row tables
+    top = tops if tops is not None else 0
+    part = F.pmod(F.xxhash64("_row"), F.lit(spread)).cast("int")
+    mine = _at_levels(bounded.withColumn("_part", part), bounds, cell, top, "_r")
+    theirs = _at_levels(boxes, box_sides, cell, top, "_b").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    joined = mine.join(theirs.hint("merge"), ["_level", "_cx", "_cy", "_part"])  # both sides are generated: their size is unknown to the planner
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
     near = (F.col("_xmin") <= F.col("x2")) & (F.col("_xmax") >= F.col("x1")) & (F.col("_ymin") <= F.col("y2")) & (F.col("_ymax") >= F.col("y1"))
-    once = (F.floor(F.greatest("_xmin", "x1") / cell) == F.col("_cx")) & (F.floor(F.greatest("_ymin", "y1") / cell) == F.col("_cy"))
+    once = (F.col("_level") == F.greatest("_r_own", "_b_own")) & (F.floor(F.greatest("_xmin", "x1") / side) == F.col("_cx")) & (F.floor(F.greatest("_ymin", "y1") / side) == F.col("_cy"))
+    inside = (F.col("_xmin") >= F.col("x1")) & (F.col("_xmax") <= F.col("x2")) & (F.col("_ymin") >= F.col("y1")) & (F.col("_ymax") <= F.col("y2"))
+    found = joined.filter(near & once).withColumn("_in", inside).drop("_level", "_cx", "_cy", "_part", *bounds, "_r_own", "_b_own")
+    rings = numbered.select(F.col("_row").alias("_of"), "ring")
     exact = R.touches_box(F.col("ring"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return joined.filter(near & once & exact).drop("_cx", "_cy", "_xmin", "_xmax", "_ymin", "_ymax")
+    tested = found.filter("NOT _in").join(rings, F.col("_row") == F.col("_of")).filter(exact)
+    names = [c for c in found.columns if c not in ("_row", "_in")]
+    return found.filter("_in").select(*names).unionByName(tested.select(*names))
 
 
 def image_boxes(images: DataFrame) -> DataFrame:
@@ -59,29 +91,30 @@ def overlap_report(images: DataFrame, features: DataFrame, cell: float) -> DataF
 def rasterize_binary(features: DataFrame, keep: list[str], all_touched: bool = False) -> DataFrame:
     """Runs of pixels whose centre lies in the ring (even-odd, half-open crossings).
 
-    ``features``: keep, ring in pixel units, width, height. Each feature opens its own
-    rows; crossings are found and paired inside the row. ``all_touched`` adds the cells
-    the edges pass. Runs of one feature may then overlap (``sweep`` joins them).
+    ``features``: keep, ring in pixel units, width, height. Every edge opens its own rows and gives its crossing in each; the crossings
+    of a ring in a row are then ordered and paired. So the work follows the length of the edges, however many a ring has. ``all_touched``
+    adds the cells the edges pass. Runs of one feature may then overlap (``sweep`` joins them).
     """
-    ring = F.col("ring")
-    limits = R.bounds(ring)
-    low = F.greatest(F.floor(limits["ymin"]), F.lit(0)).cast("int")
-    high = F.least(F.floor(limits["ymax"]), F.col("height") - 1).cast("int")
-    rows = features.select(*keep, "width", R.edges(ring).alias("_edges"), F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y"))
-    centre = F.col("y") + F.lit(0.5)
-    straddling = F.filter("_edges", lambda g: (g["ay"] <= centre) != (g["by"] <= centre))
-    at = F.array_sort(F.transform(straddling, lambda g: g["ax"] + (centre - g["ay"]) * (g["bx"] - g["ax"]) / (g["by"] - g["ay"])))
+    numbered = features.select(*keep, "width", "height", "ring").withColumn("_ring", F.monotonically_increasing_id())
+    edges = numbered.select(*keep, "_ring", "width", "height", F.inline(R.edges(F.col("ring"))))
+    rows = lambda low, high: F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("y")
+    first = F.greatest(F.ceil(F.least("ay", "by") - 0.5), F.lit(0)).cast("int")
+    last = F.least(F.ceil(F.greatest("ay", "by") - 0.5) - 1, F.col("height") - 1).cast("int")
+    at = F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    crossings = edges.select(*keep, "_ring", "width", "ax", "ay", "bx", "by", rows(first, last)).select(*keep, "_ring", "width", "y", at.alias("x"))
+    lines = crossings.groupBy(*keep, "_ring", "width", "y").agg(F.array_sort(F.collect_list("x")).alias("_x"))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_x") / 2) - 1, F.lit(0))), lambda i: F.struct(F.get("_x", i * 2).alias("from"), F.get("_x", i * 2 + 1).alias("to")))
     clip = lambda p: F.struct(
         F.greatest(F.ceil(p["from"] - 0.5), F.lit(0)).cast("int").alias("x_start"), F.least(F.ceil(p["to"] - 0.5) - 1, F.col("width") - 1).cast("int").alias("x_end")
     )
-    inner = F.when(F.size("_x") >= 2, F.transform(pairs, clip)).otherwise(F.array().cast("array<struct<x_start:int,x_end:int>>"))
-    parts = inner
-    if all_touched:
-        reaching = F.filter("_edges", lambda g: (F.least(g["ay"], g["by"]) <= F.col("y") + 1) & (F.greatest(g["ay"], g["by"]) >= F.col("y")))
-        parts = F.concat(inner, F.transform(reaching, lambda g: _edge_cells(g, F.col("y").cast("double"), F.col("y") + 1.0, F.col("width"), 0.0)))
-    with_x = rows.withColumn("_x", at)
-    return with_x.select(*keep, "y", F.inline(parts)).filter("x_start <= x_end")
+    inner = lines.filter(F.size("_x") >= 2).select(*keep, "y", F.inline(F.transform(pairs, clip))).filter("x_start <= x_end")
+    if not all_touched:
+        return inner
+    low, high = F.greatest(F.ceil(F.least("ay", "by")) - 1, F.lit(0)).cast("int"), F.least(F.floor(F.greatest("ay", "by")), F.col("height") - 1).cast("int")
+    sides = ["ax", "ay", "bx", "by"]
+    passed = edges.select(*keep, "width", *sides, rows(low, high))
+    cells = _edge_cells({c: F.col(c) for c in sides}, F.col("y").cast("double"), F.col("y") + 1.0, F.col("width"), 0.0)
+    return inner.unionByName(passed.select(*keep, "y", cells.alias("_s")).select(*keep, "y", "_s.x_start", "_s.x_end").filter("x_start <= x_end"))
 
 
 def _edge_cells(g: Column, low: Column, high: Column, width: Column, margin: float) -> Column:

@@ -142,19 +142,16 @@ def _(t):
     return tiling.patch_ratios(tiling.patch_counts(t.mask_rows, 48, 8)).select("image_id", "x0", "y0", *RATIO_COLUMNS)
 
 
-@query("pixel_grid_join", f"SELECT w.image_id, w.x0, w.y0, COUNT(*) AS members FROM {WINDOWS} w JOIN mask_pixels m ON {IN_WINDOW} WHERE m.cls = 2 GROUP BY ALL", "mask_pixels")
-def _(t):
-    counted = tiling.patch_counts(t.mask_rows, 48, 8).filter(F.col("n_boundary") > 0)
-    return counted.select("image_id", "x0", "y0", F.col("n_boundary").alias("members"))
-
-
-@query("pixel_grid_classes", f"SELECT w.image_id, w.x0, w.y0, m.cls, COUNT(*) AS members FROM {WINDOWS} w JOIN mask_pixels m ON {IN_WINDOW} GROUP BY ALL", "mask_pixels")
-def _(t):
-    """``pixel_grid_join`` for every class, whatever values the masks hold."""
+def pixel_grid(t):
+    """Members of every window by class, whatever values the masks hold."""
     pieces = tiling.window_rows(t.mask_rows, 48, 8).select("image_id", "x0", "y0", F.explode("part").alias("cls"))
     return pieces.groupBy("image_id", "x0", "y0", "cls").agg(F.count("*").alias("members"))
 
 
+for name in ("pixel_grid_join", "pixel_grid_classes"):  # both names stand for all classes
+    query(name, f"SELECT w.image_id, w.x0, w.y0, m.cls, COUNT(*) AS members FROM {WINDOWS} w JOIN mask_pixels m ON {IN_WINDOW} GROUP BY ALL", "mask_pixels")(pixel_grid)
+
+
 INVALID = "(coalesce(nodata = b1 OR nodata = b2 OR nodata = b3, FALSE) OR (b1 <= 0 AND b2 <= 0 AND b3 <= 0))"
 OVERLAID = f"(SELECT m.image_id, m.y, m.x, CASE WHEN {INVALID} THEN 255 ELSE m.cls END AS cls FROM mask_pixels m JOIN rgb_pixels r ON m.image_id = r.image_id AND m.y = r.y AND m.x = r.x)"
 
@@ -309,20 +306,22 @@ def _(t):
     return raster.image_scale(band_values(t).withColumn("v", stretched), "image_id").select("image_id", r6(F.col("p99")).alias("p99"), "scale")
 
 
-@query("stretch_2_98", """SELECT image_id, level, COUNT(*) AS n FROM (SELECT image_id, CAST(floor(least(greatest((b1 - lo) / (CASE WHEN hi <= lo THEN 1.0 ELSE hi - lo END) * 255, 0), 255)) AS INT) AS level
-  FROM rgb_pixels JOIN (SELECT image_id, quantile_cont(CAST(b1 AS DOUBLE), 0.02) AS lo, quantile_cont(CAST(b1 AS DOUBLE), 0.98) AS hi FROM rgb_pixels GROUP BY image_id) USING (image_id)) GROUP BY ALL""", "rgb_pixels")
-def _(t):
-    values = t.rgb_pixels.select("image_id", F.element_at("bands", 1).cast("double").alias("v"))
-    return raster.stretch_2_98(values, ["image_id"]).groupBy("image_id", "level").agg(F.count("*").alias("n"))
+RGB_VALUES = "(" + " UNION ALL ".join(f"SELECT image_id, y, x, {b} AS band, b{b} AS v FROM rgb_pixels" for b in (1, 2, 3)) + ")"
+STRETCHED = f"""SELECT image_id, band, level, COUNT(*) AS n FROM (SELECT image_id, band, CAST(floor(least(greatest((v - lo) / (CASE WHEN hi <= lo THEN 1.0 ELSE hi - lo END) * 255, 0), 255)) AS INT) AS level
+  FROM {RGB_VALUES} JOIN (SELECT image_id, band, quantile_cont(CAST(v AS DOUBLE), 0.02) AS lo, quantile_cont(CAST(v AS DOUBLE), 0.98) AS hi FROM {RGB_VALUES} GROUP BY ALL) USING (image_id, band)) GROUP BY ALL"""
 
 
-RGB_VALUES = "(" + " UNION ALL ".join(f"SELECT image_id, y, x, {b} AS band, b{b} AS v FROM rgb_pixels" for b in (1, 2, 3)) + ")"
+@query("stretch_2_98", STRETCHED, "rgb_pixels")
+def _(t):
+    """Every band of every image by its own limits, scanline by scanline."""
+    levels = raster.stretch_rows(t.rgb_rows.select("image_id", "y", "bands"))
+    pixels = levels.select("image_id", F.explode("levels").alias("p")).select("image_id", F.posexplode("p").alias("at", "level"))
+    return pixels.groupBy("image_id", (F.col("at") + 1).alias("band"), "level").agg(F.count("*").alias("n"))
 
 
-@query("stretch_2_98_bands", f"""SELECT image_id, band, level, COUNT(*) AS n FROM (SELECT image_id, band, CAST(floor(least(greatest((v - lo) / (CASE WHEN hi <= lo THEN 1.0 ELSE hi - lo END) * 255, 0), 255)) AS INT) AS level
-  FROM {RGB_VALUES} JOIN (SELECT image_id, band, quantile_cont(CAST(v AS DOUBLE), 0.02) AS lo, quantile_cont(CAST(v AS DOUBLE), 0.98) AS hi FROM {RGB_VALUES} GROUP BY ALL) USING (image_id, band)) GROUP BY ALL""", "rgb_pixels")
+@query("stretch_2_98_bands", STRETCHED, "rgb_pixels")
 def _(t):
-    """``stretch_2_98`` for every band by its own limits."""
+    """The same from a pixel table, for values that do not come as scanlines."""
     values = raster.explode_bands(t.rgb_pixels, ["image_id"])
     return raster.stretch_2_98(values, ["image_id", "band"]).groupBy("image_id", "band", "level").agg(F.count("*").alias("n"))
 
@@ -373,23 +372,17 @@ def _(t):
     return merged.select("image_id", "y", filled.alias("filled"), checksum.alias("checksum"))
 
 
-@query("mosaic", """SELECT gy, gx, max_by(v, image_id) AS v FROM (SELECT image_id, y + (image_id % 5) * 20 AS gy, x + (image_id % 7) * 30 AS gx, b1 AS v FROM rgb_pixels)
-WHERE v <> 0 GROUP BY gy, gx""", "rgb_pixels")
-def _(t):
-    image = F.col("image_id")
-    shifted = t.rgb_pixels.select("image_id", (F.col("y") + (image % 5) * 20).alias("gy"), (F.col("x") + (image % 7) * 30).alias("gx"), F.element_at("bands", 1).alias("v"))
-    return raster.mosaic(shifted, ["gy", "gx"], "v", "image_id", F.lit(0))
-
-
-@query("mosaic_bands", f"""SELECT gy, gx, band, max_by(v, image_id) AS v FROM (SELECT image_id, y + (image_id % 5) * 20 AS gy, x + (image_id % 7) * 30 AS gx, band, v FROM {RGB_VALUES})
-WHERE v <> 0 GROUP BY gy, gx, band""", "rgb_pixels")
-def _(t):
-    """``mosaic`` for every band."""
+def mosaic(t):
     image = F.col("image_id")
     shifted = t.rgb_pixels.select("image_id", (F.col("y") + (image % 5) * 20).alias("gy"), (F.col("x") + (image % 7) * 30).alias("gx"), F.posexplode("bands").alias("at", "v"))
     return raster.mosaic(shifted.withColumn("band", F.col("at") + 1), ["gy", "gx", "band"], "v", "image_id", F.lit(0))
 
 
+for name in ("mosaic", "mosaic_bands"):  # both names stand for all bands
+    query(name, f"""SELECT gy, gx, band, max_by(v, image_id) AS v FROM (SELECT image_id, y + (image_id % 5) * 20 AS gy, x + (image_id % 7) * 30 AS gx, band, v FROM {RGB_VALUES})
+WHERE v <> 0 GROUP BY gy, gx, band""", "rgb_pixels")(mosaic)
+
+
 @query("gaussian_stitch", f"""SELECT image_id, cls, COUNT(*) AS pixels, round_even(SUM(p), 3) + 0.0 AS total FROM (
   SELECT image_id, y, x, CAST(arg_max(c, p * 1000 - c / 1e9) AS INT) AS cls, MAX(p) AS p FROM (
     SELECT image_id, y, x, c, round(SUM(wt * p) / SUM(wt), 9) AS p FROM (
