@@ -248,7 +248,7 @@ def link(docs: DataFrame, classes: DataFrame, percent: int, width: int, doc_id:
 
 
 def group(docs: DataFrame, keep: list[str], percent: int, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Kept columns as struct ``row``, id, n_shingles, ``label`` of the component and component_id, its least id."""
+    """Kept columns as struct ``row``, id, code of the text, n_shingles, ``label`` of the component and component_id, its least id."""
     rows = materialize(sketch(docs, keep, doc_id, text, width), "sketch")
     full = rows.where(F.col("key").isNotNull())
     named = full.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "code")).alias("r"), F.max("n_shingles").alias("n"))
@@ -261,8 +261,8 @@ def group(docs: DataFrame, keep: list[str], percent: int, width: int, doc_id: st
     labelled = classes.join(labels, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("label", "key").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     known = materialize(labelled.join(least, "label").select(F.col("key").alias("k"), "label", "component_id"), "components")
-    out = rows.select("row", "id", "n_shingles", "key").join(known, F.col("key") == F.col("k"), "left")
-    return out.select("row", "id", "n_shingles", "label", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("row", "id", "code", "n_shingles", "key").join(known, F.col("key") == F.col("k"), "left")
+    return out.select("row", "id", "code", "n_shingles", "label", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark, folder: str) -> DataFrame:
@@ -271,9 +271,17 @@ def query(spark, folder: str) -> DataFrame:
     return out.select("row.doc_id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def stage(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """One document of each component, the one with the least id, and every document without words."""
-    out = group(docs, docs.columns, percent, width)
-    first = out.where(F.col("label").isNull() | F.col("id").eqNullSafe(F.col("component_id")))
-    single = F.when(F.col("label").isNull(), F.monotonically_increasing_id())
-    return first.withColumn("single", single).dropDuplicates(["label", "id", "single"]).select("row.*")
+def stage(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, the one with the least id, and every document without words.
+
+    Only ids and codes of texts are grouped; the rows with their texts are met by one join with the documents to leave out, and
+    rows that are there several times with the same id and text are reduced to one.
+    """
+    found = group(docs, [doc_id], percent, width, doc_id, text).where(F.col("label").isNotNull())
+    decided = materialize(found.groupBy("label", "id", "code", "component_id").agg(F.count("*").alias("n")), "decided")
+    first = decided.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("label").alias("f_label")).agg(F.min("code").alias("f_code"))
+    marked = decided.join(first, (F.col("label") == F.col("f_label")) & (F.col("code") == F.col("f_code")) & F.col("id").eqNullSafe(F.col("component_id")), "left")
+    marks = materialize(marked.where(F.col("f_label").isNull() | (F.col("n") > 1)).select(F.col("id").alias("m_id"), F.col("code").alias("m_code"), F.col("f_label").isNotNull().alias("again")), "marks")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("code"))
+    met = rows.join(marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("code") == F.col("m_code")), "left")
+    return met.where(F.col("m_code").isNull()).select("row.*").union(met.where("again").dropDuplicates(["id", "code"]).select("row.*"))
