@@ -30,7 +30,11 @@ from parcelworks.llm.kernel import slices
 from parcelworks.session import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 32768
+CHUNK = 131072
+#: (Word, place) cells of a block that is segmented together; one takes about 34 bytes.
+CELLS = 1 << 19
+#: Words and pieces that a task keeps at most.
+KEPT_WORDS, KEPT_PIECES = 200_000, 4_000_000
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 _ROOT = 0x9E3779B97F4A7C15
@@ -149,8 +153,11 @@ class Pieces:
             ids[k], scores[k] = self.trace(words[k], 0, sizes[k], sizes[k])
         order = np.argsort(-sizes, kind="stable")
         order = order[(sizes[order] <= 256) & (sizes[order] > 0)]
-        for begin in range(0, len(order), 1 << 15):
-            self._step(words, sizes, order[begin : begin + (1 << 15)], ids, scores)
+        begin = 0
+        while begin < len(order):
+            end = begin + max(1, min(1 << 15, CELLS // (int(sizes[order[begin]]) + 1)))
+            self._step(words, sizes, order[begin:end], ids, scores)
+            begin = end
         counts = np.array([0 if x is None else len(x) for x in ids])
         flat = np.concatenate([np.asarray(x, np.int32) for x in ids if x is not None]) if counts.any() else np.zeros(0, np.int32)
         return flat, np.concatenate([[0], np.cumsum(counts)]), scores
@@ -195,34 +202,39 @@ def normalise(text: str | None) -> str:
 
 
 class WordCache:
-    """Segmented words of a task, kept from batch to batch; emptied when it holds ``most`` words."""
+    """Segmented words of a task, kept from batch to batch; emptied when it holds ``KEPT_WORDS`` words or ``KEPT_PIECES`` pieces."""
 
-    def __init__(self, pieces: Pieces, most: int = 1_000_000):
-        self.pieces, self.most, self.known = pieces, most, {}
+    def __init__(self, pieces: Pieces, words: int = KEPT_WORDS, many: int = KEPT_PIECES):
+        self.pieces, self.words, self.many, self.known = pieces, words, many, {}
         self.flat, self.begins, self.scores = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)
 
+    @staticmethod
+    def _append(held: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        """``held`` with ``new`` behind its first ``used`` values; it doubles when it is full."""
+        if used + len(new) > len(held):
+            held = np.concatenate([held[:used], np.zeros(used + len(new), held.dtype)])
+        held[used : used + len(new)] = new
+        return held
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[float]]:
         """Ids and scores of normalised texts."""
-        if len(self.known) > self.most:
-            self.__init__(self.pieces, self.most)
+        if len(self.known) > self.words or self.begins[len(self.known)] > self.many:
+            self.__init__(self.pieces, self.words, self.many)
         known, before = self.known, len(self.known)
-        of = [[known.setdefault(w, len(known)) for w in _WORD.findall(t)] for t in texts]
+        of = [np.array([known.setdefault(w, len(known)) for w in _WORD.findall(t)], np.int64) for t in texts]
         if len(known) > before:
             flat, begins, scores = self.pieces.words(list(islice(known, before, None)))
-            self.flat, self.begins, self.scores = np.concatenate([self.flat, flat]), np.concatenate([self.begins, begins[1:] + len(self.flat)]), np.concatenate([self.scores, scores])
+            used = int(self.begins[before])
+            self.flat = self._append(self.flat, used, flat)
+            self.begins, self.scores = self._append(self.begins, before + 1, begins[1:] + used), self._append(self.scores, before, scores)
         ids, sums = [], []
-        for words in of:
-            w = np.array(words, np.int64)
+        for w in of:
             counts = self.begins[w + 1] - self.begins[w]
             ids.append(self.flat[np.repeat(self.begins[w] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())])
             sums.append(float(self.scores[w].sum()))
         return ids, sums
 
 
-def _encode_whole(pieces: Pieces, texts: list[str]) -> tuple[list[np.ndarray], list[float]]:
-    return WordCache(pieces).encode(texts)
-
-
 def _word_begins(text: str, begin: int, end: int) -> tuple[int, int]:
     """First and last begin of a word in [begin, end), -1 if there is none."""
     match = _WORD_END.search(text, begin, end)
@@ -234,8 +246,9 @@ def _word_begins(text: str, begin: int, end: int) -> tuple[int, int]:
     return match.start(), last
 
 
-def transfer(pieces: Pieces, text: str, size: int, last: bool) -> np.ndarray:
+def transfer(cache: WordCache, text: str, size: int, last: bool) -> np.ndarray:
     """Max-plus matrix (entry state, exit state) of a chunk: its first ``size`` characters, with what follows as far as a piece reaches."""
+    pieces = cache.pieces
     states = pieces.longest
     out = np.full((states, states), _NONE)
     first, final = _word_begins(text, 0, size)
@@ -246,7 +259,7 @@ def transfer(pieces: Pieces, text: str, size: int, last: bool) -> np.ndarray:
     if first < 0:
         return exits(pieces.forward(text, states, 0, size)).T
     head = pieces.forward(text[:first], states, 0, first)[first]
-    middle = sum(_encode_whole(pieces, [text[first:final]])[1]) if final > first else 0.0
+    middle = cache.encode([text[first:final]])[1][0] if final > first else 0.0
     tail = exits(np.concatenate([np.full((final, 1), _NONE), pieces.forward(text[final:], 1, 0, size - final)]))
     return np.maximum(out, head[:, None] + middle + tail[:, 0][None, :])
 
@@ -290,17 +303,24 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, text: str = "tex
     short = rows.where(F.coalesce(F.length("t"), F.lit(0)) < chunk).mapInArrow(whole, f"row {kind}, ids array<int>, score double")
 
     giant = materialize(rows.where(F.length("t") >= chunk).withColumn("key", F.monotonically_increasing_id()), "giants")
-    body = F.concat(F.lit(BLANK), F.translate("t", " ", BLANK))
-    numbers = F.sequence(F.lit(0), F.floor((F.length("t") / chunk)).cast("int"))
-    cut = giant.select("key", body.alias("b"), F.explode(numbers).alias("no")).where(F.col("no") * chunk < F.length("b"))
-    held = F.substring(F.col("b"), F.col("no") * chunk + 1, F.lit(chunk + reach))
-    size = F.least(F.lit(chunk), F.length("b") - F.col("no") * chunk)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = materialize(cut.select("key", "no", held.alias("part"), size.cast("int").alias("size"), ((F.col("no") + 1) * chunk >= F.length("b")).alias("last")).repartition(parts, "key", "no"), "chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every giant text once, from its begin to its end."""
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = normalise(t.as_py())
+                for no, begin in enumerate(range(0, len(body), chunk)):
+                    columns = [[key], [no], [body[begin : begin + chunk + reach]], [min(chunk, len(body) - begin)], [begin + chunk >= len(body)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.bool_()), strict=True)], ["key", "no", "part", "size", "last"])
+
+    pieced = giant.select("key", "t").mapInArrow(cut, "key long, no int, part string, size int, last boolean")
+    chunks = materialize(pieced.repartition(parts, "key", "no"), "chunks")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordCache(shared.value)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "matrix": [transfer(shared.value, r.part, r.size, r.last).tobytes() for r in pdf.itertuples()]})
+            yield pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "matrix": [transfer(cache, r.part, r.size, r.last).tobytes() for r in pdf.itertuples()]})
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
@@ -308,8 +328,9 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, text: str = "tex
         return pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "enter": states[:-1], "leave": states[1:], "score": score})
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordCache(shared.value)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "score": pdf["score"], "ids": [_trace_chunk(shared.value, r.part, r.size, r.enter, r.leave) for r in pdf.itertuples()]})
+            yield pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "score": pdf["score"], "ids": [_trace_chunk(cache, r.part, r.size, r.enter, r.leave) for r in pdf.itertuples()]})
 
     states = chunks.mapInPandas(matrices, "key long, no int, matrix binary").groupBy("key").applyInPandas(scan, "key long, no int, enter int, leave int, score double")
     traced = chunks.join(states, ["key", "no"]).mapInPandas(back, "key long, no int, score double, ids array<int>")
@@ -317,14 +338,15 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, text: str = "tex
     return short.unionByName(giant.select("key", "row").join(joined, "key").select("row", "ids", "score"))
 
 
-def _trace_chunk(pieces: Pieces, text: str, size: int, enter: int, leave: int) -> np.ndarray:
+def _trace_chunk(cache: WordCache, text: str, size: int, enter: int, leave: int) -> np.ndarray:
     """Ids of one chunk between its two boundary states."""
+    pieces = cache.pieces
     end = size + leave
     first, final = _word_begins(text, enter, size)
     if first < 0:
         return np.array(pieces.trace(text, enter, size, end)[0], np.int32)
     head = pieces.trace(text, enter, first, first)[0]
-    middle = _encode_whole(pieces, [text[first:final]])[0][0] if final > first else []
+    middle = cache.encode([text[first:final]])[0][0] if final > first else []
     return np.concatenate([head, middle, pieces.trace(text[final:], 0, size - final, end - final)[0]]).astype(np.int32)
 
 
