@@ -4,21 +4,21 @@ A window of ``WINDOW`` bytes goes through a byte embedding, filters of several w
 Every text is cut into such windows from end to end; its languages' log-odds are the windows' means, weighted by their letters.
 ASCII characters that are no letters count as blanks and A-Z as a-z, so digits and symbols tell nothing.
 
-Training takes a bounded sample of the labelled rows: ``SAMPLE`` windows for each of the ``LANGUAGES`` most frequent languages,
-picked by a hash of the id. It is the only part with a bound. Sums run in a fixed order, so the same rows give the same weights.
+Training takes a bounded sample of the labelled rows: ``SAMPLE`` windows for each language, picked by a hash of the id. It is the only part
+with a bound; every language is learned. Sums run in a fixed order, so the same rows give the same weights.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned; rows are
+Defined cases: a letter is a character of the Unicode category L; a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned; rows are
 judged each, also repeated ones; texts of any length are read whole; an empty table gives no rows; a null id counts as the empty text
 in the fold; other columns pass through inside ``row``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,10 +30,11 @@ WIDTHS = (2, 3, 4)
 FILTERS = 24
 EMBEDDING = 8
 SAMPLE = 1200
-LANGUAGES = 64
 EPOCHS = 6
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Cells of a language in which its sample is picked first, so that no task orders all its rows.
+CELLS = 256
 
 
 def _classes() -> np.ndarray:
@@ -128,21 +129,22 @@ class ByteNetwork:
         return self
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, languages: int = LANGUAGES) -> ByteNetwork | None:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> ByteNetwork | None:
     """Network for the languages of ``labelled``; null if there is no labelled text with a letter.
 
-    A sampled row is one window of ``WINDOW`` characters at a place given by the hash, so at most sample x languages windows reach the driver.
+    A sampled row is one window of ``WINDOW`` characters at a place given by the hash, so at most ``sample`` windows of each language reach the driver.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     code = F.xxhash64(F.col(doc_id).cast("string"), F.substring(F.col(text), 1, 64))
     start = F.pmod(code, F.greatest(F.lit(1), F.length(F.col(text)) - WINDOW + 1)) + 1
     piece = F.substring(F.col(text), start.cast("int"), F.lit(WINDOW))
-    ranked = rows.select(F.col(lang).alias("l"), code.alias("c"), piece.alias("t")).withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("c", "t")))
-    frequent = [r["l"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()]
-    if not frequent:
+    coded = rows.select(F.col(lang).alias("l"), code.alias("c"), piece.alias("t")).withColumn("cell", F.pmod("c", F.lit(CELLS)))
+    least = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("c", "t"))
+    first = coded.withColumn("r", least("l", "cell")).where(F.col("r") <= sample)
+    picked = sorted((r["c"], r["l"], r["t"]) for r in first.withColumn("r", least("l")).where(F.col("r") <= sample).collect())
+    if not picked:
         return None
-    picked = sorted((r["c"], r["l"], r["t"]) for r in ranked.where((F.col("r") <= sample) & F.col("l").isin(frequent)).collect())
-    names = sorted(frequent)
+    names = sorted({lab for _, lab, _ in picked})
     data, offsets = text_bytes(pa.array([t for _, _, t in picked]))
     x, owner = windows(data, offsets)
     return ByteNetwork(names).train(x, np.array([names.index(lab) for _, lab, _ in picked])[owner])
@@ -165,13 +167,14 @@ def _judge(network: ByteNetwork, column: pa.Array) -> tuple[list[str], list[floa
 
 def detect(docs: DataFrame, network: ByteNetwork | None, keep: list[str], text: str = "text") -> DataFrame:
     """Kept columns as struct ``row``, lang_pred, score."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
+    rows = docs.select(F.struct(*keep).alias("row"), *([] if text in keep else [F.col(text).alias("t")]))
     if network is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            texts = batch.column(0).field(text) if text in keep else batch.column(1)  # a text that is kept travels once
+            for part in slices(pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "t"]), "t"):
                 names, scores = _judge(network, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
