@@ -4,11 +4,10 @@ The sketch is a count per logarithmic bin: every value lies within ``ACCURACY``
 adding counts, and the order of the rows does not matter. A group's fences come from its own sketch, or from the merged sketch
 of its language, or of everything, whichever is the first that holds ``MIN_ROWS`` documents. All of it is SQL.
 
-A fence lies ``reach`` times as far from the median as the tenth or the ninetieth percentile does. Where the median is 0, as for
-symbols and repeated lines, the upper fence is at least the tenth percentile of the values above 0, from the first of the three sketches that
-holds ``MIN_NONZERO`` of them. A percentile that lies nearer to the median than the width of one bin, which the sketch cannot tell,
-counts as one bin away, and no fence is nearer than ``ACCURACY``; ``learned_low`` and ``learned_high`` of ``thresholds`` say which fences
-are wider than that and so are the group's own.
+Fences are meant for what is far from a group's own documents, and leave the ordinary ones alone. The upper fence lies in the widest gap of the
+sketch above the bulk: two neighbouring bins whose values differ by a factor of ``GAP`` or more (values below ``FLOOR`` count as it), with a share of
+``TAIL`` to ``MOST`` of the documents above. Where there is no such gap, it is the quantile that leaves ``TAIL`` of them above, one bin's width
+added. The lower fence is the quantile that leaves ``TAIL`` below; measures whose median is 0 have none.
 
 Defined cases: a null or blank text has no words, all measures 0 and fails the base rule; null languages and sources are groups of
 their own; repeated rows are judged each; other columns are never read, so their names cannot clash; an empty table gives no rows.
@@ -27,8 +26,10 @@ from parcelworks.session import materialize
 
 ACCURACY = 0.01
 MIN_ROWS = 200
-MIN_NONZERO = 20
-REACH = 4.0
+TAIL = 0.005
+MOST = 0.12
+GAP = 3.0
+FLOOR = 0.05
 MEASURES = ("symbols", "repeated_lines", "repeated_words", "capitals", "word_length")
 SYMBOLS = "#*$%&|<>"
 _GAMMA = math.log((1 + ACCURACY) / (1 - ACCURACY))
@@ -92,40 +93,34 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """Tail quantiles of each merged sketch, and the tenth percentile of its values above 0; a window holds the bins of one sketch, whose number the accuracy bounds."""
+    """Median, tail quantiles and the begin of the widest gap of each merged sketch; a window holds the bins of one sketch, whose number the accuracy bounds."""
     merged = sketches.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     by = W.partitionBy(*keys, "measure")
-    zeros = F.sum(F.when(F.col("bin") == _ZERO_BIN, F.col("n")).otherwise(0)).over(by)
-    cum = merged.withColumns({"below": F.sum("n").over(by.orderBy("bin")), "rows": F.sum("n").over(by), "zeros": zeros})
     value = F.when(F.col("bin") == _ZERO_BIN, F.lit(0.0)).otherwise(F.exp(F.col("bin") * _GAMMA) * (1 - ACCURACY))
-    pick = lambda q: F.min(F.when(F.col("below") >= F.col("rows") * q, value))
-    above = F.min(F.when((F.col("bin") != _ZERO_BIN) & (10 * (F.col("below") - F.col("zeros")) >= F.col("rows") - F.col("zeros")), value))
-    return cum.groupBy(*keys, "measure").agg(
-        F.max("rows").alias("rows"), pick(0.1).alias("low"), pick(0.5).alias("mid"), pick(0.9).alias("high"), F.max(F.col("rows") - F.col("zeros")).alias("nonzero"), above.alias("above")
-    )
+    cum = merged.withColumns({"below": F.sum("n").over(by.orderBy("bin")), "rows": F.sum("n").over(by), "value": value})
+    cum = cum.withColumn("gap", F.greatest(F.lead("value").over(by.orderBy("bin")), F.lit(FLOOR)) / F.greatest("value", F.lit(FLOOR)))
+    pick = lambda q: F.min(F.when(F.col("below") >= F.col("rows") * q, F.col("value")))
+    above = F.col("rows") - F.col("below")
+    wide = (F.col("gap") >= GAP) & (above >= TAIL * F.col("rows")) & (above <= MOST * F.col("rows"))
+    widest = F.max(F.when(wide, F.struct("gap", (-F.col("bin")).alias("bin"), F.greatest("value", F.lit(FLOOR)).alias("value"))))["value"]
+    return cum.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), pick(TAIL).alias("low"), pick(0.5).alias("mid"), pick(1 - TAIL).alias("high"), widest.alias("cut"))
 
 
-def thresholds(sketches: DataFrame, min_rows: int = MIN_ROWS, reach: float = REACH) -> DataFrame:
-    """(lang, source, fences): for every group its lower and upper fence by measure, and whether each is the group's spread or the sketch's accuracy."""
+def thresholds(sketches: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(lang, source, fences): for every group the lower and upper fence of each measure, and whether the upper one lies in a gap."""
     own, language, all_rows = _quantiles(sketches, "lang", "source"), _quantiles(sketches, "lang"), _quantiles(sketches)
-    q = ["rows", "low", "mid", "high", "nonzero", "above"]
-    o = own.select("lang", "source", "measure", F.struct(*q).alias("a"))
-    lang = language.select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.struct(*q).alias("b"))
-    every = all_rows.select(F.col("measure").alias("g_measure"), F.struct(*q).alias("c"))
+    q = F.struct("rows", "low", "mid", "high", "cut")
+    o = own.select("lang", "source", "measure", q.alias("a"))
+    lang = language.select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), q.alias("b"))
+    every = all_rows.select(F.col("measure").alias("g_measure"), q.alias("c"))
     joined = o.join(lang, o["lang"].eqNullSafe(F.col("l_lang")) & (o["measure"] == F.col("l_measure"))).join(every, o["measure"] == F.col("g_measure"))
     used = F.when(F.col("a.rows") >= min_rows, F.col("a")).when(F.col("b.rows") >= min_rows, F.col("b")).otherwise(F.col("c"))
-    above = F.coalesce(*[F.when(F.col(f"{x}.nonzero") >= MIN_NONZERO, F.col(f"{x}.above")) for x in "abc"], F.lit(0.0)) * (1 + 2 * ACCURACY)
-    spread = joined.select("lang", "source", "measure", used.alias("u"), above.alias("above")).select(
-        "lang", "source", "measure", F.col("u.mid").alias("mid"), F.greatest(2 * ACCURACY * reach * F.col("u.mid"), F.lit(ACCURACY)).alias("least"),
-        (reach * (F.col("u.mid") - F.col("u.low"))).alias("down"),
-        F.greatest(reach * (F.col("u.high") - F.col("u.mid")), F.when(F.col("u.mid") == 0, F.col("above")).otherwise(0.0)).alias("up"),
-    )
-    fences = spread.select(
+    fences = joined.select("lang", "source", "measure", used.alias("u")).select(
         "lang", "source", "measure",
-        (F.col("mid") - F.greatest("down", "least")).alias("lower"), (F.col("mid") + F.greatest("up", "least")).alias("upper"),
-        (F.col("down") > F.col("least")).alias("learned_low"), (F.col("up") > F.col("least")).alias("learned_high"),
+        F.when(F.col("u.mid") > 0, F.col("u.low") * (1 - 2 * ACCURACY)).otherwise(-1.0).alias("lower"),
+        (F.coalesce("u.cut", "u.high") * (1 + 2 * ACCURACY)).alias("upper"), F.col("u.cut").isNotNull().alias("gap"),
     )
-    by = {m: F.max(F.when(F.col("measure") == m, F.struct("lower", "upper", "learned_low", "learned_high"))).alias(m) for m in MEASURES}
+    by = {m: F.max(F.when(F.col("measure") == m, F.struct("lower", "upper", "gap"))).alias(m) for m in MEASURES}
     return fences.groupBy("lang", "source").agg(*by.values())
 
 
