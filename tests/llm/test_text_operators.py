@@ -16,7 +16,7 @@ from parcelworks.llm import language, licenses, lm, neardup, packing, pieces, pi
 SPACE = re.compile("[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.001"
-DOCUMENT_QUERIES = [q for q in queries.QUERIES if q not in ("op4_url_filter", "op6_exact_topk")]
+DOCUMENT_QUERIES = [q for q in queries.QUERIES if q not in ("op4_url_filter", "op6_exact_topk", "op13_embedding_neardup")]
 
 
 def texts_of(spark, folder):
@@ -232,6 +232,35 @@ def test_language(spark, docs_folder):
     assert {r.lang_pred for r in rows} <= {"en", "de", "fr", "und"}
 
 
+def test_language_letters_and_many_languages(spark):
+    """A letter is one by Unicode category; every language is learned, also a 70th; a hot language's sample is picked in cells."""
+    alphabet = [chr(0x4E00 + k) for k in range(70)]
+    rows = [(i, alphabet[i % 70] * 40, f"l{i % 70:02}") for i in range(700)] + [(1000 + i, "zz " * 30, "hot") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    network = language.train(docs, sample=30)
+    assert network.languages == sorted({r[2] for r in rows})
+    odd = spark.createDataFrame(list(enumerate(["²", "½ 12", "Ⅷ", "١٢", "_", "a", "ª", "日"])), "doc_id long, text string")
+    found = {r.row.doc_id: r.lang_pred for r in language.detect(odd, network, ["doc_id"]).collect()}
+    assert [found[i] == "und" for i in range(8)] == [True] * 5 + [False] * 3
+
+
+def test_language_forward_by_hand(spark):
+    """One text through the network in plain loops: embedding, filters of every width, max over the window, softmax."""
+    network = language.ByteNetwork(["a", "b", "c"], 3)
+    text = "Some Words, naïve 123 and more"
+    data = [c if c >= 128 else (c | 32 if chr(c).isalpha() else 32) for c in text.encode()]
+    data += [32] * (language.WINDOW - len(data))
+    pooled = []
+    for w in language.WIDTHS:
+        for f in range(language.FILTERS):
+            at = [sum(float(network.p["e"][data[i + k]][d]) * float(network.p[f"w{w}"][k * language.EMBEDDING + d][f]) for k in range(w) for d in range(language.EMBEDDING)) for i in range(len(data) - w + 1)]
+            pooled.append(max(0.0, max(at) + float(network.p[f"b{w}"][f])))
+    z = [sum(p * float(network.p["out"][k][c]) for k, p in enumerate(pooled)) + float(network.p["bias"][c]) for c in range(3)]
+    odds = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+    (row,) = language.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), network, ["doc_id"]).collect()
+    assert row.lang_pred == "abc"[odds.index(max(odds))] and abs(row.score - max(odds)) < 1e-4
+
+
 def test_language_held_out(spark):
     folder = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}

@@ -23,21 +23,30 @@ def test_topk_edges(spark, tmp_path):
     rows = [(i, [rng.choice([0.5, -0.25, 0.125, 0.0]) for _ in range(6)], i) for i in range(205)]
     rows += [(300, None, 1), (301, [None, 1.0], 1), (302, [math.nan], 1), (303, [math.inf, 0.0], 1), (400, [0.3], 1), (5, [1.0] * 6, 1), (100, rows[100][1], 1), (None, [1.0], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    ok = [(i, [math.floor(1024 * float(__import__("numpy").float32(x))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(1024 * float(__import__("numpy").float32(x))) for x in v]) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted({i for i, _ in ok if i % 100 == 0}):
-        mine = next(v for i, v in ok if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(mine, v)), i) for i, v in ok if i != q)[:10]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
-    assert sorted(map(tuple, topk.query(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())) == want
+    for q, mine in ok:  # every query row has a list of its own, also the two with id 100
+        if q is not None and q % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(mine, v)), i is None, i or 0) for i, v in ok if i != q)[:10]
+            want += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(scored)]
+    assert len(want) == 50
+    order = lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[3])
+    assert sorted(map(tuple, topk.query(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()), key=order) == sorted(want, key=order)
+
+
+def test_topk_null_ids_are_candidates(spark):
+    """A row without an id is found, after the others of the same score; two query rows of one id keep their own lists."""
+    rows = [(None, [5]), (1, [5]), (2, [5]), (7, [1]), (7, [-1])]
+    df = spark.createDataFrame(rows, "id long, w array<long>")
+    found = sorted((r.query_id, r["rank"], -1 if r.vec_id is None else r.vec_id, r.score) for r in topk.search(df, df.where("id = 7"), 3).collect())
+    assert found == [(7, 1, 1, -5), (7, 1, 1, 5), (7, 2, 2, -5), (7, 2, 2, 5), (7, 3, -1, -5), (7, 3, -1, 5)]
 
 
 def test_topk_small_blocks(spark):
     rng = random.Random(2)
     vectors = [(i, [rng.randint(-9, 9) for _ in range(5)]) for i in range(120)]
     df = spark.createDataFrame(vectors, "id long, w array<long>")
-    got = topk.search(df, df.where("id % 3 = 0"), 4, query_block=7, block=40).collect()
+    got = topk.search(df, df.where("id % 3 = 0"), 4, size=3000, block=40).collect()
     for q, v in vectors[::3]:
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)[:4]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in best]
@@ -49,7 +58,7 @@ def folder_with(spark, path, pages, labels=()):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op6_exact_topk"])
+@pytest.mark.parametrize("name", ["op4_url_filter", "op6_exact_topk", "op13_embedding_neardup"])
 def test_empty_table(spark, tmp_path, name):
     folder = folder_with(spark, tmp_path, [])
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
