@@ -28,7 +28,7 @@ def polygon_feature(ring: Column, properties: list[Column]) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")))
 
 
-def collect_features(features: DataFrame, group: str, key: str, text: str = "feature", chunk: int = 50_000, crs: str | None = None) -> DataFrame:
+def collect_features(features: DataFrame, group: str, key: str, text: str = "feature", *, chunk: int, crs: str | None = None) -> DataFrame:
     """Valid FeatureCollections per group, cut by ranges of the unique key.
 
     One text for a whole layer would be gathered in one task; each part holds at most

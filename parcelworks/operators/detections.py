@@ -27,7 +27,7 @@ def prompt_size_filter(boxes: DataFrame, width, height, **limits) -> DataFrame:
     return boxes.filter(prompt_sized(Box.of(), width, height, **limits))
 
 
-def detections_json(detections: DataFrame, group: str = "image_id", key: str = "det_id", chunk: int = 50_000) -> DataFrame:
+def detections_json(detections: DataFrame, group: str = "image_id", key: str = "det_id", *, chunk: int) -> DataFrame:
     """Boxes rounded to whole pixels with size and score, as JSON lists per image.
 
     Parts are ranges of the unique key, so one image with very many boxes becomes

@@ -10,6 +10,9 @@ from parcelworks.functions.numbers import half_even, r6
 from parcelworks.operators import annotations as A
 from parcelworks.plans.registry import query
 
+#: Ids in one text document of a layer or image; a larger one continues in the next part.
+PART = 1 << 30
+
 
 # ---- boxes --------------------------------------------------------------------------
 
@@ -347,12 +350,12 @@ def feature_texts(t):
   concat('{{"type":"FeatureCollection","features":[', string_agg({FEATURE_TEXT}, ',' ORDER BY feature_id), '],"num_detections":', CAST(COUNT(*) AS VARCHAR), ',"crs":"EPSG:4326"}}') AS collection
 FROM features GROUP BY 1, 2""", "features")
 def _(t):
-    return A.collect_features(feature_texts(t), "layer_id", "feature_id", crs="EPSG:4326")
+    return A.collect_features(feature_texts(t), "layer_id", "feature_id", chunk=PART, crs="EPSG:4326")
 
 
 @query("geojson_read", f"""SELECT feature_id, land_type, round_even(cx, 6) + 0.0 AS cx, round_even(cy, 6) + 0.0 AS cy, xmin, ymin, xmax, ymax FROM features JOIN {MEASURED} USING (feature_id)""", "features feature_edges")
 def _(t):
-    collections = A.collect_features(feature_texts(t), "layer_id", "feature_id")
+    collections = A.collect_features(feature_texts(t), "layer_id", "feature_id", chunk=PART)
     read = A.read_geojson(collections.select("collection"), "collection")
     cx, cy = R.centroid(RING)
     return read.select(
@@ -367,7 +370,7 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY det_id) AS n,
 def _(t):
     from parcelworks.operators.detections import detections_json
 
-    return detections_json(t.detections.withColumn("score", half_even(F.col("score"), 3)))
+    return detections_json(t.detections.withColumn("score", half_even(F.col("score"), 3)), chunk=PART)
 
 
 def label_lines(t):

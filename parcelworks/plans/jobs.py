@@ -45,8 +45,9 @@ def _(t):
 @query("stream_job_progress", """SELECT job_id, seq, status, CASE WHEN status = 'completed' THEN 1.0 ELSE least(greatest(value / 400.0, 0), 1) END AS progress FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM job_events) WHERE r = 1""", "job_events")
 def _(t):
-    states = J.latest_state(event_stream(t).withWatermark("event_time", "1 day"))
-    return J.run_available(states, "progress", "update").select("job_id", "seq", "status", "progress")
+    states = J.run_available(J.stream_job_states(event_stream(t)), "progress", "update")
+    progress = F.when(F.col("status") == "completed", 1.0).otherwise(J.progress_of(F.col("current"), F.col("total")))
+    return states.select("job_id", "seq", "status", progress.alias("progress"))
 
 
 FINAL = """(SELECT job_id, status, seq FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN 0 ELSE 1 END,
@@ -55,7 +56,8 @@ FINAL = """(SELECT job_id, status, seq FROM (SELECT *, ROW_NUMBER() OVER (PARTIT
 
 @query("stream_job_state_machine", f"SELECT * FROM {FINAL.format(events='job_events')}", "job_events")
 def _(t):
-    return J.run_available(J.stream_job_state_machine(event_stream(t)), "states", "update").select("job_id", "status", "seq")
+    states = J.run_available(J.stream_job_states(event_stream(t)), "states", "update")
+    return states.select("job_id", F.col("final_status").alias("status"), F.col("final_seq").alias("seq"))
 
 
 @query("active_job_guard", f"SELECT DISTINCT job_id // 2 AS dataset_id FROM job_events WHERE job_id // 2 NOT IN (SELECT job_id // 2 FROM {FINAL.format(events='job_events')} WHERE status NOT IN ('completed', 'failed', 'cancelled'))", "job_events")
@@ -152,7 +154,7 @@ def _(t):
 def _(t):
     scores = rounded(metrics.seg_metrics(t.mask_pairs, ["image_id"], 3), ["image_id"])
     path = f"{scratch_dir(t.spark)}/summary-{uuid.uuid4().hex}"
-    files.summary_texts(scores, "image_id", ["miou", "macro_f1"]).select("summary").write.text(path)
+    files.summary_texts(scores, "image_id", ["miou", "macro_f1"], chunk=1 << 30).select("summary").write.text(path)
     return files.read_summary(t.spark, path).select("id", "sample_id", F.col("metrics")["miou"].alias("miou"), F.col("metrics")["macro_f1"].alias("macro_f1"))
 
 

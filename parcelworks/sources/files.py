@@ -72,7 +72,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).select("count", F.explode("samples").alias("s")).select("count", "s.*")
 
 
-def summary_texts(scores: DataFrame, key: str, metrics: list[str], chunk: int = 50_000) -> DataFrame:
+def summary_texts(scores: DataFrame, key: str, metrics: list[str], *, chunk: int) -> DataFrame:
     """Summary documents (count and samples), cut by ranges of the running id."""
     from parcelworks.operators.ordering import rank_by_id
 

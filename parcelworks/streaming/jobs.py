@@ -111,9 +111,69 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 
 
 def stream_job_state_machine(events: DataFrame) -> DataFrame:
-    """Job states with absorbing terminal states: the batch fold as a stream in update mode.
+    """Job states with absorbing terminal states as plain aggregates: the state of every job stays. See ``stream_job_states`` for timers.
 
     ``min_by`` and ``max_by`` do not depend on arrival order: the first terminal event wins, else the last open one by
     ``seq``. The state of a job is the two events; no Python runs per job.
     """
     return final_state(events.select("job_id", "seq", "status"))
+
+
+STATE = "seq long, status string, current double, total double, event_time timestamp, end_seq long, end_status string, open_seq long, open_status string"
+STATES = "job_id long, seq long, status string, current double, total double, event_time timestamp, final_status string, final_seq long"
+
+
+def _fold(state: tuple, pdf) -> tuple:
+    """The state of a job after more of its events, which may come in any order."""
+    seq, status, current, total, event_time, end_seq, end_status, open_seq, open_status = state
+    newest = pdf.loc[pdf["seq"].idxmax()]
+    if seq is None or newest["seq"] >= seq:
+        seq, status, current, total, event_time = int(newest["seq"]), newest["status"], float(newest["current"]), float(newest["total"]), newest["event_time"].to_pydatetime()
+    ended = pdf[pdf["status"].isin(TERMINAL)]
+    if len(ended):
+        first = ended.loc[ended["seq"].idxmin()]
+        if end_seq is None or first["seq"] < end_seq:
+            end_seq, end_status = int(first["seq"]), first["status"]
+    running = pdf[~pdf["status"].isin(TERMINAL)]
+    if len(running):
+        last = running.loc[running["seq"].idxmax()]
+        if open_seq is None or last["seq"] >= open_seq:
+            open_seq, open_status = int(last["seq"]), last["status"]
+    return seq, status, current, total, event_time, end_seq, end_status, open_seq, open_status
+
+
+def stream_job_states(events: DataFrame, delay: str = "1 day", keep_closed_ms: int = 3_600_000) -> DataFrame:
+    """Newest event and final status of every job that had events, in update mode; closed jobs leave the state store.
+
+    ``events``: job_id, seq, status, current, total, event_time. The first terminal event by ``seq`` wins, else the last open one, whatever the
+    order of arrival. A closed job stays for ``keep_closed_ms`` of event time, so that late events are still absorbed, and is then
+    removed by its timer; what comes for a closed job behind the watermark is ignored. An open job is kept: its end is still to come.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    columns = [c.split()[0] for c in STATES.split(", ")]
+
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mark = state.getCurrentWatermarkMs()
+        known = state.getOption or (None,) * 9
+        for pdf in pdfs:
+            if known[0] is None or known[5] is not None:  # new or closed: what is older than the watermark came too late
+                pdf = pdf[pdf["event_time"] >= pd.Timestamp(mark, unit="ms")]
+            if len(pdf):
+                known = _fold(known, pdf)
+        if known[0] is None:
+            return
+        state.update(known)
+        seq, status, current, total, event_time, end_seq, end_status, open_seq, open_status = known
+        if end_seq is not None:
+            last = int(pd.Timestamp(event_time).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, mark) + keep_closed_ms)
+        final = (end_status, end_seq) if end_seq is not None else (open_status, open_seq)
+        yield pd.DataFrame([(key[0], seq, status, current, total, event_time, *final)], columns=columns)
+
+    timed = events.select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), "status", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"), "event_time")
+    return timed.withWatermark("event_time", delay).groupBy("job_id").applyInPandasWithState(run, STATES, STATE, "update", GroupStateTimeout.EventTimeTimeout)

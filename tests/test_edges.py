@@ -129,3 +129,39 @@ def test_streams_over_many_batches_equal_batch(spark, tmp_path):
     assert key(states) == key(J.final_state(batch))
     progress = J.run_available(J.latest_state(ready(stream)), "t-progress", "update")
     assert sorted(map(tuple, progress.select("job_id", "seq", "progress").collect())) == sorted(map(tuple, J.latest_state(batch).select("job_id", "seq", "progress").collect()))
+
+
+def test_closed_jobs_leave_the_state(spark, tmp_path):
+    """Over batches: closed jobs are removed by their timers, late events before that are absorbed, open jobs stay."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    hours = lambda h: start + dt.timedelta(hours=h)
+    batches = [
+        [(1, 1, "running", hours(0)), (2, 1, "queued", hours(0)), (3, 1, "failed", hours(0))],
+        [(1, 3, "completed", hours(1)), (1, 2, "failed", hours(0.9)), (2, 2, "running", hours(1))],
+        [(4, 1, "running", hours(60))],
+        [(5, 1, "running", hours(61)), (1, 4, "running", hours(2))],  # job 1 is closed and gone: its late event is ignored
+        [(2, 3, "completed", hours(62))],
+    ]
+    folder = tmp_path / "log"
+    folder.mkdir()
+    schema = "job_id long, seq long, status string, event_time timestamp"
+    import os
+
+    for k, rows in enumerate(batches):
+        file = folder / f"{k}.parquet"
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(file, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # read in this order
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("current", F.lit(1.0)).withColumn("total", F.lit(4.0))
+    seen = {}
+
+    def note(df, batch):
+        for r in df.collect():
+            seen[r.job_id] = (r.seq, r.status, r.final_status, r.final_seq)
+
+    run = J.stream_job_states(stream).writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert seen == {1: (3, "completed", "failed", 2), 2: (3, "completed", "completed", 3), 3: (1, "failed", "failed", 1), 4: (1, "running", "running", 1), 5: (1, "running", "running", 1)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert max(held) >= 3 and held[-1] <= 3  # jobs 1 and 3 are gone; 4 and 5 are open, 2 has just closed
