@@ -203,13 +203,23 @@ def merge_tiles_core(tiles: DataFrame, overlap: int) -> DataFrame:
     )
     gathered = prepared.groupBy("image_id", "y", "width").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
 
-    def pixel(x: Column) -> Column:
+    def pixel(pieces: Column, x: Column) -> Column:
         def step(current: Column, p: Column) -> Column:
-            value = F.get(p["vals"], x - p["x0"])
             in_core = (x >= p["core_from"]) & (x < p["core_to"])
-            return F.when((x < p["x0"]) | (x >= p["x0"] + p["w"]), current).when(in_core | (current == 0), value).otherwise(current)
+            return F.when(in_core | (current == 0), F.get(p["vals"], x - p["x0"])).otherwise(current)
 
-        return F.aggregate("pieces", F.lit(0), step)
+        return F.aggregate(pieces, F.lit(0), step)
 
-    merged = F.transform(F.sequence(F.lit(0), F.col("width") - 1), pixel)
-    return gathered.select("image_id", "y", merged.alias("cls"))
+    # between two borders of tiles or cores the same few tiles cover every pixel, so only these are walked
+    borders = F.flatten(F.transform("pieces", lambda p: F.array(p["x0"], p["x0"] + p["w"], p["core_from"], p["core_to"])))
+    inside = F.filter(borders, lambda b: (b > 0) & (b < F.col("width")))
+    cuts = F.array_sort(F.array_distinct(F.concat(inside, F.array(F.lit(0), F.col("width").cast("int")))))
+    cut = gathered.select("image_id", "y", "pieces", cuts.alias("_cuts"))
+    parts = F.zip_with(F.slice("_cuts", 1, F.size("_cuts") - 1), F.slice("_cuts", 2, F.size("_cuts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def part(g: Column) -> Column:
+        over = F.filter("pieces", lambda p: (p["x0"] <= g["a"]) & (p["x0"] + p["w"] >= g["b"]))
+        return F.transform(F.array(over), lambda ps: F.transform(F.sequence(g["a"], g["b"] - 1), lambda x: pixel(ps, x)))[0]
+
+    merged = F.flatten(F.transform(parts, part))
+    return cut.select("image_id", "y", merged.alias("cls"))

@@ -8,6 +8,7 @@ from parcelworks.functions.numbers import r6
 from parcelworks.operators import masks as M, sets
 from parcelworks.operators.ordering import rank_by_id, rank_within, rank_within_by
 from parcelworks.plans.registry import query
+from parcelworks.session import materialize
 
 FIELD = "CASE WHEN cls IN (1, 2) THEN 1 ELSE 0 END"
 
@@ -123,7 +124,8 @@ def _(t):
   SELECT image_id, mask_id, area, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY area DESC, mask_id) - 1 AS r, COUNT(*) OVER (PARTITION BY image_id) AS n FROM {MASKS.format(runs='instance_runs')}) m
   ON p.image_id = m.image_id AND p.mask_id = m.mask_id WHERE m.area BETWEEN 800 AND 4000 GROUP BY ALL) GROUP BY image_id, value""", "instance_runs")
 def _(t):
-    areas = M.mask_area_bbox(t.instance_runs, ["image_id", "mask_id"]).select("image_id", "mask_id", "area")
+    # ranges are sampled before they are cut, so the areas are written once instead of being summed for each use
+    areas = materialize(M.mask_area_bbox(t.instance_runs, ["image_id", "mask_id"]).select("image_id", "mask_id", "area"), "areas")
     ranked = rank_within_by(areas, "image_id", [F.col("area").desc(), F.col("mask_id")])
     counts = areas.groupBy("image_id").agg(F.count("*").alias("n"))
     painted = M.paint_order_unique_area(t.instance_runs, ranked.join(counts, "image_id"), 800, 4000)

@@ -255,7 +255,7 @@ def _(t):
 
 
 @query("proposal_candidates", f"""WITH {CELL_PIXELS},
-area AS (SELECT image_id, region, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2, arg_min(y * 16777216 + x, y * 16777216 + x) AS label FROM cells GROUP BY ALL),
+area AS (SELECT image_id, region, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2, arg_min(y * 4294967296 + x, y * 4294967296 + x) AS label FROM cells GROUP BY ALL),
 ends AS (SELECT image_id, region, y, MIN(x) AS lo, MAX(x) AS hi FROM cells GROUP BY ALL),
 outline AS (SELECT a.image_id, a.region, SUM((a.hi - a.lo + b.hi - b.lo) / 2.0) AS outline_area FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.region = b.region AND b.y = a.y + 1 GROUP BY ALL),
 points AS (SELECT DISTINCT * FROM (SELECT image_id, region, y, lo AS x FROM ends UNION ALL SELECT image_id, region, y, hi FROM ends)),
