@@ -159,6 +159,20 @@ def mask_overlap_join(first: DataFrame, second: DataFrame | None = None) -> Data
     )
 
 
+def fold_equal(mask_runs: DataFrame, rank: DataFrame) -> DataFrame:
+    """Runs of the best of every set of equal masks of an image; ``rank`` has mask_id and rank.
+
+    In greedy suppression a copy never outlives its best: what is kept beats both or neither, and the best itself beats its copies. So a
+    pile of copies costs one row for each, not its square. Masks are compared by 128 bits over their runs, their area and number of runs.
+    """
+    line = ["y", "x_start", "x_end"]
+    prints = mask_runs.groupBy("image_id", "mask_id").agg(
+        F.bit_xor(F.xxhash64(*line)).alias("_h"), F.bit_xor(F.xxhash64(F.lit("second"), *line)).alias("_g"), F.count("*").alias("_n"), F.sum(length()).alias("_area")
+    )
+    best = prints.join(rank, "mask_id").groupBy("image_id", "_h", "_g", "_n", "_area").agg(F.max_by("mask_id", "rank").alias("mask_id"))
+    return mask_runs.join(best.select("image_id", "mask_id"), ["image_id", "mask_id"], "left_semi")
+
+
 def cross_pass_anti_join(first: DataFrame, second: DataFrame, iou: float = 0.45, smaller: float = 0.75, covered: float = 0.65) -> DataFrame:
     """Runs of the second-pass masks that repeat no first-pass mask."""
     pairs = mask_overlap_join(first, second)

@@ -35,8 +35,9 @@ def mask_rank(t):
 
 
 def suppress_masks(t, runs, condition):
-    nodes = runs.select("image_id", "mask_id").distinct()
-    return G.suppress_edges(nodes, "mask_id", G.mask_conflicts(M.mask_overlap_join(runs), mask_rank(t), condition))
+    best = materialize(M.fold_equal(runs, mask_rank(t)), "masks")
+    nodes = best.select("image_id", "mask_id").distinct()
+    return G.suppress_edges(nodes, "mask_id", G.mask_conflicts(M.mask_overlap_join(best), mask_rank(t), condition))
 
 
 @query("mask_nms")

@@ -180,6 +180,19 @@ def test_crown_clean(spark):
     assert set(out) == {1, 4} and all(len(ring) == 5 for ring in out.values())
 
 
+def test_equal_masks_fold(spark):
+    """5,000 copies of a mask, two of another, one that differs in a pixel: the best of each set is left, and suppression is as without folding."""
+    from parcelworks.operators import masks as M
+
+    rows = [(1, k, 0.5 + (k * 37 % 5000) / 1e5, y, 3, 9) for k in range(5000) for y in range(3)] + [(1, 9000 + k, 0.9, y, 40, 50) for k in range(2) for y in range(3)]
+    rows += [(1, 9500, 0.1, y, 3, 9 + (y == 0)) for y in range(3)] + [(2, 9600, 0.1, y, 3, 9) for y in range(3)]
+    runs = spark.createDataFrame([(i, m, s, 1, y, a, b) for i, m, s, y, a, b in rows], "image_id long, mask_id long, score double, pieces long, y int, x_start int, x_end int")
+    rank = runs.groupBy("mask_id").agg(F.struct(F.max("score").alias("score"), (-F.first("mask_id")).alias("k")).alias("rank"))
+    best = max(range(5000), key=lambda k: (k * 37 % 5000, -k))
+    assert {r.mask_id for r in M.fold_equal(runs, rank).select("mask_id").distinct().collect()} == {best, 9000, 9500, 9600}
+    assert {r.mask_id for r in CR.clean(runs, 0.6, 0.0).select("mask_id").distinct().collect()} == {best, 9000, 9600}
+
+
 def test_metrics_over_thresholds(spark):
     rng = random.Random(4)
     preds = [(k, rng.choice([0.1, 0.5, 0.9, rng.random()])) for k in range(60)]
