@@ -17,13 +17,36 @@ BOX = Box.of()
 
 # ---- suppression --------------------------------------------------------------------
 
-@query("nms_by_class")
+#: One item after the other in each group: it is kept if no kept item is among those ``above`` that conflict with it.
+WALK = """walk AS (SELECT grp, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS key, FALSE AS ok, CAST([] AS BIGINT[]) AS kept FROM items WHERE turn = 1
+  UNION ALL SELECT i.grp, i.turn, i.key, NOT list_has_any(coalesce(h.above, []), w.kept), CASE WHEN list_has_any(coalesce(h.above, []), w.kept) THEN w.kept ELSE list_append(w.kept, i.key) END
+  FROM walk w JOIN items i ON i.grp = w.grp AND i.turn = w.turn + 1 LEFT JOIN hits h ON h.loser = i.key)"""
+
+
+def box_walk(group, order, iou):
+    """Greedy suppression of boxes as a recursive query."""
+    return f"""items AS (SELECT {group} AS grp, det_id AS key, image_id, score, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS turn FROM detections),
+met AS (SELECT a.key AS above, b.key AS loser, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS common, a.area AS aa, b.area AS ba FROM items a JOIN items b ON a.grp = b.grp AND a.turn < b.turn),
+hits AS (SELECT loser, list(above) AS above FROM met WHERE common / (aa + ba - common) >= {iou} GROUP BY loser), {WALK}"""
+
+
+def mask_walk(condition, where="TRUE"):
+    """Greedy suppression of masks as a recursive query; ``shared`` are the common pixels of every pair."""
+    return f"""sizes AS (SELECT image_id, mask_id, SUM(x_end - x_start + 1) AS area FROM instance_runs WHERE {where} GROUP BY ALL),
+items AS (SELECT s.image_id AS grp, s.mask_id AS key, s.area, row_number() OVER (PARTITION BY s.image_id ORDER BY d.score DESC, (d.x2 - d.x1) * (d.y2 - d.y1) DESC, d.det_id) AS turn FROM sizes s JOIN detections d ON d.det_id = s.mask_id),
+shared AS (SELECT a.image_id, a.mask_id AS one, b.mask_id AS two, SUM(least(a.x_end, b.x_end) - greatest(a.x_start, b.x_start) + 1) AS common FROM instance_runs a JOIN instance_runs b
+  ON a.image_id = b.image_id AND a.y = b.y AND a.mask_id <> b.mask_id AND a.x_start <= b.x_end AND b.x_start <= a.x_end GROUP BY ALL),
+hits AS (SELECT y.key AS loser, list(x.key) AS above FROM shared s JOIN items x ON x.key = s.one JOIN items y ON y.key = s.two AND x.turn < y.turn
+  WHERE {condition.format(iou="s.common / CAST(x.area + y.area - s.common AS DOUBLE)", smaller="s.common / CAST(least(x.area, y.area) AS DOUBLE)")} GROUP BY y.key), {WALK}"""
+
+
+@query("nms_by_class", f"WITH RECURSIVE {box_walk("concat(image_id, '/', class_id)", '(x2 - x1) * (y2 - y1) DESC, det_id', 0.5)} SELECT key AS det_id FROM walk WHERE ok", "detections")
 def _(t):
     """Larger boxes first, IoU >= 0.5 suppressed, per image and class."""
     return G.suppress_boxes(t.detections, ["image_id", "class_id"], "det_id", BOX.area, 0.5)
 
 
-@query("nms_by_score")
+@query("nms_by_score", f"WITH RECURSIVE {box_walk('image_id', 'score DESC, det_id', 0.35)} SELECT key AS det_id FROM walk WHERE ok QUALIFY row_number() OVER (PARTITION BY grp ORDER BY turn) <= 6", "detections")
 def _(t):
     """The six best of each image (fixed value) after suppression at IoU 0.35."""
     kept = G.suppress_boxes(t.detections, ["image_id"], "det_id", F.col("score"), 0.35)
@@ -40,12 +63,12 @@ def suppress_masks(t, runs, condition):
     return G.suppress_edges(nodes, "mask_id", G.mask_conflicts(M.mask_overlap_join(best), mask_rank(t), condition))
 
 
-@query("mask_nms")
+@query("mask_nms", f"WITH RECURSIVE {mask_walk('{iou} >= 0.70')} SELECT grp AS image_id, key AS mask_id FROM walk WHERE ok", "instance_runs")
 def _(t):
     return suppress_masks(t, t.instance_runs, F.col("iou") >= 0.70)
 
 
-@query("mask_dedupe_coverage")
+@query("mask_dedupe_coverage", f"WITH RECURSIVE {mask_walk('{iou} >= 0.60 OR {smaller} >= 0.80')} SELECT grp AS image_id, key AS mask_id FROM walk WHERE ok", "instance_runs")
 def _(t):
     return suppress_masks(t, t.instance_runs, (F.col("iou") >= 0.60) | (F.col("smaller_coverage") >= 0.80))
 
@@ -96,7 +119,11 @@ def cascade(t):
     return union_passes(ids(additions), ids(first))
 
 
-@query("cascade_fusion")
+@query("cascade_fusion", f"""WITH RECURSIVE {mask_walk('{iou} >= 0.60 OR {smaller} >= 0.80', 'score < 0.5')},
+firsts AS (SELECT image_id, mask_id, SUM(x_end - x_start + 1) AS area FROM instance_runs WHERE score >= 0.5 GROUP BY ALL), added AS (SELECT i.grp AS image_id, i.key AS mask_id, i.area FROM walk w JOIN items i ON i.key = w.key WHERE w.ok),
+repeated AS (SELECT a.mask_id FROM shared s JOIN added a ON a.mask_id = s.two JOIN firsts f ON f.mask_id = s.one
+  WHERE s.common / CAST(f.area + a.area - s.common AS DOUBLE) >= 0.45 OR s.common / CAST(least(f.area, a.area) AS DOUBLE) >= 0.75 OR s.common / CAST(a.area AS DOUBLE) >= 0.65)
+SELECT image_id, mask_id, 0 AS paint_pass FROM added WHERE mask_id NOT IN (SELECT mask_id FROM repeated) UNION ALL SELECT image_id, mask_id, 1 FROM firsts""", "instance_runs")
 def _(t):
     return cascade(t)
 
@@ -186,17 +213,28 @@ def sizes(t):
     return t.images.select("image_id", "width", "height")
 
 
-@query("connected_components")
+#: In the interiors, parted by boundary lines, every cell of 12 x 10 pixels is one 8-connected region: an ignored pixel cuts none off.
+CELL_PIXELS = "cells AS (SELECT image_id, (y // 10) * 1000 + x // 12 AS region, y, x FROM mask_pixels WHERE cls = 1)"
+CELL_SIZES = "sized AS (SELECT image_id, region, COUNT(*) AS area, MIN(y * 4294967296 + x) AS first FROM cells GROUP BY ALL)"
+RUNS = "SELECT image_id, y, MIN(x) AS x_start, MAX(x) AS x_end FROM (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS island FROM {pixels}) GROUP BY image_id, y, island"
+
+
+@query("connected_components", f"""WITH {CELL_PIXELS}, {CELL_SIZES} SELECT image_id, first AS region, s.area, MIN(x) AS x1, MIN(y) AS y1, MAX(x) AS x2, MAX(y) AS y2, row_number() OVER (PARTITION BY image_id ORDER BY first) AS label
+FROM cells c JOIN sized s USING (image_id, region) GROUP BY image_id, first, s.area""", "mask_pixels")
 def _(t):
     return C.number_regions(C.region_table(C.connected_components(interior(t), 8)))
 
 
-@query("clean_components")
+@query("clean_components", f"""WITH {CELL_PIXELS}, {CELL_SIZES}, kept AS (SELECT c.image_id, c.y, c.x FROM cells c JOIN sized s USING (image_id, region) WHERE s.area >= 40),
+ground AS (SELECT g.image_id, g.y, g.x FROM mask_pixels g ANTI JOIN kept k USING (image_id, y, x)), hole AS (SELECT g.image_id, g.y, g.x FROM ground g JOIN images i USING (image_id) WHERE g.x > 0 AND g.y > 0 AND g.x < i.width - 1 AND g.y < i.height - 1
+  AND NOT EXISTS (SELECT 1 FROM ground o WHERE o.image_id = g.image_id AND (o.y <> g.y OR o.x <> g.x) AND o.y BETWEEN g.y - 1 AND g.y + 1 AND o.x BETWEEN g.x - 1 AND g.x + 1)),
+filled AS (SELECT * FROM kept UNION ALL SELECT * FROM hole) {RUNS.format(pixels='filled')}""", "mask_pixels images")
 def _(t):
     return C.clean_components(interior(t), sizes(t), smallest=40, max_hole=64)
 
 
-@query("largest_component")
+@query("largest_component", f"""WITH {CELL_PIXELS}, {CELL_SIZES}, best AS (SELECT image_id, region FROM sized QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first) = 1),
+chosen AS (SELECT c.* FROM cells c JOIN best b USING (image_id, region)) {RUNS.format(pixels='chosen')}""", "mask_pixels")
 def _(t):
     return C.largest_component(interior(t)).select("image_id", "y", "x_start", "x_end")
 
@@ -227,10 +265,6 @@ def field_cells(t):
     return runs.select("image_id", (F.floor(F.col("y") / 10) * 1000 + F.floor(F.col("x_start") / 12)).alias("region"), "y", "x_start", "x_end")
 
 
-#: Pixels of the cells, their row extremes, and the ends of their convex hull in each row: hull lines run between two of the pixels' side midpoints.
-CELL_PIXELS = "cells AS (SELECT image_id, (y // 10) * 1000 + x // 12 AS region, y, x FROM mask_pixels WHERE cls = 1)"
-
-
 @query("region_shape", f"""WITH RECURSIVE {CELL_PIXELS},
 area AS (SELECT image_id, region, COUNT(*) AS area, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2 FROM cells GROUP BY ALL),
 border AS (SELECT c.* FROM cells c WHERE (SELECT COUNT(*) FROM cells n WHERE n.image_id = c.image_id AND n.region = c.region AND abs(n.y - c.y) + abs(n.x - c.x) = 1) < 4),
