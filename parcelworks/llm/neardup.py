@@ -88,7 +88,8 @@ def sketch(docs: DataFrame, keep: list[str], doc_id: str, text: str, width: int)
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(key, members): the shingle set of every wanted class, from the text of its representative (key, id, code)."""
     texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("c"), F.col(text).alias("t"))
-    met = texts.join(wanted, F.col("d").eqNullSafe(F.col("id")) & (F.col("c") == F.col("code"))).select("key", "t").dropDuplicates(["key"])
+    # the same plan at every size: classes grow with the corpus, so they are never sent to every task
+    met = texts.hint("merge").join(wanted.hint("merge"), F.col("d").eqNullSafe(F.col("id")) & (F.col("c") == F.col("code"))).select("key", "t").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
