@@ -1,9 +1,10 @@
 """Personal data: candidate spans from generators of high recall, judged by boosted trees with calibrated thresholds.
 
 Generators propose overlapping spans of four kinds. Those of the base patterns are always kept. The others are what the patterns miss:
-parts of digit runs that fail as a whole, national phone numbers, spelled-out e-mail addresses, IPv6. Trees see format features (digit
+parts of digit runs that fail as a whole, national phone numbers in groups of 3, 3 and 4 digits, e-mail addresses with a bracketed "at", and IPv6
+addresses with all eight groups. Trees see format features (digit
 groups, separators, Luhn sum, parts) and context features (neighbouring characters, words before the span); a span is added if its
-calibrated probability reaches its kind's threshold and it overlaps no kept one, best first.
+calibrated probability reaches its kind's threshold and it overlaps no kept one, best first (equal ones from left to right).
 
 The trees are trained here on a bounded sample: ``CONTEXTS`` pieces of ``PIECE`` characters of the given texts, picked by hash, into
 which generated personal data and look-alikes are put, so that every candidate's label is known. A part of them calibrates the scores
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,17 +223,50 @@ def train(docs: DataFrame, text: str = "text", contexts: int = CONTEXTS, precisi
 def find_spans(text: str, model: BoostedTrees, least: dict[str, float]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of one text."""
     base = base_spans(text)
-    more = [c for c in candidates(text) if c not in base]
+    known, taken = set(base), _Places()
+    for s, e in _merged(base):
+        taken.add(s, e)
+    # what touches a base span can never be added, so it must not stand in another one's way either
+    more = [c for c in candidates(text) if c not in known and taken.free(c[0], c[1])]
     if not more:
         return base, base
     p = model.probability(np.array([features(text, c) for c in more], float))
-    chosen: list = []
+    added = []
     for k in np.argsort(-p, kind="stable"):
         s, e, kind = more[k]
-        if p[k] >= least[kind] and all(e <= a or s >= b for a, b, _ in chosen):
-            chosen.append(more[k])
-    free = [c for c in chosen if all(c[1] <= a or c[0] >= b for a, b, _ in base)]
-    return base, sorted([*base, *free], key=lambda x: (x[0], KINDS.index(x[2])))
+        if p[k] >= least[kind] and taken.free(s, e):
+            taken.add(s, e)
+            added.append(more[k])
+    return base, sorted([*base, *added], key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def _merged(spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Spans sorted by their start, overlapping ones as one."""
+    begin = end = -1
+    for s, e, _ in spans:
+        if s >= end:
+            if end >= 0:
+                yield begin, end
+            begin, end = s, e
+        end = max(end, e)
+    if end >= 0:
+        yield begin, end
+
+
+class _Places:
+    """Disjoint spans in order: a new one is compared with its two neighbours only."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def free(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e)
+        return k == 0 or self.ends[k - 1] <= s
+
+    def add(self, s: int, e: int) -> None:
+        k = bisect_left(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
 
 
 def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:

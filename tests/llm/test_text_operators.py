@@ -71,6 +71,40 @@ def test_pii_spans():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000) == []
 
 
+class Even:
+    """Every candidate is as likely as the others, but for those whose features say that they are longer."""
+
+    def probability(self, x):
+        return 0.6 + x[:, 4] / 1000
+
+
+def test_pii_choice_in_any_order():
+    """Against the plain rule: best first, nothing that overlaps a base span or a better one."""
+    rng = random.Random(9)
+    for _ in range(200):
+        parts = ["bob (at) host (dot) com", "4111 1111 1111 1111 12", "555-123-4567", "+1 555 123 4567 89 12 34 56", "a@b.cd", "x", "1.2.3.4", "00 49 30 1234567 8"]
+        text = rng.choice([" ", ""]).join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        base, spans = pii.find_spans(text, Even(), dict.fromkeys(pii.KINDS, 0.5))
+        more = [c for c in pii.candidates(text) if all(c[1] <= a or c[0] >= b for a, b, _ in base)]
+        order, want = sorted(range(len(more)), key=lambda k: -(0.6 + pii.features(text, more[k])[4] / 1000)), list(base)
+        for k in order:
+            if all(more[k][1] <= a or more[k][0] >= b for a, b, _ in want):
+                want.append(more[k])
+        assert sorted(spans) == sorted(want)
+
+
+def test_pii_many_candidates_take_linear_time():
+    import time
+
+    def seconds(n):
+        begin = time.perf_counter()
+        pii.find_spans(" ".join(f"bob{k} (at) host (dot) com and a{k}@b.cd," for k in range(n)), Even(), dict.fromkeys(pii.KINDS, 0.5))
+        return time.perf_counter() - begin
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.02)
+
+
 @pytest.mark.parametrize("folder", ["edges", SF])
 def test_lm_base(spark, docs_folder, folder):
     folder = docs_folder if folder == "edges" else folder
