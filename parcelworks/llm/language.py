@@ -4,7 +4,7 @@ A window of ``WINDOW`` bytes goes through a byte embedding, filters of several w
 Every text is cut into such windows from end to end; its languages' log-odds are the windows' means, weighted by their letters.
 ASCII characters that are no letters count as blanks and A-Z as a-z, so digits and symbols tell nothing.
 
-Training takes a bounded sample of the labelled rows: ``SAMPLE`` windows for each language, picked by a hash of the id. It is the only part
+Training takes a bounded sample of the labelled rows: ``SAMPLE`` windows for each language, picked by hashes of the id. It is the only part
 with a bound; every language is learned. Sums run in a fixed order, so the same rows give the same weights.
 
 Defined cases: a letter is a character of the Unicode category L; a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned; rows are
@@ -33,8 +33,8 @@ SAMPLE = 1200
 EPOCHS = 6
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-#: Cells of a language in which its sample is picked first, so that no task orders all its rows.
-CELLS = 256
+#: Rows of a language that are ordered for its sample, as a multiple of it; so no task orders all its rows.
+SPARE = 3
 
 
 def _classes() -> np.ndarray:
@@ -138,10 +138,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     code = F.xxhash64(F.col(doc_id).cast("string"), F.substring(F.col(text), 1, 64))
     start = F.pmod(code, F.greatest(F.lit(1), F.length(F.col(text)) - WINDOW + 1)) + 1
     piece = F.substring(F.col(text), start.cast("int"), F.lit(WINDOW))
-    coded = rows.select(F.col(lang).alias("l"), code.alias("c"), piece.alias("t")).withColumn("cell", F.pmod("c", F.lit(CELLS)))
-    least = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("c", "t"))
-    first = coded.withColumn("r", least("l", "cell")).where(F.col("r") <= sample)
-    picked = sorted((r["c"], r["l"], r["t"]) for r in first.withColumn("r", least("l")).where(F.col("r") <= sample).collect())
+    coded = rows.select(F.col(lang).alias("l"), code.alias("c"), piece.alias("t"))
+    # one row for each language, all of which the network holds as well; about SPARE times the sample is left to be ordered
+    sizes = F.broadcast(coded.groupBy("l").agg(F.count("*").alias("n")))
+    thinned = coded.join(sizes, "l").where(F.pmod(F.xxhash64("c"), F.col("n")) < SPARE * sample)
+    first = F.row_number().over(W.partitionBy("l").orderBy("c", "t"))
+    picked = sorted((r["c"], r["l"], r["t"]) for r in thinned.withColumn("r", first).where(F.col("r") <= sample).select("c", "l", "t").collect())
     if not picked:
         return None
     names = sorted({lab for _, lab, _ in picked})
