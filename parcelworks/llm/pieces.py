@@ -294,13 +294,15 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, text: str = "tex
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(shared.value)
         for batch in batches:
-            for part in slices(batch, "t"):
+            texts = batch.column(0).field(text) if text in keep else batch.column(1)  # a text that is kept travels once
+            for part in slices(pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "t"]), "t"):
                 ids, scores = cache.encode([normalise(t) for t in part.column(1).to_pylist()])
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(scores, pa.float64())], ["row", "ids", "score"])
 
-    short = rows.where(F.coalesce(F.length("t"), F.lit(0)) < chunk).mapInArrow(whole, f"row {kind}, ids array<int>, score double")
+    below = rows.where(F.coalesce(F.length("t"), F.lit(0)) < chunk)
+    short = (below.select("row") if text in keep else below).mapInArrow(whole, f"row {kind}, ids array<int>, score double")
 
     giant = materialize(rows.where(F.length("t") >= chunk).withColumn("key", F.monotonically_increasing_id()), "giants")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -357,7 +359,10 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else shared.value.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            column = batch.column(batch.schema.get_field_index(ids))
+            begins, flat, there = column.offsets.to_numpy(), column.values.to_numpy(), column.is_valid().to_pylist()
+            # row by row: the ids of a whole batch as Python numbers would take hundreds of MB
+            texts = [shared.value.decode(flat[begins[k] : begins[k + 1]].tolist()) if ok else None for k, ok in enumerate(there)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
