@@ -213,28 +213,33 @@ def sizes(t):
     return t.images.select("image_id", "width", "height")
 
 
-#: In the interiors, parted by boundary lines, every cell of 12 x 10 pixels is one 8-connected region: an ignored pixel cuts none off.
+#: Interiors are parted by boundary lines every 12 x 10 pixels, so runs connect inside such a cell only; a region is named by its first pixel.
+REGION_PIXELS = """cell_runs AS (SELECT image_id, (y // 10) * 1000 + x_start // 12 AS cell, y, x_start, x_end, y * 4294967296 + x_start AS id FROM mask_runs WHERE cls = 1),
+touching AS (SELECT a.image_id, a.id AS a, b.id AS b FROM cell_runs a JOIN cell_runs b ON a.image_id = b.image_id AND a.cell = b.cell AND abs(a.y - b.y) = 1 AND a.x_start <= b.x_end + 1 AND b.x_start <= a.x_end + 1),
+linked AS (SELECT image_id, id AS a, id AS b FROM cell_runs UNION SELECT l.image_id, l.a, t.b FROM linked l JOIN touching t ON t.image_id = l.image_id AND t.a = l.b),
+labels AS (SELECT image_id, a AS id, MIN(b) AS region FROM linked GROUP BY image_id, a),
+cells AS (SELECT image_id, region, y, unnest(range(x_start, x_end + 1)) AS x FROM cell_runs JOIN labels USING (image_id, id))"""
 CELL_PIXELS = "cells AS (SELECT image_id, (y // 10) * 1000 + x // 12 AS region, y, x FROM mask_pixels WHERE cls = 1)"
 CELL_SIZES = "sized AS (SELECT image_id, region, COUNT(*) AS area, MIN(y * 4294967296 + x) AS first FROM cells GROUP BY ALL)"
 RUNS = "SELECT image_id, y, MIN(x) AS x_start, MAX(x) AS x_end FROM (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS island FROM {pixels}) GROUP BY image_id, y, island"
 
 
-@query("connected_components", f"""WITH {CELL_PIXELS}, {CELL_SIZES} SELECT image_id, first AS region, s.area, MIN(x) AS x1, MIN(y) AS y1, MAX(x) AS x2, MAX(y) AS y2, row_number() OVER (PARTITION BY image_id ORDER BY first) AS label
-FROM cells c JOIN sized s USING (image_id, region) GROUP BY image_id, first, s.area""", "mask_pixels")
+@query("connected_components", f"""WITH RECURSIVE {REGION_PIXELS}, {CELL_SIZES} SELECT image_id, first AS region, s.area, MIN(x) AS x1, MIN(y) AS y1, MAX(x) AS x2, MAX(y) AS y2, row_number() OVER (PARTITION BY image_id ORDER BY first) AS label
+FROM cells c JOIN sized s USING (image_id, region) GROUP BY image_id, first, s.area""", "mask_pixels mask_runs")
 def _(t):
     return C.number_regions(C.region_table(C.connected_components(interior(t), 8)))
 
 
-@query("clean_components", f"""WITH {CELL_PIXELS}, {CELL_SIZES}, kept AS (SELECT c.image_id, c.y, c.x FROM cells c JOIN sized s USING (image_id, region) WHERE s.area >= 40),
+@query("clean_components", f"""WITH RECURSIVE {REGION_PIXELS}, {CELL_SIZES}, kept AS (SELECT c.image_id, c.y, c.x FROM cells c JOIN sized s USING (image_id, region) WHERE s.area >= 40),
 ground AS (SELECT g.image_id, g.y, g.x FROM mask_pixels g ANTI JOIN kept k USING (image_id, y, x)), hole AS (SELECT g.image_id, g.y, g.x FROM ground g JOIN images i USING (image_id) WHERE g.x > 0 AND g.y > 0 AND g.x < i.width - 1 AND g.y < i.height - 1
   AND NOT EXISTS (SELECT 1 FROM ground o WHERE o.image_id = g.image_id AND (o.y <> g.y OR o.x <> g.x) AND o.y BETWEEN g.y - 1 AND g.y + 1 AND o.x BETWEEN g.x - 1 AND g.x + 1)),
-filled AS (SELECT * FROM kept UNION ALL SELECT * FROM hole) {RUNS.format(pixels='filled')}""", "mask_pixels images")
+filled AS (SELECT * FROM kept UNION ALL SELECT * FROM hole) {RUNS.format(pixels='filled')}""", "mask_pixels mask_runs images")
 def _(t):
     return C.clean_components(interior(t), sizes(t), smallest=40, max_hole=64)
 
 
-@query("largest_component", f"""WITH {CELL_PIXELS}, {CELL_SIZES}, best AS (SELECT image_id, region FROM sized QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first) = 1),
-chosen AS (SELECT c.* FROM cells c JOIN best b USING (image_id, region)) {RUNS.format(pixels='chosen')}""", "mask_pixels")
+@query("largest_component", f"""WITH RECURSIVE {REGION_PIXELS}, {CELL_SIZES}, best AS (SELECT image_id, region FROM sized QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first) = 1),
+chosen AS (SELECT c.* FROM cells c JOIN best b USING (image_id, region)) {RUNS.format(pixels='chosen')}""", "mask_pixels mask_runs")
 def _(t):
     return C.largest_component(interior(t)).select("image_id", "y", "x_start", "x_end")
 
@@ -289,7 +294,7 @@ def _(t):
     return found.select("image_id", "region", "area", (F.bround("perimeter", 5) + 0.0).alias("perimeter"), "filled_area", "convex_area", (F.bround("solidity", 5) + 0.0).alias("solidity"))
 
 
-@query("proposal_candidates", f"""WITH {CELL_PIXELS},
+@query("proposal_candidates", f"""WITH RECURSIVE {REGION_PIXELS},
 area AS (SELECT image_id, region, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2, arg_min(y * 4294967296 + x, y * 4294967296 + x) AS label FROM cells GROUP BY ALL),
 ends AS (SELECT image_id, region, y, MIN(x) AS lo, MAX(x) AS hi FROM cells GROUP BY ALL),
 outline AS (SELECT a.image_id, a.region, SUM((a.hi - a.lo + b.hi - b.lo) / 2.0) AS outline_area FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.region = b.region AND b.y = a.y + 1 GROUP BY ALL),
@@ -304,7 +309,7 @@ scored AS (SELECT a.image_id, a.label AS region, a.x1, a.y1, a.x2 + 1 AS x2, a.y
   CASE WHEN r.rect_area > 0 THEN coalesce(o.outline_area, 0.0) / r.rect_area ELSE 0.0 END AS rectangularity, CAST(f.hits AS DOUBLE) / f.frame AS edge_density, least(1.0, coalesce(o.outline_area, 0.0) / greatest(1.0, i.width * i.height * 0.01)) AS size
   FROM area a JOIN frame f USING (image_id, region) JOIN images i ON i.image_id = a.image_id LEFT JOIN outline o ON o.image_id = a.image_id AND o.region = a.region LEFT JOIN rect r ON r.image_id = a.image_id AND r.region = a.region)
 SELECT image_id, CAST(region AS BIGINT) AS region, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2, CAST(outline_area AS DOUBLE) AS outline_area, round_even(rect_area, 5) + 0.0 AS rect_area,
-  round_even(rectangularity, 5) + 0.0 AS rectangularity, round_even(edge_density, 5) + 0.0 AS edge_density, round_even(0.55 * rectangularity + 0.35 * edge_density + 0.10 * size, 8) + 0.0 AS score FROM scored""", "mask_pixels images")
+  round_even(rectangularity, 5) + 0.0 AS rectangularity, round_even(edge_density, 5) + 0.0 AS edge_density, round_even(0.55 * rectangularity + 0.35 * edge_density + 0.10 * size, 8) + 0.0 AS score FROM scored""", "mask_pixels mask_runs images")
 def _(t):
     """Boxes of the components of an edge table, here the field interiors, with their scores."""
     found = S.proposal_candidates(t.mask_runs.filter("cls = 1").select("image_id", "y", "x_start", "x_end"), sizes(t))
