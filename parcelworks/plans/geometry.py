@@ -10,8 +10,8 @@ from parcelworks.functions.numbers import half_even, r6
 from parcelworks.operators import annotations as A
 from parcelworks.plans.registry import query
 
-#: Ids in one text document of a layer or image; a larger one continues in the next part.
-PART = 1 << 30
+#: Ids in one text document of a layer or image, as in the SQL; a larger one continues in the next part.
+PART = 50000
 
 
 # ---- boxes --------------------------------------------------------------------------
