@@ -80,30 +80,26 @@ def semantic_union(mask_runs: DataFrame) -> DataFrame:
     return sweep(mask_runs)
 
 
-def elementary_segments(mask_runs: DataFrame, keep: list[str]) -> DataFrame:
-    """Cut every run at the run ends of its row, so that segments are equal or disjoint.
+def paint(mask_runs: DataFrame, value: str, highest: bool = True) -> DataFrame:
+    """Visible value per segment when masks are painted over each other.
 
-    Positions are collected per (row, cell): at most ``CELL`` numbers, however many runs meet there.
+    The winner is the largest (or smallest) value. Runs are cut into cells, equal pieces of a cell are folded to their winner, and the rest, at
+    most one for each pair of columns of the cell, is cut at its ends inside one array: no join, and masks are not paired.
     """
-    local = with_columns_cells(mask_runs.select(*LINE, "x_start", "x_end", *keep))
+    pick, best = (F.max, F.array_max) if highest else (F.min, F.array_min)
     low, high = F.greatest("x_start", F.col("_cell") * CELL), F.least("x_end", F.col("_cell") * CELL + CELL - 1)
-    local = local.withColumn("_from", low.cast("int")).withColumn("_to", high.cast("int"))
-    cuts = local.groupBy(*LINE, "_cell").agg(F.array_sort(F.collect_set("_from")).alias("_starts"), F.collect_set(F.col("_to") + 1).alias("_stops"))
-    cuts = cuts.select(*LINE, "_cell", F.array_sort(F.array_union("_starts", "_stops")).alias("_cuts"))
-    joined = local.join(cuts, [*LINE, "_cell"])
-    inside = F.filter("_cuts", lambda c: (c >= F.col("_from")) & (c <= F.col("_to") + 1))
-    pieces = F.zip_with(F.slice("_c", 1, F.size("_c") - 1), F.slice("_c", 2, F.size("_c") - 1), lambda a, b: F.struct(a.alias("x_start"), (b - 1).cast("int").alias("x_end")))
-    return joined.withColumn("_c", inside).select(*LINE, *keep, F.inline_outer(pieces))
-
+    local = with_columns_cells(mask_runs.select(*LINE, "x_start", "x_end", value)).select(*LINE, "_cell", low.cast("int").alias("_from"), high.cast("int").alias("_to"), value)
+    placed = local.repartition(*LINE, "_cell").groupBy(*LINE, "_cell", "_from", "_to").agg(pick(value).alias("_v"))
+    cells = placed.groupBy(*LINE, "_cell").agg(F.collect_list(F.struct("_from", "_to", "_v")).alias("_p"))
+    ends = F.concat(F.transform("_p", lambda p: p["_from"]), F.transform("_p", lambda p: p["_to"] + 1))
+    cut = cells.select(*LINE, "_p", F.array_sort(F.array_distinct(ends)).alias("_c"))
 
-def paint(mask_runs: DataFrame, value: str, highest: bool = True) -> DataFrame:
-    """Visible value per segment when masks are painted over each other.
+    def segment(start: Column, stop: Column) -> Column:
+        over = F.transform(F.filter("_p", lambda p: (p["_from"] <= start) & (p["_to"] >= stop - 1)), lambda p: p["_v"])
+        return F.struct(start.alias("x_start"), (stop - 1).cast("int").alias("x_end"), (F.size(over) > 0).alias("_hit"), best(over).alias(value))
 
-    The winner is the largest (or smallest) value: an aggregate over equal segments, in
-    time linear in the painted length and without pairing masks.
-    """
-    pick = F.max(value) if highest else F.min(value)
-    return elementary_segments(mask_runs, [value]).groupBy(*LINE, "x_start", "x_end").agg(pick.alias(value))
+    pieces = F.zip_with(F.slice("_c", 1, F.size("_c") - 1), F.slice("_c", 2, F.size("_c") - 1), segment)
+    return cut.select(*LINE, F.inline_outer(pieces)).filter("_hit").drop("_hit")
 
 
 def paint_order_unique_area(mask_runs: DataFrame, masks: DataFrame, smallest: int = 0, largest: int | None = None) -> DataFrame:
@@ -115,7 +111,7 @@ def paint_order_unique_area(mask_runs: DataFrame, masks: DataFrame, smallest: in
     if largest is not None:
         wanted = wanted & (F.col("area") <= largest)
     labels = masks.filter(wanted).select("image_id", "mask_id", (F.col("n") - F.col("rank0")).alias("value"))
-    return paint(mask_runs.join(labels, ["image_id", "mask_id"]), "value", highest=False)
+    return paint(mask_runs.join(labels.hint("merge"), ["image_id", "mask_id"]), "value", highest=False)  # runs are generated: no broadcast
 
 
 def tile_grid_full_only(images: DataFrame, labelled: DataFrame, tile: int) -> DataFrame:

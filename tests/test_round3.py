@@ -40,3 +40,55 @@ def test_parts_end_where_the_sql_ends_them(spark, shifted, name):
         con.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{shifted}/{table}.parquet/*.parquet'")
     outcome = compare(name, spark, con, shifted, entry.queries(), entry.oracle_sql())
     assert outcome.startswith("ok"), outcome
+
+
+def joins(df):
+    """Names of the joins in the plan that Spark would run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {name for name in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "SortMergeJoin") if name in plan}
+
+
+def runs(spark, rows, *columns):
+    return spark.createDataFrame(rows, ", ".join(["image_id bigint", "y int", "x_start int", "x_end int", *columns]))
+
+
+def test_painting_broadcasts_no_runs(spark):
+    """The cuts of a row were joined to its runs, which Spark took for small; now painting joins nothing."""
+    painted = M.paint(runs(spark, [(1, 0, 0, 9, 1), (1, 0, 4, 70, 2), (1, 0, 4, 5, 7), (1, 0, 80, 81, None)], "v int"), "v")
+    assert not joins(painted)
+    assert sorted(tuple(r) for r in painted.collect()) == [(1, 0, 0, 3, 1), (1, 0, 4, 5, 7), (1, 0, 6, 9, 2), (1, 0, 10, 63, 2), (1, 0, 64, 70, 2), (1, 0, 80, 81, None)]
+
+
+def test_painted_runs_meet_their_labels_by_merge(spark):
+    mask_runs = runs(spark, [(1, 0, 0, 9, 5), (1, 0, 4, 12, 6)], "mask_id bigint")
+    masks = spark.createDataFrame([(1, 5, 10, 2, 0), (1, 6, 9, 2, 1)], "image_id bigint, mask_id bigint, area bigint, n bigint, rank0 bigint")
+    painted = M.paint_order_unique_area(mask_runs, masks)
+    assert joins(painted) == {"SortMergeJoin"}
+    assert sorted(tuple(r) for r in painted.collect()) == [(1, 0, 0, 3, 2), (1, 0, 4, 9, 1), (1, 0, 10, 12, 1)]
+
+
+def test_region_intensity_opens_scanlines_not_a_pixel_join(spark):
+    labelled = runs(spark, [(1, 0, 1, 3, 9), (1, 1, 0, 0, 9)], "region bigint")
+    rows = spark.createDataFrame([(1, 0, [5, 1, 2, 9]), (1, 1, [4, 0, 0, 0])], "image_id bigint, y int, `values` array<int>")
+    assert tuple(C.region_intensity(labelled, rows).select("v_min", "v_mean", "v_max", "v_median").first()) == (1.0, 4.0, 9.0, 3.0)
+
+
+def test_stretched_scanlines_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, y, [[x, 2 * x] for x in range(30)]) for y in range(3)], "image_id bigint, y int, bands array<array<int>>")
+    stretched = RA.stretch_rows(rows)
+    top = stretched._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")
+    assert len(top) > 1 and "BroadcastHashJoin" not in top[0]
+
+
+def test_reprojected_pixels_are_not_broadcast(spark):
+    found = entry.queries()["reproject_nearest"](spark, SMALL)
+    assert joins(found) == {"SortMergeJoin"}
+
+
+def test_weighted_values_stand_for_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 37) % 11).cast("double").alias("v"))
+    folded = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    probs = {"a": 0.02, "b": 0.5, "c": 0.98}
+    assert sorted(exact_quantiles(df, ["k"], F.col("v"), probs).collect()) == sorted(exact_quantiles(folded, ["k"], F.col("v"), probs, weight=F.col("n")).collect())
+    shown = RA.stretch_2_98(folded, ["k"], F.col("n")).groupBy("k", "level").agg(F.sum("n").alias("n"))
+    assert sorted(shown.collect()) == sorted(RA.stretch_2_98(df, ["k"]).groupBy("k", "level").agg(F.count("*").alias("n")).collect())
