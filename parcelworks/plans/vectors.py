@@ -33,7 +33,7 @@ def mapped(t):
 
 @query("label_image_join", f"SELECT feature_id, image_id FROM {meeting(MAPPED, IMAGE_BOX, 'image_id')}", "feature_edges features images")
 def _(t):
-    return V.ring_box_join(mapped(t).drop("image_id"), V.image_boxes(t.images), 64.0).select("feature_id", "image_id")
+    return V.folded_ring_box_join(mapped(t), V.image_boxes(t.images), "image_id", 64.0)
 
 
 @query("overlap_report", f"""SELECT image_id, image_name, coalesce(n, 0) AS overlap_polygon_count, coalesce(n, 0) > 0 AS has_overlap FROM images
@@ -50,7 +50,7 @@ def _(t):
     tiles = tiling.with_footprint(tiling.tile_grid(t.images, 64, 0))
     name = F.concat_ws("/", F.col("image_id").cast("string"), F.col("x0").cast("string"), F.col("y0").cast("string"))
     boxes = tiles.select(name.alias("tile"), F.col("west").alias("x1"), F.col("south").alias("y1"), F.col("east").alias("x2"), F.col("north").alias("y2"))
-    return V.ring_box_join(mapped(t), boxes, 32.0).select("feature_id", "tile")
+    return V.folded_ring_box_join(mapped(t), boxes, "tile", 32.0)
 
 
 def drawn(t):

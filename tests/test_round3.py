@@ -107,3 +107,16 @@ def test_equal_boxes_and_rings_meet_once(spark, monkeypatch):
     found = {r.image_id: (r.overlap_polygon_count, r.has_overlap) for r in V.overlap_report(images, features, 64.0).collect()}
     assert found == {i: (20, True) for i in range(10)} | {10: (0, False)}
     assert pairs[0].count() == 1
+
+
+def test_folded_join_opens_every_pair(spark, monkeypatch):
+    from parcelworks.operators import vector as V
+
+    boxes = spark.createDataFrame([(k, 0.0, 0.0, 10.0, 10.0) for k in range(6)] + [(9, 90.0, 90.0, 99.0, 99.0)], "box bigint, x1 double, y1 double, x2 double, y2 double")
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 1.0), (4.0, 1.0), (4.0, 14.0), (1.0, 1.0))))
+    features = spark.range(6).select(F.col("id").alias("feature_id"), F.when(F.col("id") < 5, ring).alias("ring"))
+    pairs, plain = [], V.ring_box_join
+    monkeypatch.setattr(V, "ring_box_join", lambda *a: pairs.append(plain(*a)) or pairs[-1])
+    found = sorted(tuple(r) for r in V.folded_ring_box_join(features, boxes, "box", 64.0).collect())
+    assert found == [(f, b) for f in range(5) for b in range(6)]
+    assert pairs[0].count() == 1
