@@ -15,9 +15,10 @@ from pyspark.sql import Window as W
 from parcelworks.functions import bbox as B
 from parcelworks.functions.bbox import Box
 from parcelworks.operators.detections import levels_for, size_level, with_cells
-from parcelworks.session import materialize
+from parcelworks.session import materialize, spread
 
 SIDES = ["x1", "y1", "x2", "y2"]
+FEW = 40  # boxes of an image up to which plain numbers are faster than arrays
 
 
 def _is_empty(df: DataFrame) -> bool:
@@ -194,13 +195,53 @@ def group_proposals(
 
     ``proposals``: group, key, box. Each step changes what is closest in its image, so an image is
     one group; it holds each box and its nearest partner, nothing in the square of their number.
+    Images come one after the other in the order of a task's rows, so many small ones cost no call each.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        box, members, alive = pdf[SIDES].to_numpy(float), [[int(k)] for k in pdf["key"]], np.ones(len(pdf), bool)
+    infinite = float("inf")
+
+    def few(box: list, reach: list, keys: list) -> tuple[list, list]:
+        """The steps of ``many`` in plain numbers, for the images whose boxes are too few to pay for array calls."""
+        count, members = len(box), [[k] for k in keys]
+        alive, cost, partner = [True] * count, [infinite] * count, [0] * count
+
+        def gap(i: int, j: int) -> float:
+            a, b = box[i], box[j]
+            across, down = max(a[2], b[2]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[1], b[1])
+            if across / width > side_ratio or down / height > side_ratio or across * down / (width * height) > area_ratio:
+                return infinite
+            apart = max(max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3]))
+            if apart < 0:
+                return 0.0
+            return apart if apart <= gap_ratio * (reach[i] + reach[j]) / 2 else infinite
+
+        def nearest(i: int) -> None:
+            cost[i] = infinite
+            for j in range(i + 1, count):
+                if alive[j] and (to := gap(i, j)) < cost[i]:
+                    cost[i], partner[i] = to, j
+
+        for i in range(count):
+            nearest(i)
+        while count and (least := min(cost)) < infinite:
+            i = cost.index(least)
+            j, a, b = partner[i], box[i], box[partner[i]]
+            box[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+            reach[i] = max(float(np.hypot(box[i][2] - box[i][0], box[i][3] - box[i][1])), 1.0)
+            members[i] += members[j]
+            alive[j], cost[j] = False, infinite
+            for k in range(count):
+                if k == i or (alive[k] and cost[k] < infinite and (partner[k] == i or partner[k] == j)):
+                    nearest(k)
+            for k in range(i):
+                if alive[k] and ((to := gap(k, i)), i) < (cost[k], partner[k]) and to < infinite:
+                    cost[k], partner[k] = to, i
+        return [x for x, a in zip(box, alive, strict=True) if a], [m for m, a in zip(members, alive, strict=True) if a]
+
+    def many(box: np.ndarray, keys: list) -> tuple[list, list]:
+        members, alive = [[k] for k in keys], np.ones(len(box), bool)
 
         def gaps(i: int) -> np.ndarray:
             """Gap from box i to every other box, infinite where the two may not be joined."""
@@ -235,13 +276,59 @@ def group_proposals(
             for k in np.flatnonzero(to[:i] < np.inf):
                 if (to[k], i) < (cost[k], partner[k]):
                     cost[k], partner[k] = to[k], i
-        box, members = box[alive], [m for m, a in zip(members, alive, strict=True) if a]
-        return pd.DataFrame({group: pdf[group].iloc[0], "first_key": [min(m) for m in members], "members": [len(m) for m in members],
-                             "ids": [",".join(map(str, sorted(m))) for m in members], **{s: box[:, n] for n, s in enumerate(SIDES)}})
+        return box[alive].tolist(), [m for m, a in zip(members, alive, strict=True) if a]
+
+    def merge(table: pa.Table) -> pa.RecordBatch:
+        """All groups of ``table``, which holds each of its groups whole and in key order."""
+        names, keys = table.column(0).combine_chunks(), table.column(1).to_pylist()
+        codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        boxes = np.stack([table.column(2 + n).to_numpy() for n in range(4)], axis=1).astype(float)
+        reach = np.maximum(np.hypot(*(boxes[:, 2:] - boxes[:, :2]).T), 1.0).tolist()
+        plain, known = boxes.tolist(), np.isfinite(boxes).all(axis=1)
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        at, first, size, ids, joined = [], [], [], [], []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high - low <= FEW and known[low:high].all():
+                found, members = few(plain[low:high], reach[low:high], keys[low:high])
+            else:
+                found, members = many(boxes[low:high].copy(), keys[low:high])
+            at += [low] * len(found)
+            joined += found
+            first += [min(m) for m in members]
+            size += [len(m) for m in members]
+            ids += [",".join(map(str, sorted(m))) for m in members]
+        sides = np.array(joined, float).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays(
+            [names.take(pa.array(at, pa.int64())), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.string()), *(pa.array(np.ascontiguousarray(sides[:, n])) for n in range(4))],
+            [group, "first_key", "members", "ids", *SIDES],
+        )
+
+    def run(batches):
+        held = []  # slices of the group that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0)
+            codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            same = bool(held) and held[0].column(0)[0].as_py() == names[0].as_py()
+            turns = np.flatnonzero(np.diff(codes)) + 1
+            if held and (not same or len(turns)):
+                whole = int(turns[-1]) if len(turns) else 0
+                yield merge(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = [batch.slice(whole)]
+            elif len(turns):
+                yield merge(pa.Table.from_batches([batch.slice(0, int(turns[-1]))]))
+                held = [batch.slice(int(turns[-1]))]
+            else:
+                held.append(batch)
+        if held:
+            yield merge(pa.Table.from_batches(held))
 
     kind = dict(proposals.dtypes)[group]
     schema = f"{group} {kind}, first_key bigint, members bigint, ids string, x1 double, y1 double, x2 double, y2 double"
-    merged = proposals.select(group, "key", *SIDES).groupBy(group).applyInPandas(merge, schema)
+    columns = [group, F.col("key").cast("bigint").alias("key"), *(F.col(c).cast("double").alias(c) for c in SIDES)]
+    # the count of parts is given: the rows are few, the work on them is not
+    merged = spread(proposals.select(*columns), group).sortWithinPartitions(group, "key").mapInArrow(run, schema)
     padded = B.pad(Box.of(), F.lit(float(width)), F.lit(float(height)), B.pad_amount(Box.of(), pad_ratio, pad_min))
     return merged.select(group, "first_key", "members", "ids", *padded.columns())
 

@@ -155,7 +155,8 @@ def _(t):
 @query("group_sort")
 def _(t):
     """Groups by padded area, then member count, both descending."""
-    grouped = G.group_proposals(proposals(t), "image_id", 256.0, 256.0)
+    # written once: an order over everything samples its rows first and would group them twice
+    grouped = materialize(G.group_proposals(proposals(t), "image_id", 256.0, 256.0), "groups")
     return grouped.select("image_id", "first_key", "members", BOX.area.alias("area")).orderBy(F.col("area").desc(), F.col("members").desc(), "image_id", "first_key")
 
 

@@ -1,9 +1,12 @@
 """Cases of the fourth round: the registry without a session, and what large inputs must keep."""
 
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+from parcelworks.operators import greedy as G
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -12,3 +15,23 @@ def test_registry_needs_no_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and len(e.oracle_sql()) > 150"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_grouping_of_many_small_images(spark, monkeypatch):
+    """Plain numbers and arrays give the same groups, whatever batch an image is cut by; no call for each image."""
+    rng = random.Random(11)
+    rows = []
+    for image in [None, *range(60)]:
+        for key in range(1 + (image or 0) % 45):
+            x, y = rng.randint(0, 200), rng.randint(0, 200)
+            rows.append((image, 1000 * (image or 0) + key, float(x), float(y), float(x + rng.randint(4, 40)), float(y + rng.randint(4, 40))))
+    boxes = spark.createDataFrame(rows, "image_id long, key long, x1 double, y1 double, x2 double, y2 double")
+    grouped = lambda: G.group_proposals(boxes, "image_id", 256.0, 256.0)
+    assert "FlatMapGroups" not in grouped()._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    found = []
+    for few in (0, 20, 1000):
+        monkeypatch.setattr(G, "FEW", few)
+        found.append(sorted(map(repr, grouped().collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
