@@ -167,7 +167,7 @@ def passes(t):
 
 @query("cross_pass_anti_join", f"SELECT DISTINCT image_id, mask_id FROM {SECOND} WHERE mask_id NOT IN (SELECT id_b FROM {METRICS.format(overlaps=OVERLAPS.format(left=FIRST, right=SECOND, extra=''))} WHERE iou >= 0.45 OR smaller_coverage >= 0.75 OR second_coverage >= 0.65)", "instance_runs")
 def _(t):
-    return M.cross_pass_anti_join(*passes(t)).select("image_id", "mask_id").distinct()
+    return M.unrepeated(*passes(t))
 
 
 @query("union_passes", f"""SELECT image_id, mask_id, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS paint_pass FROM (SELECT DISTINCT image_id, mask_id, score FROM instance_runs)""", "instance_runs")
