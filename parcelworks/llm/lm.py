@@ -5,8 +5,9 @@ over the cluster. A count c is stored as its level 1 + floor(log2 c): the filter
 (n-gram, 1), (n-gram, 2), ... until the first miss gives the level back, too high only with the filter's small error at each probe.
 
 The filter is broadcast, so its size has a bound, ``BITS``. What it holds is chosen by one rule at every size: the n-grams whose
-level is at least the lowest for which all items fit with ``BITS_PER_ITEM`` bits each. Those below are counted too; words among them
-share the average count of all words the filter leaves out. The probability of a word after another is
+level is at least the lowest for which all items fit with ``BITS_PER_ITEM`` bits each. Those below are not lost: where a text's n-gram
+is not in the filter, its level comes from a join with the written counts, so a score does not depend on the filter's size. What is
+joined is rare, so no key of that join is hot. The probability of a word after another is
 
     (count of the pair + STRENGTH * p(word)) / (count of the first word + STRENGTH),  p(word) = (count + 0.1) / (N + 0.1 (V + 1))
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,27 +140,49 @@ def train(texts: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
         least += 1
     words = [r for r in by_level if r["word"]]
     total, kinds = sum(r["n"] for r in words), sum(r["grams"] for r in words)
-    out, out_kinds = sum(r["n"] for r in words if r["level"] < least), sum(r["grams"] for r in words if r["level"] < least)
-    model = {"filter": build_filter(counts, least), "least": least, "tokens": total, "kinds": kinds, "rest": (out + 0.1) / (out_kinds + 1)}
-    return counts, model
+    return counts, {"filter": build_filter(counts, least), "least": least, "tokens": total, "kinds": kinds}
 
 
-def text_scores(model: dict, found: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """log10 probability of every text."""
-    mean = np.concatenate([[0.0], [(2.0 ** (k - 1) + 2.0**k - 1) / 2 for k in range(1, MAX_LEVEL)]])
-    base = model["tokens"] + 0.1 * (model["kinds"] + 1)
+def filter_levels(model: dict, grams: np.ndarray) -> np.ndarray:
+    distinct, back = np.unique(grams, return_inverse=True)
+    return levels(model["filter"], distinct, model["least"])[back]
 
-    def counts(grams: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(grams, return_inverse=True)
-        return mean[levels(model["filter"], distinct, model["least"])][back]
 
-    word = counts(found)
-    single = (np.where(word > 0, word, model["rest"]) + 0.1) / base
-    two = pairs(found, firsts)
+def text_scores(model: dict, word: np.ndarray, pair: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """log10 probability of every text from the levels of its tokens and of the pairs that end there."""
+    mean = np.concatenate([[0.0], [(2.0 ** (k - 1) + 2.0**k - 1) / 2 for k in range(1, MAX_LEVEL)]])
+    if len(firsts) < 2:
+        return np.zeros(0)
+    word = mean[word]
+    single = (np.where(word > 0, word, 0.1) + 0.1) / (model["tokens"] + 0.1 * (model["kinds"] + 1))
     before = np.concatenate([[0.0], word[:-1]])
-    pair = np.minimum(np.where(two != 0, counts(two), 0.0), before)
-    chance = np.where(two != 0, (pair + STRENGTH * single) / (before + STRENGTH), single)
-    return np.add.reduceat(np.log10(chance), firsts[:-1]) if len(firsts) > 1 else np.zeros(0)
+    chance = (np.minimum(mean[pair], before) + STRENGTH * single) / (before + STRENGTH)
+    chance[firsts[:-1]] = single[firsts[:-1]]  # no token before
+    return np.add.reduceat(np.log10(chance), firsts[:-1])
+
+
+def with_missed_levels(read: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
+    """``read`` with the score of every row: levels below the filter's least are joined to the places that asked for them."""
+    asked = read.select("key", F.explode("asked").alias("a")).select("key", "a.at", "a.gram")
+    below = counts.where(F.col("level") < model["least"]).select("gram", F.col("level").cast("tinyint").alias("level"))
+    found = asked.join(below.hint("merge"), "gram").groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("at", "level")).alias("found"))
+    joined = read.drop("asked").join(found, F.col("key") == F.col("_k"), "left").drop("_k")
+    shared = read.sparkSession.sparkContext.broadcast({k: model[k] for k in ("tokens", "kinds")})
+    keep = [c for c in joined.columns if c not in ("levels", "found", "score")]
+    kinds = dict(joined.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "levels"):
+                stored, found = part.column("levels"), part.column("found")
+                firsts = np.concatenate([[0], np.cumsum(pc.binary_length(stored).to_numpy())])
+                level = np.frombuffer(b"".join(stored.to_pylist()), np.uint8).copy()
+                places = pc.list_flatten(found)
+                at = np.repeat(firsts[:-1], pc.fill_null(pc.list_value_length(found), 0).to_numpy()) + pc.struct_field(places, "at").to_numpy()
+                level[at] = pc.struct_field(places, "level").to_numpy().astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(text_scores(shared.value, level[0::2], level[1::2], firsts // 2))], [*keep, "score"])
+
+    return joined.select(*keep, "levels", "found").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double")
 
 
 def score(docs: DataFrame, counts: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
@@ -184,20 +208,35 @@ def score(docs: DataFrame, counts: DataFrame, model: dict, keep: list[str], text
                 sums = lambda x: np.add.reduceat(x, firsts[:-1])
                 rare = ~common
                 cuts = np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64)))])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(firsts)), pa.array(sums(common.astype(np.int64))), pa.array(sums(share)), pa.array(text_scores(model, found, firsts)),
-                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(code[rare]))],
-                    ["row", "n_tokens", "common", "share", "score", "rare"],
-                )
-
-    read = rows.mapInArrow(run, f"row {kind}, n_tokens long, common long, share double, score double, rare array<long>")
+                two = pairs(found, firsts)
+                level = np.zeros((len(found), 2), np.uint8)  # of the token, of its pair
+                level[:, 0], level[:, 1] = filter_levels(model, found), np.where(two != 0, filter_levels(model, two), 0)
+                columns = [part.column(0), pa.array(np.diff(firsts)), pa.array(sums(common.astype(np.int64))), pa.array(sums(share)),
+                           pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(code[rare]))]
+                if whole:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(text_scores(model, level[:, 0], level[:, 1], firsts))], [*names, "score"])
+                    continue
+                # a common token's count is here; the other tokens and pairs that the filter does not hold are asked for
+                here = common & (level[:, 0] == 0)
+                level[here, 0] = np.frexp(counted[at[here]].astype(float))[1]  # 1 + floor(log2 n)
+                missed = (level == 0) & np.stack([rare, two != 0], axis=1)
+                place = np.arange(2 * len(found)).reshape(-1, 2) - 2 * np.repeat(firsts[:-1], np.diff(firsts))[:, None]
+                asked = np.concatenate([[0], np.cumsum(sums(missed.sum(1)))])
+                wanted = pa.StructArray.from_arrays([pa.array(place[missed].astype(np.int32)), pa.array(np.stack([code, two.view(np.int64)], axis=1)[missed])], ["at", "gram"])
+                stored = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((2 * firsts).astype(np.int32)), pa.py_buffer(level)])
+                yield pa.RecordBatch.from_arrays([*columns, stored, pa.ListArray.from_arrays(pa.array(asked, pa.int32()), wanted)], [*names, "levels", "asked"])
+
+    names, whole = ["row", "n_tokens", "common", "share", "rare"], model["least"] == 1
+    more = "score double" if whole else "levels binary, asked array<struct<at:int,gram:long>>"
+    read = rows.mapInArrow(run, f"row {kind}, n_tokens long, common long, share double, rare array<long>, {more}")
     read = materialize(read.withColumn("key", F.monotonically_increasing_id()), "scored")
     single = read.select("key", F.explode("rare").alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("times"))
     known = single.join(words.where(F.col("n") * FREQUENT < total), "gram", "left")
     tail = known.groupBy(F.col("key").alias("k")).agg(
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - scale)).alias("tail"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen")
     )
-    out = read.drop("rare").join(tail, F.col("key") == F.col("k"), "left")
+    scored = read.drop("rare") if whole else with_missed_levels(read.drop("rare"), counts, model)
+    out = scored.join(tail, F.col("key") == F.col("k"), "left")
     zero = F.lit(0).cast("long")
     return out.select("row", "n_tokens", (F.col("common") + F.coalesce("seen", zero)).alias("n_known"), (F.col("share") + F.coalesce("tail", F.lit(0.0))).alias("base_score"), "score")
 

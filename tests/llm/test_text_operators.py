@@ -394,3 +394,19 @@ def test_pipeline_run(spark):
     rows = out.collect()
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0 < len(rows) < documents and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_language_model_scores_do_not_depend_on_the_filter_size(spark, monkeypatch):
+    """A filter too small for all levels leaves the rest to a join: the scores stay those of a filter that holds everything."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 80")
+    monkeypatch.setattr(lm, "BITS_PER_ITEM", 64)
+    found = []
+    for bits in (1 << 24, 1 << 16):
+        monkeypatch.setattr(lm, "BITS", bits)
+        monkeypatch.setattr(lm, "BLOCKS", bits // lm.BLOCK_BITS)
+        counts, model = lm.train(docs)
+        rows = lm.score(docs, counts, model, ["doc_id"]).collect()
+        found.append((model["least"], {r.row.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in rows}))
+    (one, full), (some, small) = found
+    assert one == 1 and some > 1 and full.keys() == small.keys() and len(full) > 20
+    assert all(a[:2] == small[k][:2] and abs(a[2] - small[k][2]) < 1e-6 * abs(a[2]) and abs(a[3] - small[k][3]) < 1e-3 * abs(a[3]) for k, a in full.items())
