@@ -6,8 +6,8 @@ over the cluster. A count c is stored as its level 1 + floor(log2 c): the filter
 
 The filter is broadcast, so its size has a bound, ``BITS``. What it holds is chosen by one rule at every size: the n-grams whose
 level is at least the lowest for which all items fit with ``BITS_PER_ITEM`` bits each. Those below are not lost: where a text's n-gram
-is not in the filter, its level comes from a join with the written counts, so a score does not depend on the filter's size. What is
-joined is rare, so no key of that join is hot. The probability of a word after another is
+is not in the filter but in a second one, of those below, its level comes from a join with the written counts, so a score does not
+depend on the filter's size. What is joined is rare, so no key of that join is hot. The probability of a word after another is
 
     (count of the pair + STRENGTH * p(word)) / (count of the first word + STRENGTH),  p(word) = (count + 0.1) / (N + 0.1 (V + 1))
 
@@ -140,7 +140,9 @@ def train(texts: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
         least += 1
     words = [r for r in by_level if r["word"]]
     total, kinds = sum(r["n"] for r in words), sum(r["grams"] for r in words)
-    return counts, {"filter": build_filter(counts, least), "least": least, "tokens": total, "kinds": kinds}
+    # the n-grams below the least level, so that a text asks the join for those only; where many crowd this filter, it asks for more
+    below = build_filter(counts.where(F.col("level") < least).select("gram", F.lit(1).alias("level")), 1) if least > 1 else None
+    return counts, {"filter": build_filter(counts, least), "least": least, "below": below, "tokens": total, "kinds": kinds}
 
 
 def filter_levels(model: dict, grams: np.ndarray) -> np.ndarray:
@@ -219,10 +221,11 @@ def score(docs: DataFrame, counts: DataFrame, model: dict, keep: list[str], text
                 # a common token's count is here; the other tokens and pairs that the filter does not hold are asked for
                 here = common & (level[:, 0] == 0)
                 level[here, 0] = np.frexp(counted[at[here]].astype(float))[1]  # 1 + floor(log2 n)
-                missed = (level == 0) & np.stack([rare, two != 0], axis=1)
+                missed, asking = (level == 0) & np.stack([rare, two != 0], axis=1), np.stack([found, two], axis=1)
+                missed[missed] = levels(model["below"], asking[missed], 1) > 0
                 place = np.arange(2 * len(found)).reshape(-1, 2) - 2 * np.repeat(firsts[:-1], np.diff(firsts))[:, None]
                 asked = np.concatenate([[0], np.cumsum(sums(missed.sum(1)))])
-                wanted = pa.StructArray.from_arrays([pa.array(place[missed].astype(np.int32)), pa.array(np.stack([code, two.view(np.int64)], axis=1)[missed])], ["at", "gram"])
+                wanted = pa.StructArray.from_arrays([pa.array(place[missed].astype(np.int32)), pa.array(asking[missed].view(np.int64))], ["at", "gram"])
                 stored = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((2 * firsts).astype(np.int32)), pa.py_buffer(level)])
                 yield pa.RecordBatch.from_arrays([*columns, stored, pa.ListArray.from_arrays(pa.array(asked, pa.int32()), wanted)], [*names, "levels", "asked"])
 
