@@ -27,7 +27,7 @@ def as_runs(pixels):
 
 
 def field(t):
-    return M.binary_runs(t.mask_rows, [1, 2])
+    return M.binary_runs(t.mask_blocks, [1, 2])
 
 
 RUN = ["image_id", "y", "x_start", "x_end"]
