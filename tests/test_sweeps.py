@@ -114,3 +114,33 @@ def test_band_is_one_run_for_an_edge_and_row(spark):
             least = min(away(x + u, y + v, a, b) for a, b in zip(ring, ring[1:]) for u, v in [(s, t) for s in steps for t in (0, 1)] + [(t, s) for s in steps for t in (0, 1)])
             if abs(least - 1.5) > 0.03:
                 assert ((y, x) in found) == (least <= 1.5), (y, x, least)
+
+
+@pytest.mark.parametrize("reach", [0, 1])
+def test_regions_of_many_blocks(spark, small_batches, reach):
+    """Labelled against a flood fill, across blocks and null images; before, every block was a pandas group of its own."""
+    from parcelworks.operators import components as C
+
+    rng = random.Random(reach)
+    cells = {(i, y, x) for i in (None, 1, 2) for y in range(-70, 140) for x in range(24) if rng.random() < 0.55}
+    begin, end = maximal(cells)
+    place = lambda p: (p[0] or 0, p[1], p[2])
+    runs = spark.createDataFrame([(*b, e[2]) for b, e in zip(sorted(begin, key=place), sorted(end, key=place))], RUN)
+    labelled = C.connected_components(runs.filter("image_id IS NOT NULL"), 8 if reach else 4)
+    found = {(r.image_id, r.y, x): r.region for r in labelled.collect() for x in range(r.x_start, r.x_end + 1)}
+    assert set(found) == {c for c in cells if c[0] is not None}
+    todo = set(found)
+    while todo:
+        region, stack = set(), [todo.pop()]
+        while stack:
+            i, y, x = stack.pop()
+            region.add((i, y, x))
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    n = (i, y + dy, x + dx)
+                    if n in todo and (reach or dx * dy == 0):
+                        todo.remove(n)
+                        stack.append(n)
+        assert len({found[c] for c in region}) == 1
+    assert len({(c[0], v) for c, v in found.items()}) > 20
+    assert "FlatMapGroups" not in C._block_labels(runs, ["image_id"], reach)._jdf.queryExecution().toString()
