@@ -166,3 +166,28 @@ def test_many_regions_are_traced_at_once(spark, small_batches):
     for k in range(200):
         assert parted[2, k] == joined[2, k] == [[(3 * k, 0), (3 * k + 2, 0), (3 * k + 2, k % 5 + 1), (3 * k, k % 5 + 1), (3 * k, 0)]]
     assert "_runs" in V.vectorize(runs)._jdf.queryExecution().toString()
+
+
+def test_pixel_work_is_compiled(spark):
+    """band_stats and ignore_overlay looked at every pixel through functions over arrays, which Spark interprets; build_patches joined arrays of bands."""
+    import __spark_entry__ as entry
+
+    for name, banned in (("band_stats", ("forall", "exists(", "transform(")), ("ignore_overlay", ("forall", "exists(", "transform(", "Join")), ("build_patches", ("forall", "exists(", "zip_with"))):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not [w for w in banned if w in plan], name
+
+
+def test_window_counts_against_pixels(spark):
+    from parcelworks.operators import tiling
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(3)
+    rows = [(i, w, h, y, [rng.choice([0, 1, 2, 255, None, 9]) for _ in range(w)]) for i, w, h in ((1, 100, 70), (2, 30, 20), (None, 49, 48)) for y in range(h)]
+    lines = spark.createDataFrame(rows, "image_id long, width int, height int, y int, cls array<int>")
+    found = tiling.patch_counts(lines, 48, 8).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    windows = {(r.image_id, r.x0, r.y0) for r in tiling.tile_grid(lines.select("image_id", "width", "height").distinct(), 48, 8).collect()}
+    assert {(r.image_id, r.x0, r.y0) for r in found} == windows
+    for r in found:
+        seen = [v for i, w, h, y, cls in rows if i == r.image_id and r.y0 <= y < r.y0 + 48 for v in cls[r.x0 : r.x0 + 48]]
+        assert [r.n_background, r.n_interior, r.n_boundary, r.n_ignore, r.n_total] == [*(seen.count(v) for v in (0, 1, 2, 255)), len(seen)]
