@@ -179,12 +179,15 @@ def test_pixel_work_is_compiled(spark):
 
 def test_window_counts_against_pixels(spark):
     from parcelworks.operators import tiling
+    from parcelworks.sources import tables
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rng = random.Random(3)
     rows = [(i, w, h, y, [rng.choice([0, 1, 2, 255, None, 9]) for _ in range(w)]) for i, w, h in ((1, 100, 70), (2, 30, 20), (None, 49, 48)) for y in range(h)]
     lines = spark.createDataFrame(rows, "image_id long, width int, height int, y int, cls array<int>")
     found = tiling.patch_counts(lines, 48, 8).collect()
+    pixels = lines.select("image_id", "width", "height", "y", tables.F.posexplode("cls").alias("x", "cls"))
+    assert sorted(map(repr, tiling.pixel_patch_counts(pixels, 48, 8).select(*found[0].__fields__).collect())) == sorted(map(repr, found))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     windows = {(r.image_id, r.x0, r.y0) for r in tiling.tile_grid(lines.select("image_id", "width", "height").distinct(), 48, 8).collect()}
     assert {(r.image_id, r.x0, r.y0) for r in found} == windows
