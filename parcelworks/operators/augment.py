@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,9 +88,25 @@ def scale_rows(rows: DataFrame, factor: Column, value: str = "cls", fill: int =
         F.transform(fed, lambda i: F.struct(i.alias("row"), F.lit(False).alias("pad"))), F.transform(given, lambda i: F.struct(i.alias("row"), F.lit(True).alias("pad")))
     )
     opened = sized.withColumn("_targets", targets).filter(F.size("_targets") > 0).withColumn("_t", F.explode_outer("_targets"))
-    picked = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(value, source(i, "width")), F.lit(fill)))
-    filled = F.when(F.col("_t.pad"), F.array_repeat(F.lit(fill), F.col("width"))).otherwise(picked)
-    return opened.select(*(filled.alias(c) if c == value else F.col("_t.row").alias(c) if c == "y" else F.col(c) for c in rows.columns))
+    ready = opened.select(*(F.col("_t.row").alias(c) if c == "y" else F.col(c) for c in rows.columns), "_new_width", "_shift_width", F.col("_t.pad").alias("_pad"))
+    names, at, wide_at = rows.columns, rows.columns.index(value), rows.columns.index("width")
+
+    def pick(batches):
+        for batch in batches:
+            width, new, shift = (batch.column(n).to_numpy().astype(np.int64) for n in (wide_at, len(names), len(names) + 1))
+            pad = batch.column(len(names) + 2).to_numpy(zero_copy_only=False)
+            values, size = batch.column(at).flatten(), pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), width)
+            begin = np.cumsum(width) - width
+            position = np.arange(len(row)) - begin[row] - shift[row]
+            source = np.minimum(np.floor((position + 0.5) * width[row] / new[row]).astype(np.int64), width[row] - 1)
+            inside = (position >= 0) & (position < new[row]) & ~pad[row] & (source < size[row])
+            found = values.take(pa.array((np.cumsum(size) - size)[row] + source, mask=~inside)).fill_null(fill)
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return ready.mapInArrow(pick, rows.schema)
 
 
 def photometric(pixels: DataFrame, brightness: Column, contrast: Column, noise: float, seed: int) -> DataFrame:

@@ -120,8 +120,8 @@ def scaled_axis(i, size):
   LEFT JOIN mask_pixels m ON m.image_id = g.image_id AND m.y = g.sy AND m.x = g.sx GROUP BY ALL""", "mask_pixels grid")
 def _(t):
     scaled = augment.scale_rows(t.mask_rows, (F.lit(0.85) + (F.col("image_id") % 7) * F.lit(0.05)).cast("double"))
-    checksum = F.aggregate(F.transform("cls", lambda v, x: v * (x + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return scaled.select("image_id", "y", F.size("cls").cast("bigint").alias("pixels"), checksum.alias("checksum"))
+    pixels = scaled.select("image_id", "y", F.posexplode_outer("cls").alias("x", "cls"))
+    return pixels.groupBy("image_id", "y").agg(F.count("*").alias("pixels"), F.sum(F.col("cls") * (F.col("x") + 1)).alias("checksum"))
 
 
 CLIP = "least(greatest({0}, 0), 255)"

@@ -194,3 +194,29 @@ def test_window_counts_against_pixels(spark):
     for r in found:
         seen = [v for i, w, h, y, cls in rows if i == r.image_id and r.y0 <= y < r.y0 + 48 for v in cls[r.x0 : r.x0 + 48]]
         assert [r.n_background, r.n_interior, r.n_boundary, r.n_ignore, r.n_total] == [*(seen.count(v) for v in (0, 1, 2, 255)), len(seen)]
+
+
+def test_scaling_in_batches(spark, small_batches):
+    """Scanlines of several sizes and factors against a plain loop, with nulls and padding; before, every pixel went through interpreted functions."""
+    from parcelworks.operators import augment
+    from parcelworks.operators.augment import F
+
+    rng = random.Random(2)
+    rows = [(i, 11 + i, 9 + i, y, [rng.choice([0, 1, None, 7]) for _ in range(11 + i)], f) for i, f in ((1, 0.6), (2, 1.0), (3, 1.7), (4, 0.05)) for y in range(9 + i)]
+    lines = spark.createDataFrame(rows, "image_id long, width int, height int, y int, cls array<int>, f double")
+    scaled = augment.scale_rows(lines, F.col("f"))
+    assert "_new_width" in scaled._jdf.queryExecution().toString() and "coalesce(get" not in scaled._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.image_id, r.y): list(r.cls) for r in scaled.collect()}
+    image = {(r[0], r[3]): r[4] for r in rows}
+
+    def source(i, size, f):
+        new = max(round(size * f), 1)
+        shift = -max((new - size) // 2, 0) if f >= 1 else (size - new) // 2
+        at = i - shift
+        return min(int((at + 0.5) * size / new), size - 1) if 0 <= at < new else None
+
+    for i, w, h, y, _, f in rows:
+        sy = source(y, h, f)
+        want = [255 if sy is None or (sx := source(x, w, f)) is None or image[i, sy][sx] is None else image[i, sy][sx] for x in range(w)]
+        assert found[i, y] == want, (i, y)
+    assert len(found) == len(rows)
