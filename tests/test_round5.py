@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelworks.operators import shape as S
+from parcelworks.operators import crowns as CR, masks as M, shape as S, vector as V
 from test_shapes import convex, filled, perimeter, runs_of
 
 
@@ -40,3 +40,74 @@ def test_convex_areas_of_many():
         parts.append((np.full(len(y), k), y, low, low + rng.integers(0, 60, len(y))))
     many = S.convex_areas(*(np.concatenate(c) for c in zip(*parts)))
     assert many.tolist() == [S.hull_measures(y, lo, hi)[0] for _, y, lo, hi in parts]
+
+
+def test_stitch_of_split_pieces(spark):
+    """Pieces whose rows lie in many tasks and batches, chains over several tiles, a mask without an image; what is joined are packets."""
+    rng = np.random.default_rng(4)
+    masks = {k: (int(rng.integers(0, 60)), int(rng.integers(0, 60)), int(rng.integers(5, 50)), int(rng.integers(5, 50))) for k in range(40)}
+    rows = [(None if k == 7 else k, k, 0.5, y, x0, x0 + w) for k, (x0, y0, w, h) in masks.items() for y in range(y0, y0 + h + 1)]
+    runs = spark.createDataFrame(rows, "image_id long, mask_id long, score double, y int, x_start int, x_end int").repartition(9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = CR.stitch(CR.cut_at_tiles(runs, 16), 16, 0.5)
+        assert "_events" in out._jdf.queryExecution().toString()
+        found = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x0, y0, w, h = masks[7]
+    assert {r.pieces for r in found if r.image_id is None} == {1}  # nothing meets without an image
+    assert sum(r.x_end - r.x_start + 1 for r in found if r.image_id is None) == (w + 1) * (h + 1)
+    for k, (x0, y0, w, h) in masks.items():
+        if k == 7:
+            continue
+        own = [r for r in found if r.image_id == k]
+        tiles = lambda a, b: range(a // 16, b // 16 + 1)
+        assert {r.crown.asDict()["tile_x"] for r in own} == {x0 // 16} and {r.crown.tile_y for r in own} == {y0 // 16}
+        assert {r.pieces for r in own} == {len(tiles(x0, x0 + w)) * len(tiles(y0, y0 + h))}
+        assert {(r.y, r.x_start, r.x_end) for r in own} == {(y, x0, x0 + w) for y in range(y0, y0 + h + 1)}
+
+
+def test_sweep_keeps_plain_columns(spark):
+    """A kept column that is never null: what is held back of a batch fits the next one."""
+    rows = [(k % 2, k % 5, 3 * k, 3 * k + 2) for k in range(400)]
+    runs = spark.createDataFrame(rows, "image_id long, y int, x_start int, x_end int").withColumn("width", F.lit(2000)).repartition(20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        out = M.sweep(runs, keep=("width",)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.x_end - r.x_start + 1 for r in out) == 1200 and {r.width for r in out} == {2000}
+
+
+def test_simplify_many_rings(spark):
+    """All rings at a time as one at a time: teeth, ties, equal points, an open line; a missing ring stays missing."""
+
+    def halve(points, limit):
+        keep = np.zeros(len(points), bool)
+        keep[[0, -1]] = True
+        todo = [(0, len(points) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a > 1:
+                d, rel = points[b] - points[a], points[a + 1 : b] - points[a]
+                base = np.hypot(*d)
+                away = np.abs(d[0] * rel[:, 1] - d[1] * rel[:, 0]) / base if base > 0 else np.hypot(*rel.T)
+                k = int(np.argmax(away))
+                if away[k] > limit:
+                    keep[a + 1 + k] = True
+                    todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        return points[keep]
+
+    rng = np.random.default_rng(6)
+    rings = [np.cumsum(rng.integers(-2, 3, (int(rng.integers(1, 120)), 2)), 0).astype(float) for _ in range(50)]
+    rings += [np.array([(k % 5, k // 2) for k in range(200)], float), np.zeros((4, 2)), np.array([(0, 0), (5, 0), (5, 5), (0, 5), (0, 0)], float)]
+    limits = [float(rng.choice([0.0, 0.3, 1.0, 4.0])) for _ in rings]
+    rows = [(k, t, [tuple(map(float, p)) for p in r]) for k, (r, t) in enumerate(zip(rings, limits))] + [(99, 1.0, None)]
+    layer = spark.createDataFrame(rows, "k long, t double, ring array<struct<x:double,y:double>>")
+    found = {r.k: r.ring for r in V.simplify_layer(layer, F.col("t")).collect()}
+    for k, (p, t) in enumerate(zip(rings, limits)):
+        far = int(np.argmax(np.hypot(*(p - p[0]).T)))
+        want = np.vstack([halve(p[: far + 1], t)[:-1], halve(p[far:], t)])
+        assert [tuple(q) for q in found[k]] == [tuple(q) for q in want], k
+    assert found[99] is None
