@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelworks.operators import crowns as CR, masks as M, shape as S, vector as V
+from parcelworks.operators import crowns as CR, masks as M, raster as RA, shape as S, vector as V
 from test_shapes import convex, filled, perimeter, runs_of
 
 
@@ -111,3 +111,20 @@ def test_simplify_many_rings(spark):
         want = np.vstack([halve(p[: far + 1], t)[:-1], halve(p[far:], t)])
         assert [tuple(q) for q in found[k]] == [tuple(q) for q in want], k
     assert found[99] is None
+
+
+def test_halo_map_packs_lines(spark):
+    """Large blocks cut into several packets, lines in many tasks, floats, a missing image: no group is started for each block."""
+    rng = np.random.default_rng(9)
+    images = {None: rng.random((90, 70)), 5: rng.random((33, 131))}
+    rows = [(i, y, m.shape[1], m.shape[0], m[y].tolist()) for i, m in images.items() for y in range(len(m))]
+    lines = spark.createDataFrame(rows, "image_id long, y int, width int, height int, v array<double>").repartition(7)
+
+    def right_and_below(block):
+        p = np.pad(block, ((0, 1), (0, 1)))
+        return p[1:, :-1] + p[:-1, 1:]
+
+    out = RA.halo_map(lines, right_and_below, values="v", sample=48, bound=8, out="double")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    found = {(r.image_id, r.y): r.v for r in out.collect()}
+    assert found == {(i, y): right_and_below(m)[y].tolist() for i, m in images.items() for y in range(len(m))}
