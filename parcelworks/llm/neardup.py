@@ -23,8 +23,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelworks.llm.columns import let
@@ -36,6 +38,8 @@ COORDINATES = 64
 BLOCK = 1024
 #: Standard deviations that a pair at the threshold may fall below its expected number of agreeing coordinates.
 SLACK = 4.3
+#: Most bits of the filter in front of a join; it only saves shuffle, so no result depends on it.
+FILTER_BITS = 1 << 27
 
 _MULTIPLIERS = np.array([pow(0xB492B66FBE98F273, k + 1, 1 << 64) for k in range(COORDINATES)], np.uint64)
 
@@ -85,10 +89,33 @@ def sketch(docs: DataFrame, keep: list[str], doc_id: str, text: str, width: int)
     return rows.mapInArrow(run, f"row {kind}, id long, code long, n_shingles long, key long, signature array<int>")
 
 
+def may_be_asked(rows: DataFrame, column: str, asked: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``column`` (a 64-bit hash) may be in ``name`` of ``asked``, a written table; a join afterwards decides.
+
+    Tasks add up the words of a filter of one bit for each hash, of 16 bits for each row asked for up to ``FILTER_BITS``.
+    """
+    bits, many = 64, asked.count()
+    while bits < min(FILTER_BITS, 16 * many):
+        bits *= 2
+    place = asked.where(F.col(name).isNotNull()).select(F.pmod(F.col(name), F.lit(bits).cast("long")).alias("p"))
+    words = place.selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p % 64 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.uint64)
+    held[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def found(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return rows.where(found(column))
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(key, members): the shingle set of every wanted class, from the text of its representative (key, id, code)."""
     texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("c"), F.col(text).alias("t"))
     # the same plan at every size: classes grow with the corpus, so they are never sent to every task
+    texts = may_be_asked(texts, "c", wanted, "code")
     met = texts.hint("merge").join(wanted.hint("merge"), F.col("d").eqNullSafe(F.col("id")) & (F.col("c") == F.col("code"))).select("key", "t").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +240,13 @@ def link(docs: DataFrame, classes: DataFrame, percent: int, width: int, doc_id:
     """(node, label) of all classes (key, id, code, n, signature) that have a link."""
     matches = matches_for(percent)
     posts = classes.select("key", F.posexplode("signature").alias("k", "v")).select("key", "k", _coordinate(F.col("k"), F.col("v")).alias("cv"))
-    shared = posts.groupBy("cv").agg(F.count("*").cast("int").alias("share")).where(F.col("share") > 1)
-    met = posts.join(shared, "cv").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("share", "cv", "k"))).alias("shared")).where(F.size("shared") >= matches)
+    shared = posts.withColumn("share", F.count("*").over(W.partitionBy("cv")).cast("int")).where(F.col("share") > 1)  # posts move once
+    met = materialize(shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("share", "cv", "k"))).alias("shared")).where(F.size("shared") >= matches), "met")
     share_of = F.map_from_entries(F.transform("shared", lambda s: F.struct(s["k"].alias("k"), s["share"].alias("s"))))
     by_coordinate = let(share_of, lambda m: F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.coalesce(F.element_at(m, k), F.lit(0))))
     central = F.aggregate("shared", F.lit(0).cast("long"), lambda a, s: a + s["share"])
     left = materialize(
-        met.join(classes, "key").select("key", "id", "code", "n", "signature", by_coordinate.alias("shares"), central.alias("central"), F.slice("shared", 1, F.size("shared") - matches + 1).alias("prefix")), "classes"
+        met.join(may_be_asked(classes, "key", met, "key"), "key").select("key", "id", "code", "n", "signature", by_coordinate.alias("shares"), central.alias("central"), F.slice("shared", 1, F.size("shared") - matches + 1).alias("prefix")), "classes"
     )
     lists = materialize(left.select("key", "central", F.explode("prefix").alias("p")).select("key", "central", F.col("p.cv").alias("cv")), "lists")
 
@@ -252,12 +279,9 @@ def group(docs: DataFrame, keep: list[str], percent: int, width: int, doc_id: st
     """Kept columns as struct ``row``, id, code of the text, n_shingles, ``label`` of the component and component_id, its least id."""
     rows = materialize(sketch(docs, keep, doc_id, text, width), "sketch")
     full = rows.where(F.col("key").isNotNull())
-    named = full.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "code")).alias("r"), F.max("n_shingles").alias("n"))
-    heads = full.select("key", "id", "code", "signature")
-    classes = materialize(
-        named.select("key", "r.id", "r.code", "n").join(heads.withColumnsRenamed({"key": "k", "id": "i", "code": "c"}), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("code") == F.col("c")))
-        .dropDuplicates(["key"]).select("key", "id", "code", "n", "signature"), "heads",
-    )
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "code")
+    named = full.groupBy("key").agg(F.min(first).alias("r"), F.max("n_shingles").alias("n"), F.min_by("signature", first).alias("signature"))
+    classes = materialize(named.select("key", "r.id", "r.code", "n", "signature"), "heads")
     labels = link(docs, classes, percent, width, doc_id, text)
     labelled = classes.join(labels, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("label", "key").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -128,3 +128,15 @@ def test_halo_map_packs_lines(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
     found = {(r.image_id, r.y): r.v for r in out.collect()}
     assert found == {(i, y): right_and_below(m)[y].tolist() for i, m in images.items() for y in range(len(m))}
+
+
+def test_filter_in_front_of_a_join(spark):
+    """The filter of near duplicates loses no row that is asked for, of either sign, and leaves out most others; nothing asked, nothing left."""
+    from parcelworks.llm import neardup
+
+    hashes = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 20000)
+    rows = spark.createDataFrame([(int(h),) for h in hashes], "c long")
+    asked = [int(h) for h in hashes[:500]]
+    found = {r.c for r in neardup.may_be_asked(rows, "c", spark.createDataFrame([(h,) for h in [*asked, None]], "code long"), "code").collect()}
+    assert found >= set(asked) and len(found) < 4000
+    assert neardup.may_be_asked(rows, "c", spark.createDataFrame([], "code long"), "code").count() == 0
