@@ -1,12 +1,15 @@
 """Cases of the sixth round: odd prices, and joins and stitches that shuffled what need not travel."""
 
+import math
 import shutil
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck
+from parcelworks.operators import raster as RA
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,3 +26,42 @@ def test_scores_between_two_thousandths(spark, tmp_path):
     assert con.execute("SELECT COUNT(*) FROM orders WHERE o_totalprice = 250750").fetchone()[0]
     outcome = compare("detections_json", spark, con, str(tmp_path), entry.queries(), entry.oracle_sql())
     assert outcome.startswith("ok"), outcome
+
+
+def test_windows_are_stitched_where_their_scanline_is(spark):
+    """Windows of uneven number, narrow images and several batches give the means that a plain loop gives; no pixel is shuffled."""
+    sizes = [(1, 70, 9), (2, 5, 3), (None, 33, 40), (4, 16, 16)]
+    lines = spark.createDataFrame([(i, w, h, y) for i, w, h in sizes for y in range(h)] + [(5, None, None, 0)], "image_id long, width int, height int, y int").repartition(2)
+
+    def predict(batch, row, x, y0, x0):
+        y = batch.column("y").to_numpy()[row]
+        return np.stack([(x * (c + 2) + y * (c + 3) + x0 + y0) % 11 / 11.0 for c in range(3)], 1)
+
+    def starts(length, tile, stride):
+        last = max(length - tile, 0)
+        return sorted({*range(0, last + 1, stride), last})
+
+    want = {}
+    for image, width, height in sizes:
+        for y in range(height):
+            for x in range(width):
+                sums = [0.0] * 4
+                for y0 in starts(height, 16, 8):
+                    for x0 in starts(width, 16, 8):
+                        if y0 <= y < y0 + 16 and x0 <= x < x0 + 16:
+                            w = math.exp(-((x - x0 - 7.5) ** 2 + (y - y0 - 7.5) ** 2) / 32.0)
+                            for c in range(3):
+                                sums[c] += w * ((x * (c + 2) + y * (c + 3) + x0 + y0) % 11) / 11.0
+                            sums[3] += w
+                means = [round(s / sums[3], 9) for s in sums[:3]]
+                want[image, y, x] = (means.index(max(means)), max(means))
+    for few in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+        stitched = RA.gaussian_stitch(lines, predict, 16, 4, 4.0, 3)
+        found = {(r.image_id, r.y, x): (c, p) for r in stitched.collect() for x, (c, p) in enumerate(zip(r.cls, r.prob, strict=True))}
+        assert found.keys() == want.keys()
+        assert all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 2e-9 for k in want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # before, every pixel of every window went through a shuffle
+    plan = entry.queries()["gaussian_stitch"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(image_id" in plan and ", x#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
