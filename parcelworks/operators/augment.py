@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelworks.functions.numbers import clamp
 from parcelworks.operators.ordering import rank_by_id
+from parcelworks.session import spread
 
 
 def op_draw(seed: Column, op: str) -> Column:
@@ -109,20 +110,22 @@ def scale_rows(rows: DataFrame, factor: Column, value: str = "cls", fill: int =
     return ready.mapInArrow(pick, rows.schema)
 
 
-def photometric(pixels: DataFrame, brightness: Column, contrast: Column, noise: float, seed: int) -> DataFrame:
+def photometric(lines: DataFrame, opened, brightness: Column, contrast: Column, noise: float, seed: int) -> DataFrame:
     """Brightness factor, contrast about the image's mean grey, Gaussian noise, clip to [0, 255].
 
-    ``pixels``: image_id, y, x, bands (three values). One mean per image is joined back;
+    ``lines``: scanlines (image_id, y, ...); ``opened(lines, *keep)`` gives their pixels (image_id, keep, y, x, bands of three values). The mean of an
+    image is joined to its scanlines, which are then opened again, so no pixel is shuffled;
     the noise is a Box-Muller value of hashed uniforms, so retries repeat it exactly.
     Bands are plain columns on the way, which keeps the arithmetic in generated code.
     """
     byte = lambda v: clamp(v, 0.0, 255.0)
     names = ("_b1", "_b2", "_b3")
-    lit = pixels.select("image_id", "y", "x", *(byte(F.element_at("bands", i + 1) * brightness).alias(n) for i, n in enumerate(names)))
+    lit = lambda rows, *keep: opened(rows, *keep).select("image_id", *keep, "y", "x", *(byte(F.element_at("bands", i + 1) * brightness).alias(n) for i, n in enumerate(names)))
     grey = F.lit(0.299) * F.col("_b1") + F.lit(0.587) * F.col("_b2") + F.lit(0.114) * F.col("_b3")
-    means = lit.groupBy("image_id").agg(F.bround(F.avg(grey), 6).alias("_mean"))
+    means = lit(lines).groupBy("image_id").agg(F.bround(F.avg(grey), 6).alias("_mean"))
+    known = spread(lines.join(means.hint("merge"), "image_id"), "image_id", "y")  # scanlines are generated: no broadcast
     place = F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), F.col("y").cast("string"), F.col("x").cast("string"))
-    hashed = lit.join(means, "image_id").withColumn("_h", F.md5(place))
+    hashed = lit(known, "_mean").withColumn("_h", F.md5(place))
     part = lambda i: (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") + 1.0) / 4294967297.0
     normal = F.sqrt(F.lit(-2.0) * F.log(part(0))) * F.cos(part(1) * 6.283185307179586) * (noise * 255.0)
     noisy = hashed.withColumn("_z", normal)

@@ -134,7 +134,7 @@ CLIP = "least(greatest({0}, 0), 255)"
         SELECT image_id, y, x, CAST({CLIP.format('b1 * 1.1')} AS DOUBLE) AS l1, CAST({CLIP.format('b2 * 1.1')} AS DOUBLE) AS l2, CAST({CLIP.format('b3 * 1.1')} AS DOUBLE) AS l3 FROM rgb_pixels)
       JOIN (SELECT image_id, round_even(AVG(CAST(0.299 AS DOUBLE) * {CLIP.format('b1 * 1.1')} + CAST(0.587 AS DOUBLE) * {CLIP.format('b2 * 1.1')} + CAST(0.114 AS DOUBLE) * {CLIP.format('b3 * 1.1')}), 6) AS mean FROM rgb_pixels GROUP BY image_id) USING (image_id)))) GROUP BY image_id, y""", "rgb_pixels")
 def _(t):
-    shown = augment.photometric(t.rgb_pixels.select("image_id", "y", "x", "bands"), F.lit(1.1), F.lit(0.9), 0.02, 42)
+    shown = augment.photometric(t.blocks, t.rgb_pixels_of, F.lit(1.1), F.lit(0.9), 0.02, 42)
     total = lambda i: (F.bround(F.sum(F.element_at("bands", i)), 3) + 0.0).alias(f"s{i}")
     return shown.groupBy("image_id", "y").agg(total(1), total(2), total(3))
 
