@@ -1,6 +1,7 @@
 """Cases of the sixth round: odd prices, and joins and stitches that shuffled what need not travel."""
 
 import math
+import random
 import shutil
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck
-from parcelworks.operators import raster as RA, vector as V
+from parcelworks.operators import raster as RA, tiling as TI, vector as V
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -78,3 +79,39 @@ def test_lists_of_equal_rings_go_to_the_boxes(spark):
     assert sorted(map(repr, ((r.feature_id, r.box) for r in met.collect()))) == sorted(map(repr, want))
     sent = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
     assert len(sent) == 1 and "_places" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tiles_merge_in_order(spark):
+    """Cores overwrite, overlaps fill zeros, a missing value stays missing, for scanlines cut by batches; before, a scanline's pieces were one list."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for image, width in ((1, 40), (None, 17), (2, 9)):
+        for y in range(12):
+            line = [0] * width
+            for t, x0 in enumerate(range(0, max(width - 12, 0) + 1, 7)):
+                w = min(12, width - x0)
+                vals = [rng.choice([0, 0, 1, 2, None]) for _ in range(w)]
+                rows.append((image, width, t, 0, t, 1, 5, x0, 0, w, 12, y, vals))
+                for k, v in enumerate(vals):
+                    core = k >= (4 if t > 0 else 0) and k < w - (4 if t < 4 else 0)
+                    if core or line[x0 + k] == 0:
+                        line[x0 + k] = v
+            want[image, y] = line
+    rng.shuffle(rows)
+    columns = "image_id long, width int, tile_index int, row int, col int, n_rows int, n_cols int, x0 int, y0 int, tile_width int, tile_height int, y int, vals array<int>"
+    tiles = spark.createDataFrame(rows, columns).repartition(3)
+    for few in ("5", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+        merged = TI.merge_tiles_core(tiles, 8)
+        assert {(r.image_id, r.y): list(r.cls) for r in merged.collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in merged._jdf.queryExecution().toString()
+
+
+def test_the_mean_goes_to_the_scanlines(spark):
+    """The mean of an image is joined to its scanlines; before, every pixel went through a shuffle to meet it."""
+    plan = entry.queries()["augment_photometric"](spark, SMALL)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    joined = text[text.index("Join Inner") :]
+    left = joined[: joined.index("Aggregate")]
+    assert "_b1" not in left and " x#" not in left
