@@ -6,11 +6,13 @@ import shutil
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck
 from parcelworks.operators import raster as RA, tiling as TI, vector as V
+from parcelworks.operators.sweeps import binaries, contents
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -115,3 +117,22 @@ def test_the_mean_goes_to_the_scanlines(spark):
     joined = text[text.index("Join Inner") :]
     left = joined[: joined.index("Aggregate")]
     assert "_b1" not in left and " x#" not in left
+
+
+def test_packets_are_short():
+    """A row of a packet takes the bytes that its values need beside the least ones; before, four for each column. Any part of a column can be read."""
+    rng = np.random.default_rng(0)
+    for width in (3, 4):
+        for most in (1, 200, 70000, 2**31 - 1):
+            table = rng.integers(-most, most, (1000, width)).astype(np.int32)
+            table[:300, 0] = 5
+            first = np.unique(np.append(0, rng.integers(0, 1000, 50)))
+            packed = binaries(table, first)
+            ends = np.append(first, 1000)
+            mixed = pa.concat_arrays([packed.slice(3, 10), pa.array([b"", None], pa.binary()), binaries(table[:5] * 0, np.array([0, 2])), packed.slice(20, 5)]).slice(1)
+            found, at = contents(mixed, width)
+            assert (found == np.concatenate([table[ends[4] : ends[13]], table[:5] * 0, table[ends[20] : ends[25]]])).all()
+            assert at[0] == 0 and at[-1] == len(mixed) - 1 and (np.diff(at) >= 0).all()
+            assert (contents(packed, width)[0] == table).all()
+    rows = np.stack([np.arange(6400) // 100, np.arange(6400) % 100 * 3, np.tile([1, -1], 3200)], 1)
+    assert sum(len(b) for b in binaries(rows, np.zeros(1, np.int64)).to_pylist()) < 5 * 6400
