@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 
 from parcelworks.functions.scanline import explode_runs, run_starts, runs
 from parcelworks.operators.ordering import rank_within
-from parcelworks.operators.sweeps import swept
+from parcelworks.operators.sweeps import changes, key_codes, swept
+from parcelworks.session import spread
 
 CELL = 64
 LINE = ["image_id", "y"]
@@ -74,23 +75,80 @@ def semantic_union(mask_runs: DataFrame) -> DataFrame:
 def paint(mask_runs: DataFrame, value: str, highest: bool = True) -> DataFrame:
     """Visible value per segment when masks are painted over each other.
 
-    The winner is the largest (or smallest) value. Runs are cut into cells, equal pieces of a cell are folded to their winner, and the rest, at
-    most one for each pair of columns of the cell, is cut at its ends inside one array: no join, and masks are not paired.
+    The winner is the largest (or smallest) value. Segments end where a run ends and at the borders of cells.
     """
-    pick, best = (F.max, F.array_max) if highest else (F.min, F.array_min)
-    low, high = F.greatest("x_start", F.col("_cell") * CELL), F.least("x_end", F.col("_cell") * CELL + CELL - 1)
-    local = with_columns_cells(mask_runs.select(*LINE, "x_start", "x_end", value)).select(*LINE, "_cell", low.cast("int").alias("_from"), high.cast("int").alias("_to"), value)
-    placed = local.repartition(*LINE, "_cell").groupBy(*LINE, "_cell", "_from", "_to").agg(pick(value).alias("_v"))
-    cells = placed.groupBy(*LINE, "_cell").agg(F.collect_list(F.struct("_from", "_to", "_v")).alias("_p"))
-    ends = F.concat(F.transform("_p", lambda p: p["_from"]), F.transform("_p", lambda p: p["_to"] + 1))
-    cut = cells.select(*LINE, "_p", F.array_sort(F.array_distinct(ends)).alias("_c"))
+    named = packets(mask_runs.select(*LINE, "x_start", "x_end", F.col(value).alias("mask_id")), nulls=True)
+    return paint_packets(named.withColumnRenamed("mask_id", value), value, highest)
 
-    def segment(start: Column, stop: Column) -> Column:
-        over = F.transform(F.filter("_p", lambda p: (p["_from"] <= start) & (p["_to"] >= stop - 1)), lambda p: p["_v"])
-        return F.struct(start.alias("x_start"), (stop - 1).cast("int").alias("x_end"), (F.size(over) > 0).alias("_hit"), best(over).alias(value))
 
-    pieces = F.zip_with(F.slice("_c", 1, F.size("_c") - 1), F.slice("_c", 2, F.size("_c") - 1), segment)
-    return cut.select(*LINE, F.inline_outer(pieces)).filter("_hit").drop("_hit")
+def paint_packets(packed: DataFrame, value: str, highest: bool = True) -> DataFrame:
+    """``paint`` of packets (image_id, value, _band, _cell, _runs).
+
+    They come by cell and value, so those painted later win; some cells are painted at a time. A cell of very many packets is painted in parts on
+    the same pixels: masks are neither paired nor gathered.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    order = F.col(value).asc_nulls_first() if highest else F.col(value).desc_nulls_first()
+    placed = spread(packed.select(*PACKET, value, "_runs"), *PACKET).sortWithinPartitions(*PACKET, order)
+    size = CELL * CELL
+
+    def painted(part, before):
+        """Keys of the cells of a part, their pixels (row of the value, -1 for none), where segments end, and the values; ``before`` is the first cell so far."""
+        first = changes(key_codes(part.columns[:1]), *(part.column(c).to_numpy() for c in PACKET[1:]))
+        group = np.searchsorted(first, np.arange(len(part)), side="right") - 1
+        pixels, cuts, values = np.full(len(first) * size, -1, np.int32), np.zeros(len(first) * size + 1, bool), part.column(value)
+        if before is not None:
+            pixels[:size], cuts[:size] = np.where(before[1] < 0, -1, before[1] + len(part)), before[2]
+            values = pa.concat_arrays([values, before[3]])
+        column = part.column("_runs")
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(part) + 1, column.offset * 4)
+        line, low, high = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 3).astype(np.int64).T
+        row = np.repeat(np.arange(len(part)), np.diff(offsets) // 3)
+        start = group[row] * size + line * CELL + low
+        length = high - low + 1
+        cuts[start] = True
+        cuts[(start + length)[high < CELL - 1]] = True
+        at = np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
+        pixels[at] = np.repeat(row, length)  # of equal places the last one stays
+        return part.select(PACKET).take(pa.array(first)), pixels, cuts[:-1], values
+
+    def segments(keys, pixels, cuts, values):
+        fresh = cuts.copy()
+        fresh[::CELL] = True
+        fresh[1:] |= pixels[1:] != pixels[:-1]
+        begin = np.flatnonzero(fresh)
+        stop = np.append(begin[1:], len(pixels))
+        hit = pixels[begin] >= 0
+        begin, stop = begin[hit], stop[hit]
+        cell, place = begin // size, begin % size
+        y = keys.column("_band").to_numpy()[cell] * CELL + place // CELL
+        left = keys.column("_cell").to_numpy()[cell] * CELL + place % CELL
+        columns = [keys.column("image_id").take(pa.array(cell)), pa.array(y).cast(y_kind), pa.array(left.astype(np.int32)), pa.array((left + stop - begin - 1).astype(np.int32)), values.take(pa.array(pixels[begin]))]
+        return pa.RecordBatch.from_arrays(columns, ["image_id", "y", "x_start", "x_end", value])
+
+    def run(batches):
+        held = None  # the last cell so far: its key, pixels, ends and values
+        for batch in batches:
+            for at in range(0, len(batch), PAINTED):
+                part = batch.slice(at, PAINTED)
+                if held is not None and held[0].to_pylist() != part.slice(0, 1).select(PACKET).to_pylist():
+                    yield segments(*held)
+                    held = None
+                keys, pixels, cuts, values = painted(part, held)
+                last = len(keys) - 1
+                if last:
+                    yield segments(keys.slice(0, last), pixels[: last * size], cuts[: last * size], values)
+                used, codes = np.unique(pixels[last * size :], return_inverse=True)
+                none = int(used[0] < 0)
+                held = keys.slice(last), (codes - none).astype(np.int32), cuts[last * size :].copy(), values.take(pa.array(used[none:]))
+        if held is not None:
+            yield segments(*held)
+
+    kinds = dict(packed.dtypes)
+    y_kind = pa.int32()
+    return placed.mapInArrow(run, f"image_id {kinds['image_id']}, y int, x_start int, x_end int, {value} {kinds[value]}")
 
 
 def paint_order_unique_area(mask_runs: DataFrame, masks: DataFrame, smallest: int = 0, largest: int | None = None) -> DataFrame:
@@ -102,7 +160,12 @@ def paint_order_unique_area(mask_runs: DataFrame, masks: DataFrame, smallest: in
     if largest is not None:
         wanted = wanted & (F.col("area") <= largest)
     labels = masks.filter(wanted).select("image_id", "mask_id", (F.col("n") - F.col("rank0")).alias("value"))
-    return paint(mask_runs.join(labels.hint("merge"), ["image_id", "mask_id"]), "value", highest=False)  # runs are generated: no broadcast
+    return paint_packets(labelled_packets(mask_runs, labels), "value", highest=False)
+
+
+def labelled_packets(mask_runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Packets of the masks in ``labels`` (image_id, mask_id, value): runs are packed where they are made, packets meet the values."""
+    return packets(mask_runs).join(labels.hint("merge"), ["image_id", "mask_id"])  # runs are generated: no broadcast
 
 
 def tile_grid_full_only(images: DataFrame, labelled: DataFrame, tile: int) -> DataFrame:
@@ -121,13 +184,14 @@ def tile_grid_full_only(images: DataFrame, labelled: DataFrame, tile: int) -> Da
 
 SHIFT = 6  # packets cover CELL rows by CELL columns
 PACKET = ["image_id", "_band", "_cell"]
+PAINTED = 1 << 9  # packets painted at a time
 
 
-def packets(mask_runs: DataFrame) -> DataFrame:
+def packets(mask_runs: DataFrame, nulls: bool = False) -> DataFrame:
     """Runs of a mask by cells of CELL rows and columns, three bytes for each: (image_id, mask_id, _band, _cell, box in the cell, _runs).
 
     A task packs the rows as they come, so a mask may have several packets in a cell. What is shuffled are packets instead of runs.
-    Rows with a null meet nothing and are left out.
+    Rows with a null meet nothing and are left out, but ``nulls`` keeps null images and masks.
     """
     import numpy as np
     import pyarrow as pa
@@ -136,7 +200,7 @@ def packets(mask_runs: DataFrame) -> DataFrame:
         for batch in batches:
             image, mask = batch.column(0), batch.column(1)
             y, start, end = (batch.column(n).to_numpy().astype(np.int64) for n in (2, 3, 4))
-            codes = image.dictionary_encode().indices.to_numpy().astype(np.int64) * (len(batch) + 1) + mask.dictionary_encode().indices.to_numpy()
+            codes = key_codes([image, mask])
             row = np.flatnonzero(end >= start)
             wide = (end[row] >> SHIFT) - (start[row] >> SHIFT) + 1
             at = np.repeat(row, wide)
@@ -161,7 +225,7 @@ def packets(mask_runs: DataFrame) -> DataFrame:
     names = ["image_id", "mask_id", "_band", "_cell", "_y1", "_y2", "_x1", "_x2", "_runs"]
     kinds = dict(mask_runs.dtypes)
     schema = f"image_id {kinds['image_id']}, mask_id {kinds['mask_id']}, _band bigint, _cell bigint, _y1 smallint, _y2 smallint, _x1 smallint, _x2 smallint, _runs binary"
-    return mask_runs.select("image_id", "mask_id", "y", "x_start", "x_end").dropna().mapInArrow(run, schema)
+    return mask_runs.select("image_id", "mask_id", "y", "x_start", "x_end").dropna(subset=["y", "x_start", "x_end"] if nulls else None).mapInArrow(run, schema)
 
 
 def _shared_length(left: DataFrame, right: DataFrame, a: str, b: str, ordered: bool) -> DataFrame:

@@ -138,7 +138,7 @@ def _(t):
 def _(t):
     sized = M.mask_size_filter(t.instance_runs, ["image_id", "mask_id"], 1000).select("image_id", "mask_id")
     labels = rank_within(sized, "image_id", "mask_id").select("image_id", "mask_id", (F.col("rank0") + 1).alias("value"))
-    painted = M.paint(t.instance_runs.join(labels.hint("merge"), ["image_id", "mask_id"]), "value")
+    painted = M.paint_packets(M.labelled_packets(t.instance_runs, labels), "value")
     scores = labels.join(t.detections.select("image_id", F.col("det_id").alias("mask_id"), "score"), ["image_id", "mask_id"])
     visible = painted.groupBy("image_id", "value").agg(F.sum(M.length()).alias("pixels"))
     return visible.join(scores, ["image_id", "value"]).select("image_id", "value", "pixels", "score")
